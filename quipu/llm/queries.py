@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quipu.llm import decontam, licences, media, mixing
+from quipu.llm import brown, decontam, licences, media, mixing, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licences": licences.op2_licences,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
+    "op6_brown_lm": brown.op6_brown_lm,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_media": media.op9_media,
 }
 
