@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quipu.llm import brown, decontam, licences, media, mixing, neardup
+from quipu.llm import brown, decontam, langid, licences, media, mixing, neardup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op2_licences": licences.op2_licences,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
+    "op5_language_id": langid.op5_language_id,
     "op6_brown_lm": brown.op6_brown_lm,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_media": media.op9_media,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL: dict[str, str] = {"op2_licences": licences.OP2_SQL, "op3_decontamination": decontam.OP3_SQL}
