@@ -1,11 +1,12 @@
 """Operator 3: benchmark decontamination with a distributed positional inverted index.  DataFrame functions only.
 
 Steps: (1) count, over the whole corpus, the terms that the benchmark has; (2) choose the rarest terms of each benchmark window;
-(3) store the corpus postings (document, position) of those terms alone; (4) shift each posting by the term's offset in the window
-and keep the starts on which all chosen terms of a window meet; (5) compare the full window at those starts.
+(3) store the corpus postings (document, position) of those terms alone, and each document's length; (4) shift each posting by the
+term's offset in the benchmark text and keep the alignments on which all chosen terms of a window meet; (5) compare the full window in
+the documents that have such alignments.
 
 Null and empty texts have no words and no hits.  Repeated rows each get a row.  Nothing is capped: where the benchmark or the list of
-starts is too large to broadcast, the same joins run as shuffles.
+documents to compare is too large to broadcast, the same joins run as shuffles.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from quipu.llm.common import LOWER, UPPER, lower_ascii, read, small, stored
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, RAREST = 13, 3
-BROADCAST_TERMS, BROADCAST_STARTS = 200_000, 100_000
+WINDOW, RAREST = 13, 2
+BROADCAST_TERMS, BROADCAST_DOCUMENTS = 200_000, 500_000
+LENGTH = "\0"  # no word; its posting is at the end of each document
 
 
 def words_of(text: Column) -> Column:
@@ -29,13 +31,11 @@ def document_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("key_id"), F.xxhash64("doc_id", "text").alias("key_hash")]
 
 
-def windows_of(benchmark: DataFrame, length: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(window_id, words) once per different window, and (window_id, item_id)."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - length + 1, F.lit(1)))
-    cut = items.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), F.lit(length)).alias("words"))
-    cut = cut.withColumn("window_id", F.sha2(F.concat_ws(" ", "words"), 256))
-    return cut.select("window_id", "words").dropDuplicates(["window_id"]), cut.select("window_id", "item_id").distinct()
+def benchmark_texts(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(text_id, words) of each different text with words, and (text_id, item_id)."""
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    items = items.withColumn("text_id", F.sha2(F.array_join("words", " "), 256))
+    return items.select("text_id", "words").dropDuplicates(["text_id"]), items.select("text_id", "item_id").distinct()
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -46,23 +46,34 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index (term, key_id, key_hash, pos) of the given terms."""
-    tokens = docs.select(*document_key(), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return tokens.join(small(terms, BROADCAST_TERMS), "term").select("term", "key_id", "key_hash", "pos").distinct()
+    """The positional index (term, doc_id, key_id, key_hash, pos) of the given terms; the term LENGTH is at each row's number of words."""
+    tokens = F.concat(F.coalesce(words_of(F.col("text")), F.array().cast("array<string>")), F.array(F.lit(LENGTH)))
+    exploded = docs.select("doc_id", *document_key(), F.posexplode(tokens).alias("pos", "term"))
+    wanted = terms.select("term").union(docs.sparkSession.createDataFrame([(LENGTH,)], "term string"))
+    return exploded.join(small(wanted, BROADCAST_TERMS), "term").select("term", "doc_id", "key_id", "key_hash", "pos")
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame, k: int = RAREST) -> DataFrame:
-    """(window_id, term, offset, need): the k rarest different terms of each window; windows with an unseen term can't occur."""
-    terms = windows.select("window_id", F.posexplode("words").alias("offset", "term")).groupBy("window_id", "term").agg(F.min("offset").alias("offset"))
-    ranked = terms.join(counts, "term").groupBy("window_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, k).alias("r"))
-    return ranked.filter("r[0].n > 0").select("window_id", F.size("r").alias("need"), F.explode("r").alias("r")).select("window_id", "need", "r.term", "r.offset")
+def windows_of(texts: DataFrame, counts: DataFrame, length: int = WINDOW, k: int = RAREST) -> DataFrame:
+    """(text_id, first, len, need): each window and the places in the text of its k rarest different terms.
 
+    Windows with a term that the corpus does not have can't occur and are left out.
+    """
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - length + 1, F.lit(1)))
+    cut = texts.select("text_id", F.explode(starts).alias("s"), "words").select("text_id", (F.col("s") - 1).alias("first"), F.slice("words", F.col("s"), F.lit(length)).alias("w"))
+    terms = cut.select("text_id", "first", F.size("w").alias("len"), F.posexplode("w").alias("offset", "term"))
+    terms = terms.groupBy("text_id", "first", "len", "term").agg(F.min(F.col("first") + F.col("offset")).alias("at"))
+    ranked = terms.join(counts, "term").groupBy("text_id", "first", "len").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "at"))), 1, k).alias("r"))
+    return ranked.filter("r[0].n > 0").select("text_id", "first", "len", F.transform("r", lambda r: F.struct(r["term"].alias("term"), r["at"].alias("at"))).alias("need"))
 
-def phrase_starts(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Offset-adjusted intersection: (key_id, key_hash, window_id, start) on which all chosen terms of the window meet."""
-    moved = index.join(small(chosen, BROADCAST_TERMS), "term").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
-    met = moved.groupBy("key_id", "key_hash", "window_id", "start").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    return met.filter("n = need").drop("n", "need")
+
+def phrase_starts(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """Offset-adjusted intersection: (key_id, key_hash, text_id, start, first, len) where all chosen terms of a window meet."""
+    places = windows.select("text_id", F.explode("need").alias("p")).select("text_id", "p.term", "p.at").distinct()
+    moved = index.join(small(places, BROADCAST_TERMS), "term").select("key_id", "key_hash", "text_id", (F.col("pos") - F.col("at")).alias("shift"), "at")
+    met = moved.groupBy("key_id", "key_hash", "text_id", "shift").agg(F.collect_set("at").alias("seen"))
+    needs = windows.select("text_id", "first", "len", F.transform("need", lambda p: p["at"]).alias("places"))
+    joined = met.join(small(needs, BROADCAST_TERMS), "text_id").filter((F.size(F.array_except("places", "seen")) == 0) & (F.col("shift") + F.col("first") >= 0))
+    return joined.select("key_id", "key_hash", "text_id", (F.col("shift") + F.col("first")).alias("start"), "first", "len")
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, within: int) -> DataFrame:
@@ -79,23 +90,24 @@ def proximity_matches(index: DataFrame, items: DataFrame, within: int) -> DataFr
     return met.filter("n = need").drop("n", "need")
 
 
-def exact_hits(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """docs with `_n_words` and `_hits` (array of start, length, window_id of exact occurrences), and the windows' items."""
-    windows, items = windows_of(benchmark, length)
-    windows = stored(windows, "windows")
-    counts = stored(term_counts(docs, windows.select(F.explode("words").alias("term")).distinct()), "term_counts")
-    chosen = stored(rarest_terms(windows, counts), "chosen")
-    index = stored(postings(docs, chosen.select("term").distinct()), "postings")
-    starts = phrase_starts(index, chosen).join(small(windows, BROADCAST_TERMS), "window_id")
-    starts = stored(starts.select("key_id", "key_hash", F.struct("start", "words", "window_id").alias("s")), "starts")
-    lists = starts.groupBy("key_id", "key_hash").agg(F.collect_list("s").alias("_starts"))
-    words = docs.withColumns({"_key_id": document_key()[0], "_key_hash": document_key()[1], "_words": words_of(F.col("text"))})
-    lists = small(lists, BROADCAST_STARTS) if starts.limit(BROADCAST_STARTS + 1).count() <= BROADCAST_STARTS else lists
-    joined = words.join(lists, (F.col("_key_id") == F.col("key_id")) & (F.col("_key_hash") == F.col("key_hash")), "left")
-    equal = F.filter("_starts", lambda s: F.slice(F.col("_words"), s["start"] + 1, F.size(s["words"])) == s["words"])
-    hits = F.transform(equal, lambda s: F.struct(s["start"].alias("start"), F.size(s["words"]).alias("len"), s["window_id"].alias("window_id")))
-    n_words = F.coalesce(F.when(F.col("text").isNotNull(), F.size("_words")), F.lit(0)).cast("long")
-    return joined.withColumns({"_n_words": n_words, "_hits": hits}).drop("_words", "_starts", "key_id", "key_hash"), items
+def exact_hits(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lengths, hits, items): each row's number of words; per document with exact occurrences the array of (start, len, text_id); the texts' items."""
+    texts, items = benchmark_texts(benchmark)
+    texts = stored(texts, "texts")
+    counts = stored(term_counts(docs, texts.select(F.explode("words").alias("term")).distinct()), "term_counts")
+    windows = stored(windows_of(texts, counts, length), "windows")
+    index = stored(postings(docs, windows.select(F.explode("need.term").alias("term")).distinct()), "postings")
+    is_length = F.col("term") == LENGTH
+    starts = stored(phrase_starts(index.filter(~is_length).drop("doc_id").distinct(), windows), "starts")
+    keys = starts.select("key_id", "key_hash").distinct()
+    wanted = docs.select("text", *document_key()).join(small(keys, BROADCAST_DOCUMENTS), ["key_id", "key_hash"], "left_semi").dropDuplicates(["key_id", "key_hash"])
+    passages = texts.select("text_id", F.col("words").alias("passage"))
+    compare = starts.join(small(passages, BROADCAST_TERMS), "text_id").select("key_id", "key_hash", F.struct("start", "len", "text_id", F.slice("passage", F.col("first") + 1, F.col("len")).alias("words")).alias("s"))
+    joined = wanted.withColumn("words", words_of(F.col("text"))).drop("text").join(compare.groupBy("key_id", "key_hash").agg(F.collect_list("s").alias("starts")), ["key_id", "key_hash"])
+    equal = F.filter("starts", lambda s: F.slice(F.col("words"), s["start"] + 1, s["len"]) == s["words"])
+    hits = joined.select("key_id", "key_hash", F.transform(equal, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), s["text_id"].alias("text_id"))).alias("hits")).filter(F.size("hits") > 0)
+    lengths = index.filter(is_length).select("doc_id", "key_id", "key_hash", F.col("pos").cast("long").alias("n_words"))
+    return lengths, stored(hits, "hits"), items
 
 
 def n_hit(hits: Column) -> Column:
@@ -111,20 +123,22 @@ def contaminated(n_words: Column, hit: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """Per document row: words, words hit, items with occurring windows and the digest of their ids, verdict."""
-    found, items = exact_hits(docs.select("doc_id", "text"), benchmark, length)
-    found = found.select("doc_id", "_key_id", "_key_hash", F.col("_n_words").alias("n_words"), n_hit(F.col("_hits")).alias("n_hit"), F.array_distinct(F.transform("_hits", lambda h: h["window_id"])).alias("_windows"))
-    found = stored(found, "hits")
-    hit_items = found.select("_key_id", "_key_hash", F.explode("_windows").alias("window_id")).join(small(items, BROADCAST_TERMS), "window_id").select("_key_id", "_key_hash", F.col("item_id").cast("string").alias("item")).distinct()
-    per_doc = hit_items.groupBy(F.col("_key_id").alias("k1"), F.col("_key_hash").alias("k2")).agg(F.array_sort(F.collect_list("item")).alias("ids"))
-    out = found.join(per_doc, (F.col("_key_id") == F.col("k1")) & (F.col("_key_hash") == F.col("k2")), "left")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
+    lengths, hits, items = exact_hits(docs.select("doc_id", "text"), benchmark, length)
+    key = ["key_id", "key_hash"]
+    named = hits.select(*key, F.explode(F.array_distinct(F.transform("hits", lambda h: h["text_id"]))).alias("text_id")).join(small(items, BROADCAST_TERMS), "text_id")
+    ids = named.select(*key, F.col("item_id").cast("string").alias("item")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("item")).alias("ids"))
+    found = lengths.join(hits.select(*key, n_hit(F.col("hits")).alias("hit")).join(ids, key), key, "left")
+    ids, hit = F.coalesce("ids", F.array().cast("array<string>")), F.coalesce("hit", F.lit(0)).cast("long")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), contaminated(F.col("n_words"), hit).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones, columns unchanged."""
-    found, _ = exact_hits(docs, benchmark, length)
-    return found.filter(~contaminated(F.col("_n_words"), n_hit(F.col("_hits")))).select(docs.columns)
+    lengths, hits, _ = exact_hits(docs, benchmark, length)
+    key = ["key_id", "key_hash"]
+    bad = hits.select(*key, n_hit(F.col("hits")).alias("hit")).join(lengths, key).filter(contaminated(F.col("n_words"), F.col("hit"))).select(F.col("key_id").alias("_bad_id"), F.col("key_hash").alias("_bad_hash")).distinct()
+    bad, (key_id, key_hash) = small(stored(bad, "contaminated"), BROADCAST_DOCUMENTS), document_key()
+    return docs.join(bad, (key_id == F.col("_bad_id")) & (key_hash == F.col("_bad_hash")), "left_anti").select(docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

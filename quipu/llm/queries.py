@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quipu.llm import brown, decontam, langid, licences, media, mixing, neardup, quality, toxicity
+from quipu.llm import brown, decontam, langid, licences, media, mixing, neardup, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
     "op5_language_id": langid.op5_language_id,
     "op6_brown_lm": brown.op6_brown_lm,
+    "op7_pii": pii.op7_pii,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_media": media.op9_media,
     "op10_toxicity": toxicity.op10_toxicity,
