@@ -5,8 +5,10 @@ sequence), as 64-bit hashes.  Texts with one set collapse first.  Then
   1. every bucket (band, value) names a centre, the member that shares most buckets with others, and links all members to it: a
      star, so pairs grow with the members;
   2. candidates are confirmed on full sets, and confirmed links give components;
-  3. members of one bucket that are still in different components are compared by a 1024-bit odd sketch of their sets inside the
-     join; the pairs that could reach the threshold (4.5 standard deviations) are confirmed on full sets too, so a star loses no link.
+  3. while that joins many documents, buckets whose members are still in different components draw another centre each, and members of
+     other components than the centre's are confirmed against it: stars again, over ever fewer members;
+  4. members of one bucket that are in different components even then are compared by a 1024-bit odd sketch of their sets inside the
+     join; the pairs that could reach the threshold (4.5 standard deviations) are confirmed on full sets too, so stars lose no link.
 With 32 bands of 4, a pair at 0.8 shares no bucket with probability 5e-8.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows are kept whole: repeated rows each get a row.  Ids stand for
@@ -30,6 +32,7 @@ from quipu.llm.graph import components
 BANDS, ROWS, SKETCH = 32, 4, 1024
 BINS = BANDS * ROWS
 BROADCAST_IDS = 500_000
+LEAST_GAIN = 0.9  # stars go on while a round leaves at most this share of the open components
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -146,7 +149,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _could_reach(percent: int) -> Column:
-    """Sizes and odd sketches of m and o allow the threshold: distance at the largest allowed difference, plus 4.5 deviations."""
+    """Sizes and odd sketches of m and o allow the threshold: their distance is never above the difference of the sets, which has a
+    largest allowed value; for large sets the distance expected at that value plus 4.5 deviations is the tighter bound."""
     rest = (100.0 - percent) / (100.0 + percent)
     most = (F.col("m.n") + F.col("o.n")) * rest
     decay = F.exp(-4.0 * most / SKETCH)
@@ -154,34 +158,62 @@ def _could_reach(percent: int) -> Column:
     variance = F.greatest(SKETCH / 4 * (1 - decay) - most * decay, F.lit(0.0))
     distance = sum((F.bit_count(F.col("m.sketch")[i].bitwiseXOR(F.col("o.sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
     sizes = 100 * F.least("m.n", "o.n") >= percent * F.greatest("m.n", "o.n")
-    return sizes & (distance <= mean + 4.5 * F.sqrt(variance) + 3)
+    return sizes & (distance <= F.least(most, mean + 4.5 * F.sqrt(variance) + 3))
+
+
+def _placed(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (band, value, doc_id, root) of the buckets that hold more than one component."""
+    placed = live.select("band", "value", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = stored(placed, "placed")
+    split = placed.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "value")
+    return stored(placed.join(stored(split, "split"), ["band", "value"]), "open")
+
+
+def _candidates(pairs: DataFrame, facts: DataFrame, done: DataFrame | None, percent: int) -> DataFrame:
+    """Different pairs (a < b) that could reach the threshold and are not done."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+    pairs = pairs.join(facts.select(F.col("doc_id").alias("b"), F.struct("n", "sketch").alias("m")), "b").join(facts.select(F.col("doc_id").alias("a"), F.struct("n", "sketch").alias("o")), "a")
+    return stored(pairs.filter(_could_reach(percent)).select("a", "b"), "candidates")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     signed = stored(signatures(docs, k), "signatures")
     sets = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    reps = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
     chosen = sets.join(reps, (sets["doc_id"] == reps["rep"]) & (sets["digest"] == reps["digest"]), "left_semi").dropDuplicates(["doc_id"])
     chosen = stored(chosen.select("doc_id", "n", "bands", "sketch"), "representatives")
 
     members = chosen.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    counts = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
+    counts = stored(members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1"), "counts")
     live = stored(members.join(counts, ["band", "value"]), "live")
     central = live.groupBy("doc_id").agg(F.sum("shared").alias("weight"))
     centres = live.join(central, "doc_id").groupBy("band", "value").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("c")).select("band", "value", (-F.col("c.minus")).alias("a"))
-    star = live.join(centres, ["band", "value"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    centres = stored(centres, "centres")
     facts = chosen.select("doc_id", "n", "sketch")
-    star = star.join(facts.select(F.col("doc_id").alias("b"), F.struct("n", "sketch").alias("m")), "b").join(facts.select(F.col("doc_id").alias("a"), F.struct("n", "sketch").alias("o")), "a")
-    star = stored(star.filter(_could_reach(percent)).select("a", "b"), "star")
-    links = stored(confirmed(star, docs, k, percent), "star_links")
+    done = _candidates(live.join(centres, ["band", "value"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")), facts, None, percent)
+    links = stored(confirmed(done, docs, k, percent), "links")
     roots = components(links)
 
-    placed = stored(live.select("band", "value", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
-    split = placed.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "value")
-    open_ = placed.join(split, ["band", "value"]).join(facts, "doc_id")
-    met = open_.alias("m").join(open_.alias("o"), (F.col("m.band") == F.col("o.band")) & (F.col("m.value") == F.col("o.value")) & (F.col("m.doc_id") < F.col("o.doc_id")) & (F.col("m.root") != F.col("o.root")) & _could_reach(percent))
-    rest = stored(met.select(F.col("m.doc_id").alias("a"), F.col("o.doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    open_, turn = _placed(live, roots), 0
+    while not open_.isEmpty():
+        drawn = F.struct(F.xxhash64(F.lit(turn), "band", "value", "doc_id").alias("draw"), "doc_id", "root")
+        picked = open_.groupBy("band", "value").agg(F.min(drawn).alias("c")).select("band", "value", F.col("c.doc_id").alias("a"), F.col("c.root").alias("its"))
+        picked = stored(picked, "picked")
+        star = _candidates(open_.join(picked, ["band", "value"]).filter("root <> its").select("a", F.col("doc_id").alias("b")), facts, done, percent)
+        more = stored(confirmed(star, docs, k, percent), "links")
+        before = open_.select("root").distinct().count()
+        if not more.isEmpty():
+            links, done = links.unionByName(more), done.unionByName(star)
+            roots = components(links)
+            open_ = _placed(live, roots)
+        if open_.select("root").distinct().count() > LEAST_GAIN * before:
+            break
+        turn += 1
+    facing = open_.join(facts, "doc_id")
+    met = facing.alias("m").join(facing.alias("o"), (F.col("m.band") == F.col("o.band")) & (F.col("m.value") == F.col("o.value")) & (F.col("m.doc_id") < F.col("o.doc_id")) & (F.col("m.root") != F.col("o.root")) & _could_reach(percent))
+    rest = stored(met.select(F.col("m.doc_id").alias("a"), F.col("o.doc_id").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = stored(confirmed(rest, docs, k, percent), "rest_links")
         if not more.isEmpty():
