@@ -45,17 +45,18 @@ def mod11_digit(kind_value: Column, eight_digits: Column) -> Column:
 
 
 #: Number of each kind of tax id.
-TAX_ID_KIND = {"V": 1, "E": 2, "J": 3, "C": 3, "P": 4, "G": 5}
+TAX_ID_KIND = {"V": 1, "E": 2, "J": 3, "P": 4, "G": 5}
 
 
 def tax_id(text: Column) -> Column:
-    """Struct: canonical id, kind, well_formed, valid (null where not well formed)."""
+    """Struct: canonical id, kind, verified (the kind has a known check digit), valid; kind C counts as valid unverified."""
     clean = F.regexp_replace(F.upper(F.trim(text)), r"[\s.\-]", "")
     formed = F.coalesce(clean.rlike("^[VEJCPG][0-9]{9}$"), F.lit(False))
     kind = F.substring(clean, 1, 1)
     value = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in TAX_ID_KIND.items()])
     right = mod11_digit(value, F.substring(clean, 2, 8)) == F.substring(clean, 10, 1).cast("int")
-    return F.struct(F.when(formed, clean).alias("id"), F.when(formed, kind).alias("kind"), formed.alias("well_formed"), F.when(formed, right).alias("valid"))
+    verified = formed & value.isNotNull()
+    return F.struct(F.when(formed, clean).alias("id"), F.when(formed, kind).alias("kind"), verified.alias("verified"), F.coalesce(F.when(verified, right), formed).alias("valid"))
 
 
 def gtin_valid(code: Column) -> Column:

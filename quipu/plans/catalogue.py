@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quipu.plans import core, domain, texts
+from quipu.plans import core, domain, flows, texts
 
-QUERIES = core.R.queries | texts.R.queries | domain.R.queries
-SQL = core.R.sql | texts.R.sql | domain.R.sql
+QUERIES = core.R.queries | texts.R.queries | domain.R.queries | flows.R.queries
+SQL = core.R.sql | texts.R.sql | domain.R.sql | flows.R.sql
