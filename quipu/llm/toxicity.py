@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import held_out, read, share, small
+from quipu.llm.common import held_out, read, share, small, stored
 from quipu.llm.quality import labelled_sample
 
 POSITIVES, UNLABELLED, VOCABULARY, CLASSIFIERS, LEAST_LIFT = 3000, 10_000, 600, 2, 4.0
@@ -66,25 +66,11 @@ def nn_pu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 500, rate:
     return w
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> Toxicity:
+def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, names: list[str]) -> Toxicity:
+    """names: the features that are weighed."""
     if not positive or not unlabelled or prior <= 0:
         return Toxicity({}, -60.0)
-    prior = min(prior, 0.9)
-    df_p: dict[str, int] = {}
-    df_u: dict[str, int] = {}
-    for sets, df in ((positive, df_p), (unlabelled, df_u)):
-        for s in sets:
-            for w in s:
-                df[w] = df.get(w, 0) + 1
-    np_, nu = len(positive), len(unlabelled)
-
-    def lift(w: str) -> float:
-        """Standard deviations by which positives have the word more often than unlabelled text."""
-        rate = (df_p[w] + df_u.get(w, 0)) / (np_ + nu)
-        return (df_p[w] / np_ - df_u.get(w, 0) / nu) / np.sqrt(rate * (1 - rate) * (1 / np_ + 1 / nu) + 1e-12)
-
-    names = sorted((w for w in df_p if df_p[w] >= 3 and lift(w) > LEAST_LIFT), key=lambda w: (-lift(w), w))[:VOCABULARY]
-    at = {w: i for i, w in enumerate(names)}
+    prior, at = min(prior, 0.9), {w: i for i, w in enumerate(names)}
 
     def rows(sets: list[set[str]]) -> np.ndarray:
         x = np.zeros((len(sets), len(names) + 1), np.float32)
@@ -98,19 +84,37 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> T
     return Toxicity({n: float(v) for n, v in zip(names, w[:-1], strict=True) if v}, float(w[-1]))
 
 
-def _sets(df: DataFrame) -> list[set[str]]:
-    """Features of a bounded sample, taken in the tasks."""
-    split = F.arrow_udf(lambda values: pa.array([sorted(features(v.as_py())) for v in values], pa.list_(pa.string())), "array<string>")
-    return [set(x or ()) for x in df.select("doc_id", split(F.col("text")).alias("w")).orderBy("doc_id").toArrow()["w"].to_pylist()]
-
-
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Toxicity:
+def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
+    """(doc_id, positive, w): features of confirmed toxic documents and of unlabelled ones, stored; and the class prior."""
     docs = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"), 5))
     known = labelled_sample(labels, "toxic", 1 << 60)
     toxic, all_ = known.agg(F.coalesce(F.sum(F.col("y")), F.lit(0)), F.count(F.lit(1))).first()
     confirmed = known.filter("y = 1").filter(share(F.col("doc_id"), min(1.0, positives / max(1, toxic)))).select("doc_id")
     others = docs.filter(share(F.hash("doc_id"), min(1.0, unlabelled / max(1, docs.count()))))
-    return fit(_sets(docs.join(small(confirmed, 4 * positives), "doc_id", "left_semi")), _sets(others), toxic / max(1, all_))
+    both = docs.join(small(confirmed, 4 * positives), "doc_id", "left_semi").withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
+    split = F.arrow_udf(lambda values: pa.array([sorted(features(v.as_py())) for v in values], pa.list_(pa.string())), "array<string>")
+    return stored(both.select("doc_id", "positive", split(F.col("text")).alias("w")), "toxicity_sample"), toxic / max(1, all_)
+
+
+def vocabulary(found: DataFrame, most: int = VOCABULARY) -> list[str]:
+    """Features that positives have more often than unlabelled texts by over LEAST_LIFT standard deviations, the clearest first."""
+    n = found.agg(F.count_if(F.col("positive")).alias("p"), F.count_if(~F.col("positive")).alias("u")).first()
+    counts = found.select("positive", F.explode("w").alias("w")).groupBy("w").agg(F.count_if(F.col("positive")).alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    rate = (F.col("p") + F.col("u")) / F.lit(max(1, n.p + n.u))
+    spread = F.sqrt(rate * (1 - rate) * F.lit(1 / max(1, n.p) + 1 / max(1, n.u)) + 1e-12)
+    lift = (F.col("p") / F.lit(max(1, n.p)) - F.col("u") / F.lit(max(1, n.u))) / spread
+    clear = counts.filter("p >= 3").select("w", lift.alias("lift")).filter(F.col("lift") > LEAST_LIFT)
+    return [r.w for r in clear.orderBy(F.desc("lift"), "w").limit(most).collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Toxicity:
+    """Only the chosen features of the sampled documents come to the driver."""
+    found, prior = sample(docs, labels, positives, unlabelled)
+    names = vocabulary(found)
+    chosen = F.array_intersect("w", F.array(*map(F.lit, names)).cast("array<string>"))
+    rows = found.select("doc_id", "positive", chosen.alias("w")).orderBy("doc_id", "positive").toArrow().to_pydict()
+    sets = lambda side: [set(w or ()) for w, p in zip(rows["w"], rows["positive"], strict=True) if p == side]
+    return fit(sets(True), sets(False), prior, names)
 
 
 def scored(docs: DataFrame, model: Toxicity, out: str = "score") -> DataFrame:
