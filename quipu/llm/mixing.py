@@ -101,14 +101,14 @@ def word_count(text) -> F.Column:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with a row per copy taken (`copy` from 1); a document of which none is taken has no row."""
-    columns, docs = docs.columns, docs.withColumn("_size", word_count(F.col("text")))
+    """docs with a row per copy taken (`copy` from 1, in place of a column of that name); a document of which none is taken has no row."""
+    columns, docs = [c for c in docs.columns if c.lower() != "copy"], docs.withColumn("_size", word_count(F.col("text")))
     plan = mix(docs.select("doc_id", "source", F.col("_size").alias("size")), **options)
-    tally = plan.groupBy("doc_id", "source", "size").agg(*[F.count_if(F.col("copies") > k).alias(f"over{k}") for k in range(2)])
-    tally = tally.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "over0", "over1")
+    tally = plan.groupBy("doc_id", "source", "size").agg(*[F.count_if(F.col("copies") > k).alias(f"_over{k}") for k in range(2)])
+    tally = tally.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_over0", "_over1")
     nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.lit(1)))
     joined = docs.withColumn("_nth", nth).join(tally, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    copies = (F.col("_nth") <= F.col("over0")).cast("int") + (F.col("_nth") <= F.col("over1")).cast("int")
+    copies = (F.col("_nth") <= F.col("_over0")).cast("int") + (F.col("_nth") <= F.col("_over1")).cast("int")
     kept = joined.withColumn("_copies", copies).filter("_copies > 0")
     return kept.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
 
