@@ -5,7 +5,7 @@ rule; lasso logistic regression keeps few of them; what is left is compiled into
 Learnt from at most LABELLED labelled rows (a deterministic share; the bound is a parameter).
 
 Null texts count as empty ones and are scored too.  A document whose labels contradict each other teaches nothing; without any usable
-label every score is 0.5.
+label every score is 0.5; where the labelled rows are too few for any rule every score is the share of good ones.
 """
 
 from __future__ import annotations
@@ -146,6 +146,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
     if not len(y) or y.min() == y.max():
         return RuleEnsemble([], 0.0 if not len(y) else 4.0 if y[0] else -4.0)
     rules = tree_rules(x, y)
+    if not rules:
+        return RuleEnsemble([], float(np.log(y.mean() / (1 - y.mean()))))
     weights, intercept = lasso_logistic(np.stack([r.holds(x) for r in rules], axis=1).astype(np.float32), y)
     return RuleEnsemble([Rule(r.terms, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6], intercept)
 
