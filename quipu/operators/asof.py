@@ -14,9 +14,9 @@ def _asof(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], values:
     left_first = forward != strict  # at one instant, who comes first in the scan
     l = left.select(*by, F.col(on).alias("_at"), F.lit(0 if left_first else 1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(right.select(F.struct(F.col(on).alias("at"), *values)).schema[0].dataType).alias("_value"))
     r = right.select(*by, F.col(on).alias("_at"), F.lit(1 if left_first else 0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.struct(F.col(on).alias("at"), *values).alias("_value"))
-    w = Window.partitionBy(*by).orderBy("_at", "_side")
-    frame = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    found = F.first("_value", True).over(frame) if forward else F.last("_value", True).over(frame)
+    # Forward matches scan from the end: a frame that grows from the start costs a step per row, one that ends at the end costs its length.
+    order = [F.desc("_at"), F.desc("_side")] if forward else [F.asc("_at"), F.asc("_side")]
+    found = F.last("_value", True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     out = l.unionByName(r).withColumn("_found", found).filter("_row IS NOT NULL")
     if tolerance_days is not None:
         near = F.abs(F.datediff(F.col("_found.at"), F.col("_at"))) <= tolerance_days
