@@ -26,7 +26,10 @@ def change_history(df: DataFrame, keys: Sequence[str], ts: str, value: str, tie:
     changed = ~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.lag(tie).over(w).isNull()
     if heartbeat_seconds is None:
         return df.withColumn("_c", changed).filter("_c").drop("_c")
-    runs = _stretches(df, keys, [ts, tie], changed)
+    runs = _stretches(df.withColumn("_first", changed), keys, [ts, tie], F.col("_first"))
+    run = Window.partitionBy(*keys, "_stretch")
+    runs = runs.withColumn("_long", F.max(ts).over(run) >= F.min(ts).over(run) + F.expr(f"INTERVAL {heartbeat_seconds} SECONDS"))
+    short = runs.filter("NOT _long AND _first").select(df.columns)  # a run shorter than the heartbeat stores its first row alone
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, tie])
@@ -34,9 +37,9 @@ def change_history(df: DataFrame, keys: Sequence[str], ts: str, value: str, tie:
         for i, t in enumerate(at):
             if last is None or (t - last) >= np.timedelta64(heartbeat_seconds, "s"):
                 chosen[i], last = True, t
-        return pdf[chosen].drop(columns="_stretch")
+        return pdf[chosen].drop(columns=["_stretch", "_first", "_long"])
 
-    return runs.groupBy(*keys, "_stretch").applyInPandas(keep, df.schema)
+    return short.unionByName(runs.filter("_long").groupBy(*keys, "_stretch").applyInPandas(keep, df.schema))
 
 
 def request_windows(df: DataFrame, keys: Sequence[str], ts: str, tie: str, seconds: int, limit: int) -> DataFrame:
