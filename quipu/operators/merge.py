@@ -53,3 +53,21 @@ def change_log(before: DataFrame, after: DataFrame, key: str, fields: Sequence[s
     zipped = F.zip_with(cast("o"), cast("n"), lambda o, n: F.struct(o["field"].alias("field"), o["value"].alias("before"), n["value"].alias("after")))
     rows = joined.select(F.coalesce("o." + key, "n." + key).alias(key), F.explode(zipped).alias("c")).select(key, "c.*")
     return rows.filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def new_versions(history: DataFrame, table: DataFrame, key: str, catalogue: str) -> DataFrame:
+    """Rows to append to a history (key, version, before, after, catalogue): one for each key whose content differs from its last version.
+
+    Content is the row's JSON with its fields in the order of the table; nulls count as content.  A first version has no `before`.
+    """
+    content = F.to_json(F.struct(*[c for c in table.columns if c != key]), {"ignoreNullFields": "false"})
+    last = history.groupBy(key).agg(F.max("version").alias("_v"), F.max_by("after", "version").alias("before"))
+    joined = table.select(key, content.alias("after")).join(last, key, "left").filter(~F.col("before").eqNullSafe(F.col("after")))
+    return joined.select(key, (F.coalesce("_v", F.lit(0)) + 1).alias("version"), "before", "after", F.lit(catalogue).alias("catalogue"))
+
+
+def edited(history: DataFrame, edit: DataFrame, key: str, catalogue: str) -> DataFrame:
+    """As new_versions, for edits by hand: each names its own catalogue, the base release and `+e<key>v<version>`."""
+    base = catalogue.partition("+")[0]
+    rows = new_versions(history, edit, key, base)
+    return rows.withColumn("catalogue", F.concat(F.lit(f"{base}+e"), F.col(key).cast("string"), F.lit("v"), F.col("version").cast("string")))

@@ -55,3 +55,10 @@ def combined(live: DataFrame) -> DataFrame:
     factor = F.when(F.col("n") == 1, 1.0).when(agree, 1.05).otherwise(0.8)
     confidence = F.least(F.lit(0.99), F.floor(F.col("base") * F.when(decided, 1.0).otherwise(0.8) * factor * 100 + 0.5) / 100)
     return out.select("item", "categories", "rules", F.when(decided, "decided").otherwise("conditional").alias("state"), confidence.alias("confidence"))
+
+
+def broken_cases(cases: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """Golden cases that an edited rule set answers otherwise: key, expected, got (both as JSON).  An edit is accepted when none is left."""
+    fields = [c for c in cases.columns if c != key]
+    joined = cases.select(key, F.struct(*fields).alias("_e")).join(answers.select(key, F.struct(*fields).alias("_g")), key, "left")
+    return joined.filter(~F.col("_e").eqNullSafe(F.col("_g"))).select(key, F.to_json("_e").alias("expected"), F.to_json("_g").alias("got"))

@@ -6,6 +6,7 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,20 +100,111 @@ def json_ld_products(pages: DataFrame, html: str = "html") -> DataFrame:
 
 #: Where each kind of store reply keeps a product's fields (schema of the reply, rows, id, name, brand, price, in stock).
 ADAPTERS = {
-    "vtex": ("array<struct<productId:string,productName:string,brand:string,items:array<struct<sellers:array<struct<commertialOffer:struct<Price:double,AvailableQuantity:int>>>>>>>", "r", "p.productId", "p.productName", "p.brand", "p.items[0].sellers[0].commertialOffer.Price", "p.items[0].sellers[0].commertialOffer.AvailableQuantity > 0"),
+    "vtex": ("array<struct<productId:string,productName:string,brand:string,items:array<struct<sellers:array<struct<commertialOffer:struct<Price:double,AvailableQuantity:int>>>>>>>", "r", "p.productId", "p.productName", "p.brand", "get(get(p.items, 0).sellers, 0).commertialOffer.Price", "get(get(p.items, 0).sellers, 0).commertialOffer.AvailableQuantity > 0"),
     "woostore": ("array<struct<id:string,name:string,prices:struct<price:string,currency_minor_unit:int>,is_in_stock:boolean>>", "r", "p.id", "p.name", "CAST(NULL AS STRING)", "p.prices.price / power(10, p.prices.currency_minor_unit)", "p.is_in_stock"),
-    "shopify": ("struct<products:array<struct<id:string,title:string,vendor:string,variants:array<struct<price:string,available:boolean>>>>>", "r.products", "p.id", "p.title", "p.vendor", "CAST(p.variants[0].price AS DOUBLE)", "p.variants[0].available"),
+    "shopify": ("struct<products:array<struct<id:string,title:string,vendor:string,variants:array<struct<price:string,available:boolean>>>>>", "r.products", "p.id", "p.title", "p.vendor", "CAST(get(p.variants, 0).price AS DOUBLE)", "get(p.variants, 0).available"),
     "magento": ("struct<data:struct<products:struct<items:array<struct<sku:string,name:string,stock_status:string,price_range:struct<minimum_price:struct<final_price:struct<value:double>>>>>>>>", "r.data.products.items", "p.sku", "p.name", "CAST(NULL AS STRING)", "p.price_range.minimum_price.final_price.value", "p.stock_status = 'IN_STOCK'"),
-    "medusa": ("struct<products:array<struct<id:string,title:string,variants:array<struct<calculated_price:struct<calculated_amount:double>,inventory_quantity:int>>>>>", "r.products", "p.id", "p.title", "CAST(NULL AS STRING)", "p.variants[0].calculated_price.calculated_amount", "p.variants[0].inventory_quantity > 0"),
+    "arigato": ("struct<parent_id:struct<groups:array<struct<doclist:struct<docs:array<struct<id:string,sku:string,name:string,brand:string,price:double,stock:double>>>>>>>", "transform(r.parent_id.groups, g -> get(g.doclist.docs, 0))", "p.id", "p.name", "p.brand", "p.price", "coalesce(p.stock, 0) > 0"),
+    "kromi": ("struct<item:array<struct<code:string,name:string,price:double,priceO:double,impuesto:double,stock:double,c_codmoneda:struct<simbolo:string>>>>", "filter(r.item, i -> i.c_codmoneda.simbolo = '$')", "p.code", "regexp_replace(p.name, '(?i)[ ]+prs$', '')", "CAST(NULL AS STRING)", "round(IF(p.priceO > 0, p.priceO, p.price) * (1 + coalesce(p.impuesto, 0) / 100), 2)", "p.stock > 0"),
+    "readdy": ("array<struct<code:string,name:string,price_retail1:string,stock_sede2:double,stock_sede3:double>>", "r", "p.code", "p.name", "CAST(NULL AS STRING)", "try_cast(p.price_retail1 AS DOUBLE)", "coalesce(p.stock_sede2, 0) + coalesce(p.stock_sede3, 0) > 0"),
+    "medusa": ("struct<products:array<struct<id:string,title:string,variants:array<struct<calculated_price:struct<calculated_amount:double>,inventory_quantity:int>>>>>", "r.products", "p.id", "p.title", "CAST(NULL AS STRING)", "get(p.variants, 0).calculated_price.calculated_amount", "get(p.variants, 0).inventory_quantity > 0"),
 }
 
 
 def store_offers(replies: DataFrame, platform: str, body: str = "body") -> DataFrame:
-    """Offers of a store's search reply: other columns, id, name, brand, price (double), in_stock."""
+    """Offers of a store's search reply that have an id, a name and a price above 0: other columns, id, name, brand, price (double), in_stock."""
     schema, rows, *fields = ADAPTERS[platform]
     kept = [c for c in replies.columns if c != body]
     opened = replies.select(*kept, F.from_json(body, schema).alias("r")).select(*kept, F.explode(F.expr(rows)).alias("p"))
-    return opened.select(*kept, *[F.expr(f).alias(n) for f, n in zip(fields, ("id", "name", "brand", "price", "in_stock"), strict=True)])
+    return _sold(opened.select(*kept, *[F.expr(f).alias(n) for f, n in zip(fields, OFFER, strict=True)]))
+
+
+OFFER = ("id", "name", "brand", "price", "in_stock")
+
+
+def _sold(offers: DataFrame) -> DataFrame:
+    return offers.withColumn("name", without_tags(F.col("name"))).filter("id <> '' AND name <> '' AND price > 0")
+
+
+#: Where the result pages of two kinds of store hold a product (block, id, name, price zone, mark of one out of stock).
+HTML_ADAPTERS = {
+    "woocommerce": (r'(?s)<li[^>]*class="[^"]*\btype-product\b.*?</li>', r'data-product_id="([0-9]+)"', r'(?s)woocommerce-loop-product__title">(.*?)</h[23]>', r"(?s)<bdi>(.*?)</bdi>", r'class="[^"]*\boutofstock\b'),
+    "alacena": (r'(?s)<div class="producto.*?</form>', r'name="id_producto"[^>]*value="([0-9]+)"', r'(?s)nombre-producto">\s*<a[^>]*>(.*?)</a>', r'(?s)precio-producto">\s*<h5>(.*?)</h5>', None),
+}
+
+
+def html_offers(pages: DataFrame, platform: str, html: str = "html") -> DataFrame:
+    """Offers on a store's result page, as store_offers; the price within <ins>, where there is one, is the one in force."""
+    block, id_, name, price, gone = HTML_ADAPTERS[platform]
+    kept = [c for c in pages.columns if c != html]
+    b = F.col("_b")
+    opened = pages.select(*kept, F.explode(F.regexp_extract_all(html, F.lit(block), F.lit(0))).alias("_b"))
+    offer = F.regexp_extract(b, r"(?s)<ins[^>]*>(.*?)</ins>", 1)
+    zone = F.regexp_extract(F.when(offer != "", offer).otherwise(b), price, 1)
+    fields = [F.regexp_extract(b, id_, 1), F.regexp_extract(b, name, 1), F.lit(None).cast("string"), amount(without_tags(zone)).cast("double"), ~b.rlike(gone) if gone else F.lit(True)]
+    return _sold(opened.select(*kept, *[f.alias(n) for f, n in zip(fields, OFFER, strict=True)]))
+
+
+def page_flow(html: Column) -> Column:
+    """The text that a page hands its scripts in escaped pieces, joined."""
+    pieces = F.regexp_extract_all(html, F.lit(r'self\.__next_f\.push\(\[1,("(?:[^"\\]|\\.)*")\]\)'), F.lit(1))
+    return F.array_join(F.from_json(F.concat(F.lit("["), F.array_join(pieces, ","), F.lit("]")), "array<string>"), "")
+
+
+def enclosing_objects(text: str | None, mark: str) -> list[str]:
+    """For each mark in a JSON-like text the innermost object around it; braces inside strings don't count.  One pass over the text."""
+    marks, opened, waiting, out = deque(m.start() for m in re.finditer(re.escape(mark), text or "")), [], {}, {}
+    for token in re.finditer(r'"(?:[^"\\]|\\.)*"|[{}]' if marks else "(?!)", text or ""):
+        at = token.start()
+        while marks and marks[0] <= at:
+            waiting.setdefault(opened[-1] if opened else -1, []).append(marks.popleft())
+        if token.group() == "{":
+            opened.append(at)
+        elif token.group() == "}" and opened:
+            start = opened.pop()
+            out |= dict.fromkeys(waiting.pop(start, []), text[start : at + 1])
+    return [out[m] for m in sorted(out)]
+
+
+def flow_offers(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Offers of a store whose result page carries its products (those with an `ean` list) in the page flow; one of each slug."""
+    kept = [c for c in pages.columns if c != html]
+
+    @F.pandas_udf("array<string>")
+    def objects(flows: pd.Series) -> pd.Series:
+        return flows.map(lambda t: enclosing_objects(t, '"ean":['))
+
+    product = "struct<name:string,price:double,slug:string,sku:string,ean:array<string>,isAvailable:boolean,stock:double>"
+    rows = pages.select(*kept, F.posexplode(F.transform(objects(page_flow(F.col(html))), lambda o: F.from_json(o, product))).alias("_n", "p")).filter("p.slug RLIKE '^[a-z0-9-]+$' AND p.name <> ''")
+    first = rows.groupBy(*kept, F.col("p.slug").alias("_slug")).agg(F.min_by("p", "_n").alias("p"))
+    free = F.coalesce("p.isAvailable", F.lit(True)) & (F.coalesce("p.stock", F.lit(1.0)) > 0)
+    out = first.select(*kept, F.coalesce(F.nullif("p.sku", F.lit("")), "p.slug").alias("id"), F.col("p.name").alias("name"), F.lit(None).cast("string").alias("brand"), F.col("p.price").alias("price"), free.alias("in_stock"))
+    return _sold(out)
+
+
+#: Units that close a line of the printed tariff.
+TARIFF_UNITS = ("u", "kg", "l", "m", "m²", "m³", "2u", "1000 kWh", "kWh", "g", "ct", "carat", "TJ", "1000 u", "12u", "kg N", "kg P2O5", "kg K2O", "kg KOH", "kg NaOH", "kg H2O2", "kg U", "l alc. 100%", "kg 90% sdt")
+
+
+def printed_tariff(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of a tariff printed in fixed columns: code, description, rate and unit (null where not printed); other columns stay.
+
+    A row is the line of an eight-part code and up to five lines below it, until the next code or a blank line.  Rate and unit close one
+    of its lines after two blanks; the last such line counts.  Lines of figures and capitals alone are not part of the description.
+    """
+    any_code = r"[ ]{0,18}[0-9]{4}(?:\.[0-9]{1,2}){1,3}[ ]+[-A-ZÁÉÍÓÚÑ(]"
+    row = rf"(?m)^[ ]{{0,18}}[0-9]{{4}}(?:\.[0-9]{{2}}){{3}}[ ]+[-A-ZÁÉÍÓÚÑ(][^\n]*(?:\n(?!{any_code})(?![ \t]*$)[^\n]+){{0,4}}"
+    units = "|".join(re.escape(u).replace(r"\ ", r"\s?") for u in TARIFF_UNITS)
+    tail = rf"[ ]{{2,}}([0-9]{{1,2}}(?:[.,][0-9]{{1,2}})?(?:BK|BIT)?)(?:[ ]{{2,}}[^\s]+){{0,3}}?[ ]{{2,}}({units})[ ]*$"
+    kept = [c for c in pages.columns if c != text]
+    lines = F.split(F.regexp_replace("_b", r"^[ ]*[0-9.]+[ ]+", ""), "\n")
+    opened = pages.select(*kept, F.explode(F.regexp_extract_all(text, F.lit(row), F.lit(0))).alias("_b"))
+    ends = F.filter(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, tail, 1).alias("rate"), F.regexp_extract(x, tail, 2).alias("unit"))), lambda e: e["unit"] != "")
+    bare = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, tail, "")).alias("x")))
+    said = F.filter(bare, lambda b: (b["i"] == 0) | ((b["x"] != "") & ~b["x"].rlike(r"^[0-9,\sA-Z]+$")))
+    words = F.regexp_replace(F.array_join(F.transform(said, lambda b: b["x"]), " "), r"\s{2,}", " ")
+    last = F.try_element_at("_e", F.lit(-1))
+    return opened.withColumn("_e", ends).select(*kept, F.regexp_extract("_b", r"([0-9.]+)", 1).alias("code"), F.trim(words).alias("description"), last["rate"].alias("rate"), last["unit"].alias("unit"))
 
 
 def pasted_list(texts: DataFrame, column: str, most: int = 500) -> DataFrame:
