@@ -3,21 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKET_DAYS = 32
+
+
 def _asof(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], values: Sequence[str], forward: bool, tolerance_days: int | None, strict: bool) -> DataFrame:
-    """Both sides in one sorted pass per key: one shuffle, no pairs."""
+    """Both sides in one sorted pass per key and stretch of BUCKET_DAYS: one shuffle of the rows, no pairs, no key in one task.
+
+    What a stretch can't find inside comes from the nearest stretch of the key that has a right row; those edges are one row for each
+    key and stretch.
+    """
     names = [c for c in left.columns if c not in (on, *by)]
     left_first = forward != strict  # at one instant, who comes first in the scan
+    bucket = F.floor(F.datediff(F.col("_at"), F.lit("1970-01-01").cast("date")) / BUCKET_DAYS).alias("_bucket")
     l = left.select(*by, F.col(on).alias("_at"), F.lit(0 if left_first else 1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(right.select(F.struct(F.col(on).alias("at"), *values)).schema[0].dataType).alias("_value"))
     r = right.select(*by, F.col(on).alias("_at"), F.lit(1 if left_first else 0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.struct(F.col(on).alias("at"), *values).alias("_value"))
     # Forward matches scan from the end: a frame that grows from the start costs a step per row, one that ends at the end costs its length.
-    order = [F.desc("_at"), F.desc("_side")] if forward else [F.asc("_at"), F.asc("_side")]
-    found = F.last("_value", True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = l.unionByName(r).withColumn("_found", found).filter("_row IS NOT NULL")
+    turn = F.desc if forward else F.asc
+    inside = Window.partitionBy(*by, "_bucket").orderBy(turn("_at"), turn("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    out = l.unionByName(r).select("*", bucket).withColumn("_found", F.last("_value", True).over(inside)).filter("_row IS NOT NULL")
+
+    nearest = F.min_by("_value", "_at") if forward else F.max_by("_value", "_at")
+    edges = r.select(*by, "_at", "_value", bucket).groupBy(*by, "_bucket").agg(nearest.alias("_value"))
+    edges = edges.unionByName(l.select(*by, bucket).distinct().withColumn("_value", F.lit(None).cast(r.schema["_value"].dataType))).groupBy(*by, "_bucket").agg(F.first("_value", True).alias("_value"))
+    before = F.last("_value", True).over(Window.partitionBy(*by).orderBy(turn("_bucket")).rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_b"), before.alias("_edge")).filter("_edge IS NOT NULL")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    out = out.join(edges, reduce(and_, same, F.col("_bucket") == F.col("_b")), "left").withColumn("_found", F.coalesce("_found", "_edge"))
     if tolerance_days is not None:
         near = F.abs(F.datediff(F.col("_found.at"), F.col("_at"))) <= tolerance_days
         out = out.withColumn("_found", F.when(near, F.col("_found")))

@@ -62,3 +62,22 @@ def broken_cases(cases: DataFrame, answers: DataFrame, key: str) -> DataFrame:
     fields = [c for c in cases.columns if c != key]
     joined = cases.select(key, F.struct(*fields).alias("_e")).join(answers.select(key, F.struct(*fields).alias("_g")), key, "left")
     return joined.filter(~F.col("_e").eqNullSafe(F.col("_g"))).select(key, F.to_json("_e").alias("expected"), F.to_json("_g").alias("got"))
+
+
+def merged_options(options: DataFrame) -> DataFrame:
+    """Options (item, rule, category, condition) of one category become one: their rules, and the condition only where all have the same."""
+    grouped = options.groupBy("item", "category").agg(F.array_sort(F.collect_set("rule")).alias("rules"), F.min("condition").alias("_low"), F.max("condition").alias("_high"), F.count_if(F.col("condition").isNull()).alias("_none"))
+    return grouped.select("item", "category", "rules", F.when((F.col("_low") == F.col("_high")) & (F.col("_none") == 0), F.col("_low")).alias("condition"))
+
+
+def tagged_rules(items: DataFrame, tags: str, rules: DataFrame) -> DataFrame:
+    """Rules (tag, rule, priority) that an item's tags name, those of the highest priority alone."""
+    key = [c for c in items.columns if c != tags]
+    met = items.select(*key, F.explode(tags).alias("tag")).join(rules, "tag").select(*key, "rule", "priority").distinct()
+    return met.withColumn("_r", F.rank().over(Window.partitionBy(*key).orderBy(F.desc("priority")))).filter("_r = 1").drop("_r")
+
+
+def residual(codes: DataFrame, classified: DataFrame, key: str, percent: int) -> DataFrame:
+    """Codes that no rule knows fall to the general rate, conditionally; the others keep their rule."""
+    joined = codes.join(classified, key, "left")
+    return joined.withColumns({"percent": F.when(F.col("rule").isNull(), percent), "state": F.when(F.col("rule").isNull(), "conditional")})

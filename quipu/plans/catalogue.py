@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quipu.plans import core, domain, flows, search, texts
+from quipu.plans import core, domain, flows, search, services, texts
 
-QUERIES = core.R.queries | texts.R.queries | domain.R.queries | flows.R.queries | search.R.queries
-SQL = core.R.sql | texts.R.sql | domain.R.sql | flows.R.sql | search.R.sql
+QUERIES = core.R.queries | texts.R.queries | domain.R.queries | flows.R.queries | search.R.queries | services.R.queries
+SQL = core.R.sql | texts.R.sql | domain.R.sql | flows.R.sql | search.R.sql | services.R.sql

@@ -92,3 +92,26 @@ def test_lock_out_after_failures_and_its_end(spark):
     df = spark.createDataFrame([(u, at + dt.timedelta(minutes=m), i, bad) for u in (1, None) for i, (m, bad) in enumerate(plan)], "u int, ts timestamp, i int, bad boolean")
     got = state.lock_outs(df, ["u"], "ts", "i", F.col("bad"), 2, 600).orderBy("u", "i").collect()
     assert [(r.outcome, r.failures) for r in got] == 2 * [("failed", 1), ("in", 0), ("failed", 1), ("failed", 2), ("locked", 2), ("failed", 3), ("in", 0), ("failed", 1)]
+
+
+def test_robots_longest_pattern_decides(spark):
+    from quipu.operators.agenda import allowed
+
+    said = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(a).alias("allow")) for p, a in (("/a", False), ("/a/b", True), ("/c", False), ("/c", True), ("/*.x$", False), ("", False))])
+    paths = spark.createDataFrame([("/a",), ("/a/b1",), ("/c",), ("/q.x",), ("/q.xy",), ("/zxx",)], "p string")
+    assert [r[0] for r in paths.select(allowed(F.col("p"), said)).collect()] == [False, True, True, False, True, True]
+
+
+def test_asof_finds_rows_in_far_stretches_and_null_keys(spark):
+    from quipu.operators import asof
+
+    day = dt.date
+    left = spark.createDataFrame([(k, day(y, 6, 1), y) for k in ("a", None) for y in (1960, 1999, 2020)], "k string, d date, y int")
+    right = spark.createDataFrame([(k, day(y, 6, 1), y) for k in ("a", None) for y in (1980, 1999)] + [("b", day(2019, 1, 1), 7)], "k string, d date, v int")
+
+    def got(join, strict=False):
+        return {(r.k, r.y): r.v for r in join(left, right, "d", ["k"], ["v"], strict=strict).collect()}
+
+    assert got(asof.asof_backward) == {(k, y): v for k in ("a", None) for y, v in ((1960, None), (1999, 1999), (2020, 1999))}
+    assert got(asof.asof_backward, True) == {(k, y): v for k in ("a", None) for y, v in ((1960, None), (1999, 1980), (2020, 1999))}
+    assert got(asof.asof_forward) == {(k, y): v for k in ("a", None) for y, v in ((1960, 1980), (1999, 1999), (2020, None))}
