@@ -1,12 +1,14 @@
 """Operator 6: LM scoring with Brown class bigrams.
 
 Tokens are UTF-8 runs without ASCII white space, A-Z lowered, and one end per text.  All counts cover all training rows.  The most
-frequent words and, for all other words, their two-byte endings are the units that exchange clustering assigns to classes (the
-bigram table of units has a fixed size bound; the words themselves have none).  A text's log10 probability is the sum of class
-transition and word emission, both smoothed; an unseen word takes the spare mass of its class.
-
-Frequent words (at most FREQUENT) are scored in the pass over the texts; the counts of all others come by a hash join of the
-distinct rare words of each text.  Null texts count as empty ones (one end).  Each row is scored, repeated ones too.
+frequent words and, for all other words, their two-byte endings are the units that exchange clustering assigns to seed classes.  Then
+every other word seen at least LEAST times takes the class with the best exchange gain, from the counts of its left and right classes
+over all training rows (one sweep, against the seed classes); rarer and unseen words keep the class of their ending.  The class bigrams
+are counted again with these classes.  A text's log10 probability is the sum of class transition and word emission, both smoothed; an
+unseen word takes the spare mass of its class.
+
+Counts and classes of frequent words (at most FREQUENT) are looked up in the pass over the texts; those of all others come by a hash
+join of the distinct rare words of each text.  Null texts count as empty ones (one end).  Each row is scored, repeated ones too.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from quipu.llm.common import held_out, read, stored
 
 END = b"\n"
 WORDS, ENDINGS, CLASSES, FREQUENT = 1000, 400, 48, 200_000
-ADD, HELD_TYPES, ROUNDS = 0.1, 400_000, 8
+LEAST = 3  # occurrences from which a word gets a class of its own
+ADD, HELD_TYPES, HELD_CELLS, ROUNDS = 0.1, 400_000, 4_000_000, 8
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -72,6 +75,38 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     return of
 
 
+def best_classes(table: np.ndarray, own: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Class of each word that raises the likelihood of the class bigrams most, all other words as they are in `table`.
+
+    A word's counts are (word, cell, n): cell c is its right neighbours in class c, k + c its left ones, 2 k the word beside itself.
+    """
+    k, words, every = len(table), len(own), np.arange(len(own))
+    counts = np.zeros((words, 2 * k + 1))
+    np.add.at(counts, (word, cell), n)
+    right, left, self_pairs = counts[:, :k], counts[:, k : 2 * k], counts[:, 2 * k]
+    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
+    gain = np.zeros((words, k))
+    for side, tab, across in ((0, table, left), (1, table.T, right)):
+        at = np.flatnonzero(cell // k == side)
+        w, j, more = word[at], cell[at] - side * k, n[at].astype(float)
+        base, home = tab[:, j].T.copy(), own[w]
+        base[np.arange(len(at)), home] -= more
+        inside = np.flatnonzero(j == home)
+        base[inside] -= across[w[inside]]
+        base[inside, home[inside]] -= self_pairs[w[inside]]
+        np.add.at(gain, w, xlogx(base + more[:, None]) - xlogx(base))
+    both = right + left + self_pairs[:, None]
+    at = np.repeat(table[np.arange(k), np.arange(k)][None, :], words, 0)
+    at[every, own] -= both[every, own]
+    gain += xlogx(at + both) - xlogx(at + right) - xlogx(at + left) + xlogx(at)
+    for margin, mine in ((table.sum(1), right.sum(1) + self_pairs), (table.sum(0), left.sum(1) + self_pairs)):
+        rest = np.repeat(margin[None, :], words, 0)
+        rest[every, own] -= mine
+        gain -= xlogx(rest + mine[:, None]) - xlogx(rest)
+    best = gain.argmax(1)
+    return np.where(gain[every, best] <= gain[every, own] + 1e-9, own, best)
+
+
 @dataclass
 class Units:
     """What stands for a token in the class model: itself, the end, its ending, or the rest (unit 1)."""
@@ -90,16 +125,29 @@ class Units:
 
 
 @dataclass
-class Model:
-    counts: DataFrame  # token, n: all training tokens
-    least: int  # words seen so often are in `frequent`
-    frequent: dict[bytes, int]
+class Lookup:
+    """Fixed size: the frequent words with counts and classes, the units with seed classes."""
+
+    frequent: dict[bytes, int]  # place in seen and cls
+    seen: np.ndarray
+    cls: np.ndarray
     units: Units
+    unit_class: np.ndarray
+
+    def of_all(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place (-1: none) and class of each token; of a token without a place the seed class."""
+        place = np.fromiter((self.frequent.get(t, -1) for t in tokens), np.int64, len(tokens))
+        seed = self.unit_class[self.units.of_all(tokens)]
+        return place, np.where(place >= 0, self.cls[place], seed) if len(self.cls) else seed
+
+
+@dataclass
+class Model:
+    counts: DataFrame  # token, n, cls: the training tokens that have no place in `lookup`
+    lookup: Lookup
     total: int
     types: int
-    unit_class: np.ndarray
-    transition: np.ndarray  # log10, class x class
-    mass: np.ndarray  # log10 denominator of each class's emission
+    types_in: np.ndarray  # of each class
 
 
 def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -165,6 +213,88 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[int, dict[bytes, int]]
     return cut, dict(zip(found["token"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
+def contexts(docs: DataFrame, lookup: Lookup, classes: int, open_words: bool) -> DataFrame:
+    """(place, token, cell, n): how often each word but the seed words has a neighbour of a seed class (cells as in best_classes).
+
+    A frequent word is named by its place, any other (only if open_words) by its token.
+    """
+    shared, width = docs.sparkSession.sparkContext.broadcast(lookup), 2 * classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = shared.value
+        seeds = 2 + len(look.units.words)
+        keys: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        rare: Counter = Counter()
+
+        def sums() -> tuple[np.ndarray, np.ndarray]:
+            found, at = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
+            return found, np.bincount(at, np.concatenate([*times, np.zeros(0, np.int64)]), len(found)).astype(np.int64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = ["place", "token", "cell", "n"]
+            found, n = sums()
+            keys.clear()
+            times.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(found // width), pa.nulls(len(found), pa.binary()), pa.array(found % width), pa.array(n)], names)
+            tokens, cells = zip(*rare, strict=True) if rare else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rare), pa.int64()), pa.array(tokens, pa.binary()), pa.array(cells, pa.int64()), pa.array(list(rare.values()), pa.int64())], names)
+            rare.clear()
+
+        size = 0
+        for _, codes, _, found in _batches(batches, 0):
+            unit = look.units.of_all(found)
+            place = np.fromiter((look.frequent.get(t, -1) for t in found), np.int64, len(found))
+            seed = look.unit_class[unit]
+            moves = (unit >= seeds) | (unit == 1)
+            moves &= np.where(place >= 0, look.seen[place] >= LEAST, open_words)
+            a, b = np.concatenate([np.flatnonzero(unit == 0)[:1], codes[:-1]]), codes
+            alone = a == b
+            first, second, beside = moves[a] & ~alone, moves[b] & ~alone, moves[a] & alone
+            word = np.concatenate([a[first], b[second], a[beside]])
+            cell = np.concatenate([seed[b[first]], classes + seed[a[second]], np.full(beside.sum(), 2 * classes)])
+            at = place[word]
+            pairs, n = np.unique(at[at >= 0] * width + cell[at >= 0], return_counts=True)
+            keys.append(pairs)
+            times.append(n)
+            size += len(pairs)
+            rare.update(zip(found[word[at < 0]].tolist(), cell[at < 0].tolist(), strict=True))
+            if size > HELD_CELLS:
+                merged, n = sums()
+                keys[:], times[:], size = [merged], [n], len(merged)
+            if size > HELD_CELLS // 2 and len(keys) == 1 or len(rare) > HELD_TYPES:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    found = docs.select("text").mapInArrow(run, "place long, token binary, cell long, n long")
+    return found.groupBy("place", "token", "cell").agg(F.sum("n").alias("n"))
+
+
+def moved(cells: DataFrame, lookup: Lookup, table: np.ndarray) -> DataFrame:
+    """(place, token, cls): each word's best class; words seen less than LEAST times are left out."""
+    k = len(table)
+    names = pa.array(list(lookup.frequent), pa.binary())
+    shared = cells.sparkSession.sparkContext.broadcast((names, lookup.units, lookup.unit_class, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, units, unit_class, table = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                lists = part.column(2)
+                word = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                flat = lists.flatten()
+                tokens = [names[p].as_py() if t is None else t for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                own = unit_class[units.of_all(np.array([*tokens, None], dtype=object)[:-1])]
+                best = best_classes(table, own, word, flat.field("cell").to_numpy(), flat.field("n").to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best.astype(np.int64))], ["place", "token", "cls"])
+
+    occurrences = F.sum(F.when(F.col("cell") < k, F.col("n")).when(F.col("cell") == 2 * k, F.col("n")).otherwise(0))
+    words = cells.groupBy("place", "token").agg(F.collect_list(F.struct("cell", "n")).alias("cells"), occurrences.alias("seen")).filter(F.col("seen") >= LEAST)
+    return words.select("place", "token", "cells").mapInArrow(run, "place long, token binary, cls long")
+
+
 def train(docs: DataFrame, words: int = WORDS, endings: int = ENDINGS, classes: int = CLASSES) -> Model:
     counts = stored(token_counts(docs), "counts")
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -180,62 +310,124 @@ def train(docs: DataFrame, words: int = WORDS, endings: int = ENDINGS, classes:
             before = np.concatenate([[0], seen[:-1]])
             yield before * size + seen, np.ones(len(seen))
 
-    def type_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for b in batches:
-            yield units.of_all(np.array(b.column(0).to_pylist() + [None], dtype=object)[:-1]), np.ones(b.num_rows)
-
     bigrams = _summed(docs.select("text"), size * size, pairs).reshape(size, size).astype(float)
     unit_class = exchange(bigrams, classes)
     k = int(unit_class.max()) + 1
     table = np.zeros((k, k))
     np.add.at(table, (unit_class[:, None], unit_class[None, :]), bigrams)
-    words_in = np.bincount(unit_class, _summed(counts.select("token"), size, type_units), k)
-    tokens_in = table.sum(0)
-    prior = (tokens_in + 0.5) / (tokens_in.sum() + 0.5 * k)
-    transition = np.log10((table + 2.0 * prior) / (table.sum(1, keepdims=True) + 2.0))
-    return Model(counts, least, frequent, units, total, types, unit_class, transition, np.log10(tokens_in + ADD * (words_in + 1)))
+    seen = np.fromiter(frequent.values(), np.int64, len(frequent))
+    seed = unit_class[units.of_all(np.array([*frequent, None], dtype=object)[:-1])]
+    lookup = Lookup({w: i for i, w in enumerate(frequent)}, seen, seed, units, unit_class)
+    best = stored(moved(contexts(docs, lookup, k, least > LEAST), lookup, table), "classes")
+    found = best.filter("place IS NOT NULL").select("place", "cls").toArrow()
+    lookup.cls = seed.copy()
+    lookup.cls[found["place"].to_numpy()] = found["cls"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(lookup)
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = shared.value.unit_class[shared.value.units.of_all(np.array(b.column(0).to_pylist() + [None], dtype=object)[:-1])]
+            cls = b.column(2).to_numpy(zero_copy_only=False).astype(float)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(np.isnan(cls), own, cls).astype(np.int64))], ["token", "n", "cls"])
 
+    rest = counts.filter(F.col("n") < least).join(best.filter("place IS NULL").select("token", "cls"), "token", "left")
+    rest = stored(rest.select("token", "n", "cls").mapInArrow(seeded, "token binary, n long, cls long"), "rest")
+    types_in = np.bincount(lookup.cls, minlength=k)
+    for r in rest.groupBy("cls").count().collect():
+        types_in[r["cls"]] += r["count"]
+    return Model(rest, lookup, total, types, types_in)
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, n_tokens, n_known, base_score (unigram), score (class bigram), in log10."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.frequent, model.units, model.unit_class, model.transition, model.mass))
-    base_mass = float(np.log10(model.total + ADD * (model.types + 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, units, unit_class, transition, mass = shared.value
-        end_class = unit_class[0]
+def encoded(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row: doc_id, n_tokens, n_known, word (sum of log10 of counts), classes (a byte per token)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.lookup)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = shared.value
         for part, codes, row, found in _batches(batches, 2):
             rows = part.num_rows
-            count = np.fromiter((frequent.get(t, 0) for t in found), np.int64, len(found))
-            cls = unit_class[units.of_all(found)]
-            here = cls[codes]
-            before = np.concatenate([[end_class], here[:-1]])
+            place, cls = look.of_all(found)
+            count = np.where(place >= 0, look.seen[place], 0) if len(look.seen) else np.zeros(len(found), np.int64)
             seen = count[codes]
-            word = np.where(seen > 0, np.log10(seen + ADD), 0.0)
-            base = np.bincount(row, word - base_mass, rows)
-            own = np.bincount(row, word - mass[here] + transition[before, here], rows)
+            word = np.bincount(row, np.where(seen > 0, np.log10(seen + ADD), 0.0), rows)
+            bounds = np.searchsorted(row, np.arange(rows + 1))
             rare = np.flatnonzero(seen == 0)
-            keys, times = np.unique(row[rare] * len(found) + codes[rare], return_counts=True)
-            bounds = np.searchsorted(keys, np.arange(rows + 1) * max(1, len(found)))
-            names = found[keys % max(1, len(found))] if len(keys) else []
-            lists = lambda values, kind, b=bounds: pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(list(values), kind))
+            pairs, which = np.unique(row[rare] * len(found) + codes[rare], return_inverse=True)
+            firsts = np.searchsorted(pairs, np.arange(rows + 1) * max(1, len(found)))
+            names = found[pairs % max(1, len(found))] if len(pairs) else []
+            slots = np.full(len(codes), -1, np.int64)
+            slots[rare] = which - firsts[row[rare]]
+            at = np.flatnonzero(slots >= 0)
+            starts = np.searchsorted(row[at], np.arange(rows + 1))
+            here, flat = cls[codes].astype(np.uint8).tobytes(), slots[at].astype(np.int32)
+            lists = lambda values, kind, b: pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(values, kind))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.bincount(row, minlength=rows), pa.int64()), pa.array(np.bincount(row, seen > 0, rows).astype(np.int64)), pa.array(base), pa.array(own), lists(names, pa.binary()), lists(times, pa.int64())],
-                ["uid", "doc_id", "n_tokens", "known", "base", "own", "rare", "times"],
+                [part.column(0), part.column(1), pa.array(np.bincount(row, minlength=rows), pa.int64()), pa.array(np.bincount(row, seen > 0, rows).astype(np.int64)), pa.array(word), pa.array([here[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), lists(list(names), pa.binary(), firsts), lists(flat, pa.int32(), starts), lists((at - bounds[row[at]]).astype(np.int32), pa.int32(), starts)],
+                ["uid", "doc_id", "n_tokens", "n_known", "word", "classes", "rare", "slots", "places"],
             )
 
-    found = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n_tokens long, known long, base double, own double, rare array<binary>, times array<long>")
-    found = stored(found, "scored")
-    rare = found.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
-    counted = rare.join(model.counts.filter(F.col("n") < model.least), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    tail = counted.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + ADD)).alias("s"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"))
-    out = found.drop("rare", "times").join(tail, "uid", "left")
-    more = F.coalesce("s", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("own") + more).alias("score"))
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known, word, classes = [], [], []
+            for k, w, c, slots, places, tail in zip(*(b.column(i).to_pylist() for i in range(2, 5)), *(b.column(i) for i in range(5, 8)), strict=True):
+                if slots.values is not None and len(slots.values):
+                    slot, place = slots.values.to_numpy(), places.values.to_numpy()
+                    n, cls, have = np.zeros(slot.max() + 1, np.int64), np.zeros(slot.max() + 1, np.uint8), np.zeros(slot.max() + 1, bool)
+                    if tail.values is not None and len(tail.values):
+                        at = tail.values.field("i").to_numpy()
+                        n[at], cls[at], have[at] = tail.values.field("n").to_numpy(), tail.values.field("cls").to_numpy(), True
+                    k += int((n[slot] > 0).sum())
+                    w += float(np.log10(n[slot] + ADD).sum())
+                    held = np.frombuffer(c, np.uint8).copy()
+                    held[place] = np.where(have[slot], cls[slot], held[place])
+                    c = held.tobytes()
+                known.append(k)
+                word.append(w)
+                classes.append(c)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known, pa.int64()), pa.array(word, pa.float64()), pa.array(classes, pa.binary())], ["doc_id", "n_tokens", "n_known", "word", "classes"])
+
+    found = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(look_up, "uid long, doc_id long, n_tokens long, n_known long, word double, classes binary, rare array<binary>, slots array<int>, places array<int>")
+    found = stored(found, "looked_up")
+    rare = found.select("uid", F.posexplode("rare").alias("i", "token")).join(model.counts, "token")
+    tail = rare.groupBy("uid").agg(F.collect_list(F.struct("i", "n", F.col("cls").cast("int").alias("cls"))).alias("tail"))
+    joined = found.drop("rare").join(tail, "uid", "left").select("doc_id", "n_tokens", "n_known", "word", "classes", "slots", "places", "tail")
+    return stored(joined.mapInArrow(settle, "doc_id long, n_tokens long, n_known long, word double, classes binary"), "encoded")
+
+
+def score(docs: DataFrame, learnt: DataFrame, model: Model) -> DataFrame:
+    """Of encoded docs: doc_id, n_tokens, n_known, base_score (unigram), score (class bigram with the transitions of `learnt`), in log10."""
+    k, end = len(model.types_in), int(model.lookup.unit_class[0])
+
+    def steps(classes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        here = np.frombuffer(b"".join(classes.to_pylist()), np.uint8).astype(np.int64)
+        return np.concatenate([[end], here[:-1]])[: len(here)], here  # each row ends with the end, where the next one starts
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            before, here = steps(b.column(0))
+            yield before * k + here, np.ones(len(here))
+
+    table = _summed(learnt.select("classes"), k * k, pairs).reshape(k, k).astype(float)
+    tokens_in = table.sum(0)
+    prior = (tokens_in + 0.5) / (tokens_in.sum() + 0.5 * k)
+    transition = np.log10((table + 2.0 * prior) / (table.sum(1, keepdims=True) + 2.0))
+    mass = np.log10(tokens_in + ADD * (model.types_in + 1))
+    base_mass = float(np.log10(model.total + ADD * (model.types + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before, here = steps(b.column(4))
+            n, word = b.column(1).to_numpy(), b.column(3).to_numpy()
+            row = np.repeat(np.arange(b.num_rows), n)
+            own = word + np.bincount(row, transition[before, here] - mass[here], b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(word - n * base_mass), pa.array(own)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.filter(~held_out(F.col("doc_id"), 10)))
-    out = score(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 10)).withColumn("train_tokens", F.lit(model.total).cast("long"))
+    texts = encoded(docs, model)
+    out = score(texts, texts.filter(~held_out(F.col("doc_id"), 10)), model).withColumn("held_out", held_out(F.col("doc_id"), 10)).withColumn("train_tokens", F.lit(model.total).cast("long"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

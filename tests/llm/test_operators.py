@@ -160,6 +160,46 @@ def test_exchange_finds_planted_classes():
     assert all(len(set(found[of == c])) == 1 for c in range(3)) and len(set(found)) == 3
 
 
+def test_best_classes_against_the_likelihood():
+    rng = np.random.default_rng(3)
+    of, k = rng.integers(0, 4, 30), 4
+    bigrams = rng.poisson(2.0, (30, 30)).astype(float)
+
+    def table(of):
+        out = np.zeros((k, k))
+        np.add.at(out, (of[:, None], of[None, :]), bigrams)
+        return out
+
+    def likelihood(of):
+        t = table(of)
+        return (t * np.log(t)).sum() - (t.sum(1) * np.log(t.sum(1))).sum() - (t.sum(0) * np.log(t.sum(0))).sum()
+
+    cells = np.zeros((30, 2 * k + 1))
+    for w in range(30):
+        others = np.arange(30) != w
+        cells[w, :k] = np.bincount(of[others], bigrams[w, others], k)
+        cells[w, k : 2 * k] = np.bincount(of[others], bigrams[others, w], k)
+        cells[w, 2 * k] = bigrams[w, w]
+    word, cell = np.nonzero(cells)
+    want = [max(range(k), key=lambda c, w=w: likelihood(np.where(np.arange(30) == w, c, of))) for w in range(30)]
+    assert brown.best_classes(table(of), of, word, cell, cells[word, cell]).tolist() == want
+
+
+@pytest.mark.parametrize("frequent", [200_000, 40])
+def test_words_beyond_the_seed_get_the_class_of_their_neighbours(spark, monkeypatch, frequent):
+    """Two kinds of words alternate; their endings say nothing, and only a few of them are seed words."""
+    monkeypatch.setattr(brown, "FREQUENT", frequent)
+    rng = np.random.default_rng(4)
+    kinds = [[f"{x}{i}zz" for i in range(60)] for x in "ab"]
+    weights = 1 / np.arange(1, 61)
+    texts = [" ".join(kinds[i % 2][rng.choice(60, p=weights / weights.sum())] for i in range(40)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = brown.train(docs, words=8, endings=5, classes=4)
+    look = model.lookup
+    cls = {w.decode(): int(look.cls[i]) for w, i in look.frequent.items()} | {bytes(r.token).decode(): r.cls for r in model.counts.collect()}
+    assert all(w in cls for x in kinds for w in x) and not {cls[w] for w in kinds[0]} & {cls[w] for w in kinds[1]}
+
+
 #: The contract's patterns, leftmost and without retries.
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
