@@ -84,6 +84,14 @@ def filter_array_contains(spark, sf):
     return e.filter(F.array_contains("t", "error") & outside).select("user_id", F.array_join("t", ",").alias("types"))
 
 
+@case("SELECT user_id, day, array_to_string(list_sort(types), ',') AS types FROM (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, list(DISTINCT event_type) AS types FROM events GROUP BY 1, 2) WHERE list_has_all(types, ['error', 'purchase']) AND NOT list_contains(types, 'view')")
+def filter_array_contains_by_day(spark, sf):
+    """The set of kinds of each user and day over all events: errors and purchases, no views."""
+    e = read(spark, sf, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.array_sort(F.collect_set("event_type")).alias("t"))
+    kept = F.array_contains("t", "error") & F.array_contains("t", "purchase") & ~F.array_contains("t", "view")
+    return e.filter(kept).select("user_id", "day", F.array_join("t", ",").alias("types"))
+
+
 @case("SELECT t AS topic, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS t FROM part) GROUP BY 1")
 def explode_count(spark, sf):
     return read(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
