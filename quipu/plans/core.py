@@ -440,6 +440,13 @@ def set_except_both_ways(spark, sf):
     return relational.differences(a, read(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
+@case("SELECT *, 'a' AS side FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL SELECT *, 'b' FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def set_except_by_status(spark, sf):
+    """Customers with finished orders against customers with open ones, over all orders."""
+    having = lambda status: read(spark, sf, "orders").filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("k"))
+    return relational.differences(having("F"), having("O"))
+
+
 @case("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS both_flags FROM (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linestatus = 'F') GROUP BY 1")
 def set_intersect_arrays(spark, sf):
     kinds = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "A", F.col("l_partkey"))).alias("a"), F.collect_set(F.when(F.col("l_linestatus") == "F", F.col("l_partkey"))).alias("f"))
