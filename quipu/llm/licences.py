@@ -1,12 +1,14 @@
 """Operator 2: licence scan by canonical digest lookup.  DataFrame functions only.
 
-A whole text is normalised (A-Z lowered, copyright lines and "all rights reserved" dropped, punctuation and white space to single
+A whole text is normalised (A-Z lowered, copyright clauses and "all rights reserved" dropped, punctuation and white space to single
 spaces, equivalent spellings made one) and its SHA-256 is joined to the digests of known licences.  Null texts and texts of which
 nothing is left have a null digest and no licence.  Repeated rows each get a row; of licences with one digest the smallest id counts.
 """
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ EQUIVALENT = [
     ("authoris", "authoriz"), ("recognis", "recogniz"), ("realis", "realiz"), ("utilis", "utiliz"), ("whilst", "while"), ("favour", "favor"), ("honour", "honor"),
     ("behaviour", "behavior"), ("per cent", "percent"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("acknowledgement", "acknowledgment"),
 ]
+#: A clause with (c), a sign or a year stands anywhere; one of a name alone starts its line and does not go on as prose does.  Each ends with
+#: its line or where a licence begins.
+_BEGINS = r"\b(permission (is|to)\b|redistribution and\b|(dual[ -])?licensed under\b|released under\b|this (software|work|file|program|library|is)\b|everyone is\b|all rights reserved|the above\b|you may\b|distributed under\b|provided under\b)"
+_PROSE = r"(notice|holder|owner|law|licen|statement|disclaim|interest|protect|right|treat|doctrine|infring|permission|message|term|(act|on|in|of|to|is|are|or|and|the|that|for|as|with|under|at|from|does|applies|status|resulting)\b(?! regents))"
+COPYRIGHT_CLAUSE = rf"(copyright[ \t]*(\(c\)|©|[0-9]{{4}}|[<\[])|©|\(c\)[ \t]*[0-9]{{4}}|^[^a-z0-9\n]*copyright[ \t]+(by[ \t]+)?(?!{_PROSE})[a-z]).*?(?={_BEGINS}|$)"
+#: The form in OP2_SQL: whole lines.  The two differ only on texts with a copyright clause.
 COPYRIGHT_LINE = r"^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|<)|©|\(c\)[ \t]*[0-9]{4})[^\n]*"
 RESERVED = r"all rights reserved\.?"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,8 +47,34 @@ KNOWN = [
 ]
 
 
+#: Whole texts in licence_texts/, by file name.
+TEXTS = "Apache-2.0 Artistic-1.0-Perl BSD-2-Clause BSD-3-Clause-UC CC-BY-SA-4.0 CC0-1.0 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 MPL-1.1 MPL-2.0 Unlicense".split()
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Standard licences as whole texts, with and without title line and appendix, items numbered or not."""
+    read_text = lambda name: pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()
+    texts = {name: read_text(name) for name in TEXTS}
+    two = texts["BSD-2-Clause"]
+    texts["BSD-3-Clause"] = two.replace("THIS SOFTWARE IS PROVIDED", f"{_THIRD}THIS SOFTWARE IS PROVIDED", 1)
+    titles = {"BSD-2-Clause": ["", "BSD 2-Clause License\n\n", "The BSD 2-Clause License\n\n", "Simplified BSD License\n\n"], "BSD-3-Clause": ["", "BSD 3-Clause License\n\n", "The BSD 3-Clause License\n\n", "New BSD License\n\n"], "Unlicense": ["", "The Unlicense\n\n"]}
+    out = {(name, title + text) for name, text in texts.items() for title in titles.get(name, [""])}
+    for mark in ("END OF TERMS AND CONDITIONS", "How to Apply These Terms", "APPENDIX: How to apply", "ADDENDUM: How to use", "For more information, please refer to"):
+        out |= {(name, text[: text.index(mark) + end]) for name, text in out if mark in text for end in ((0, len(mark)) if mark.startswith("END") else (0,))}
+    out |= {(name, text.split("\n", 1)[1]) for name, text in KNOWN if text.startswith(("MIT ", "ISC ", "Zero-Clause"))}
+    out |= {("MIT", "The " + text) for name, text in KNOWN if name == "MIT"} | {("MIT", text.replace("MIT License", "The MIT License (MIT)", 1)) for name, text in KNOWN if name == "MIT"}
+    for name, text in list(out):
+        if name.startswith("BSD"):
+            bare = "\n".join(line.lstrip(" 123.") if line.lstrip()[:2] in ("1.", "2.", "3.") else line for line in text.split("\n"))
+            out.add((name, bare))
+    return sorted(out)
+
+
 def normalized(text: Column) -> Column:
-    out = F.regexp_replace(lower_ascii(text), f"(?md){COPYRIGHT_LINE}", "")
+    lowered = lower_ascii(text)
+    marked = lowered.contains("copyright") | lowered.contains("©") | lowered.contains("(c)")
+    out = F.when(marked, F.regexp_replace(lowered, f"(?md){COPYRIGHT_CLAUSE}", "")).otherwise(lowered)
     out = F.trim(F.regexp_replace(F.regexp_replace(out, RESERVED, ""), PUNCTUATION, " "))
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -53,7 +87,7 @@ def digest(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(KNOWN if texts is None else texts, "license_id string, text string")
+    return spark.createDataFrame([*KNOWN, *whole_texts()] if texts is None else texts, "license_id string, text string")
 
 
 def licence_scan(docs: DataFrame, known: DataFrame) -> DataFrame:

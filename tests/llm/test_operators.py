@@ -269,6 +269,21 @@ def test_licence_spellings_meet(spark):
     assert got == {1: "MIT", 2: None, 3: None, 4: None}
 
 
+def test_whole_licences_and_copyright_clauses(spark):
+    mit, whole = dict(licences.KNOWN)["MIT"], dict(licences.whole_texts())
+    title, body = mit.split("\n\n", 1)
+    texts = [
+        ("MIT", f"{title}\n\nCopyright Jane Doe, 2020\n\n{body}"), ("MIT", f"Copyright (c) 2020 Jane Doe {body}"), ("MIT", f"{title} Copyright 2019-2020 by Doe, Inc. All rights reserved. {body}".replace("\n", " ")),
+        ("MIT", f"Copyright Foundation and other contributors\n{body}"), (None, f"Copyright 2020 Jane Doe"),
+        *[(name, text) for name, text in licences.whole_texts()],
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, Jane Doe\n" + next(t for n, t in licences.whole_texts() if n == "BSD-3-Clause" and t.startswith("Copyright")).split("\n", 1)[1]), ("Apache-2.0", "\n".join(" ".join(p.split()) for p in whole["Apache-2.0"].split("\n\n"))),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licences.licence_scan(docs, licences.known_licences(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"} <= set(whole)
+
+
 def test_decontamination_stage_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
