@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
@@ -42,21 +43,38 @@ def compatible(a: dict, b: dict) -> bool:
     return a["pack"] == b["pack"] and len(set(a["words"]) ^ set(b["words"])) <= 1
 
 
+def meeting_keys(a: dict) -> set[tuple]:
+    """Two compatible offers share a key: a code, the model codes, or the pack with the words or all but one of them."""
+    words = frozenset(() if a["words"] is None else a["words"])
+    out = {("words", a["pack"], w) for w in [words, *(words - {x} for x in words)]}
+    if a["ean"]:
+        out.add(("ean", a["ean"]))
+    if a["models"] is not None and len(a["models"]):
+        out.add(("models", frozenset(a["models"])))
+    return out
+
+
 def offer_clusters(offers: DataFrame) -> DataFrame:
     """offers: query_id, offer_id, seller, ean, name -> offer_id, cluster (its first offer).
 
     Greedy in arrival order (seller, offer_id): an offer joins the first cluster all of whose members it is compatible with.  The order
-    is part of the result, so a query's offers meet in one task; a query is one search, its offers are bounded by the sellers asked.
+    is part of the result, so a query's offers meet in one task; a query is one search, its offers are bounded by the sellers asked.  Only
+    clusters whose first offer shares a key with the offer are tried.
     """
     name = F.col("name")
     ready = offers.select("query_id", "offer_id", "seller", "ean", T.pack_size(name).alias("pack"), T.model_codes(name).alias("models"), T.significant_words(name).alias("words"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         clusters: list[list[dict]] = []
+        at: dict[tuple, list[int]] = {}
         of = {}
         for row in pdf.sort_values(["seller", "offer_id"]).to_dict("records"):
-            home = next((c for c in clusters if all(compatible(row, m) for m in c)), None)
+            keys = meeting_keys(row)
+            tried = heapq.merge(*(at.get(k, ()) for k in keys))
+            home = next((clusters[i] for i in tried if all(compatible(row, m) for m in clusters[i])), None)
             if home is None:
+                for k in keys:
+                    at.setdefault(k, []).append(len(clusters))
                 clusters.append(home := [])
             home.append(row)
             of[row["offer_id"]] = home[0]["offer_id"]

@@ -237,7 +237,7 @@ def offer_clusters(spark, sf):
     """Offers of one size and type as one search each; tests compare the clusters with brute force."""
     p = read(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_type")
     lines = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("seller")).distinct()
-    asked = lines.join(p.filter("p_size <= 10"), "p_partkey").withColumn("query_id", F.xxhash64("p_size", "p_type", F.col("p_partkey") % 40))
+    asked = lines.join(p, "p_partkey").withColumn("query_id", F.xxhash64("p_size", "p_type"))
     named = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("kg"))
     return matching.offer_clusters(asked.select("query_id", (F.col("p_partkey") * 100_000 + F.col("seller")).alias("offer_id"), "seller", F.lit(None).cast("string").alias("ean"), named.alias("name")))
 

@@ -1,6 +1,7 @@
 """Golden rows of functions, merges, folds, readers and writers."""
 
 import datetime as dt
+import random
 import zipfile
 from decimal import Decimal
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quipu.functions import numbers as N
 from quipu.functions import text as T
 from quipu.operators import asof, matching, merge, quality, state
+from quipu.plans import domain
 from quipu.sources import readers, writers
 from quipu.sources.shared import shared_folder
 
@@ -79,6 +81,36 @@ def test_offer_clusters_keep_cliques(spark):
     assert {r.offer_id: r.cluster for r in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
 
 
+def test_offer_clusters_query_covers_all_offers(spark):
+    """Every offer has a cluster, the one that brute force over its whole size and type gives."""
+    sf = "/root/testdata/sf0.001"
+    part = {r.p_partkey: r for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect()
+    groups = {}
+    for r in lines:
+        p = part[r.l_partkey]
+        row = {"ean": None, "seller": r.l_suppkey, "models": [], "pack": p.p_size, "words": p.p_name.split(), "offer_id": r.l_partkey * 100_000 + r.l_suppkey}
+        groups.setdefault((p.p_size, p.p_type), []).append(row)
+    want = {}
+    for rows in groups.values():
+        clusters = []
+        for row in sorted(rows, key=lambda r: (r["seller"], r["offer_id"])):
+            home = next((c for c in clusters if all(matching.compatible(row, m) for m in c)), None)
+            if home is None:
+                clusters.append(home := [])
+            home.append(row)
+            want[row["offer_id"]] = home[0]["offer_id"]
+    got = {r.offer_id: r.cluster for r in domain.offer_clusters(spark, sf).collect()}
+    assert len(got) == len(lines) and got == want
+
+
+def test_offers_that_are_compatible_share_a_key():
+    rng = random.Random(5)
+    pick = lambda x: [w for w in x if rng.random() < 0.5]
+    offers = [{"ean": rng.choice([None, None, "1", "2"]), "seller": rng.randrange(9), "models": pick(["ab12cd", "ef34gh"]), "pack": rng.choice([None, "1kg"]), "words": pick("abcd")} for _ in range(300)]
+    assert all(matching.meeting_keys(a) & matching.meeting_keys(b) for a in offers for b in offers if matching.compatible(a, b))
+
+
 def test_xlsx_shared_inline_and_missing_cells(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
