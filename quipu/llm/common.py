@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 SPACES = "\x20\x09-\x0d"
+BROADCAST_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,9 +37,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else df as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 a column, and what strings, binaries and nested values hold."""
+    out = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+    return out
+
+
+def small(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes; else df as it is, to be joined by a shuffle."""
+    found = df.select(_bytes(df).alias("bytes")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return F.broadcast(df) if found[0] <= rows and found[1] <= size else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -56,6 +78,16 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def share(key: Column, part: float) -> Column:
-    """Deterministic selection of a share of the keys."""
-    return F.pmod(F.xxhash64(F.lit("share"), key), F.lit(1_000_000)) < int(part * 1_000_000 + 0.5)
+def document_key() -> list[Column]:
+    """Rows with equal id and text share this key; a null id is told from every id by the hash."""
+    return [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("key_id"), F.xxhash64("doc_id", "text").alias("key_hash")]
+
+
+def share_cut(part: float) -> int:
+    """The share of 64-bit hashes below this number is `part`, to the last bit: also 1e-12 of them is not none."""
+    return min(int(part * 2.0**64), 2**64 - 1) - 2**63
+
+
+def share(key: Column, part: float, salt: str = "share") -> Column:
+    """Deterministic selection of a share of the keys; selections of different salts are independent."""
+    return F.lit(True) if part >= 1 else F.xxhash64(F.lit(salt), key) < F.lit(share_cut(part))

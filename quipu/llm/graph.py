@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links of long ids, in any direction -> (node, root): the smallest id that each linked node can reach."""
+    """(a, b) links of ids of any ordered type, in any direction -> (node, root): the smallest id that each linked node can reach."""
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     while True:

@@ -1,18 +1,21 @@
 """Operator 8: near duplicates by one-permutation MinHash with optimal densification, banded buckets and star-shaped candidates.
 
 Words are runs between ASCII white space, A-Z lowered; a document's set is its distinct shingles of k words (fewer words: the whole
-sequence), as 64-bit hashes.  Texts with one set collapse first.  Then
+sequence), as 64-bit hashes.  Texts with one set collapse first: a node is a set, named by its digest, whatever ids its rows have.  Then
   1. every bucket (band, value) names a centre, the member that shares most buckets with others, and links all members to it: a
      star, so pairs grow with the members;
   2. candidates are confirmed on full sets, and confirmed links give components;
   3. while that joins many documents, buckets whose members are still in different components draw another centre each, and members of
      other components than the centre's are confirmed against it: stars again, over ever fewer members;
-  4. members of one bucket that are in different components even then are compared by a 1024-bit odd sketch of their sets inside the
-     join; the pairs that could reach the threshold (4.5 standard deviations) are confirmed on full sets too, so stars lose no link.
+  4. nodes whose buckets hold several components even then are searched exactly: shingles are ordered from the rarest among them, and
+     two sets that reach the threshold must share a shingle of their first n - ceil(t n) + 1.  Shingles that one set alone has never
+     meet another, so texts of one template with a fill of their own make no pairs.
 With 32 bands of 4, a pair at 0.8 shares no bucket with probability 5e-8.
 
-Null and empty texts have an empty set and are linked with nothing.  Rows are kept whole: repeated rows each get a row.  Ids stand for
-documents: rows that repeat an id with other text count as one document.  A null id is never a representative of other rows.
+Null and empty texts have an empty set and are linked with nothing.  Rows are kept whole: repeated rows each get a row.  Rows that repeat
+an id with other text are nodes of their own; a null id takes part like any other, but names a component only if it has no other id, as
+null.  A very long text is one set, whose shingles are sorted in one task.  Ties of centres go to the larger digest, of representatives to
+the smaller digest.  Empty tables give no rows.  Columns but doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,15 +26,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import read, small, stored
+from quipu.llm.common import document_key, read, small, stored
 from quipu.llm.graph import components
 
 BANDS, ROWS, SKETCH = 32, 4, 1024
 BINS = BANDS * ROWS
-BROADCAST_IDS = 500_000
+BROADCAST_IDS, HOT = 500_000, 2000
 LEAST_GAIN = 0.9  # stars go on while a round leaves at most this share of the open components
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -100,22 +103,22 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(cells, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _per_batch(make: Callable[[list, list[np.ndarray]], pa.RecordBatch], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Shingle sets for small runs of rows, so that long texts don't add up."""
+def _per_batch(make: Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Shingle sets of the last column for small runs of rows, so that long texts don't add up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield make(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k))
+                yield make(part, shingle_sets(part.column(part.num_columns - 1).to_pylist(), k))
 
     return run
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set, its band values and odd sketch (null for empty sets)."""
+    """doc_id, key of the text, n (set size), node (digest of the set), its band values and odd sketch (null for empty sets)."""
 
-    def make(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         bands, sketches, digests = [], [], []
         for s in sets:
             if not len(s):
@@ -125,27 +128,51 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 grid, value = one_permutation(s).reshape(BANDS, ROWS), np.zeros(BANDS, np.uint64)
                 for j in range(ROWS):
                     value = mixed(value * _M1 + grid[:, j] + np.uint64(j))
-            bands.append(value.view(np.int64)), sketches.append(odd_sketch(s)), digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
+            bands.append(value.view(np.int64)), sketches.append(odd_sketch(s)), digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
         longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.array(bands, longs), pa.array(sketches, longs)], ["doc_id", "n", "digest", "bands", "sketch"])
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        columns = [*part.columns[:3], sizes, pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "key_id", "key_hash", "n", "node", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(_per_batch(make, k), "doc_id long, n long, digest string, bands array<long>, sketch array<long>")
+    schema = "doc_id long, key_id long, key_hash long, n long, node binary, bands array<long>, sketch array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *document_key(), "text").mapInArrow(_per_batch(make, k), schema)
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    def make(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "items"])
+def full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, text) -> (node, items)."""
 
-    return docs.select("doc_id", "text").mapInArrow(_per_batch(make, k), "id long, items array<long>")
+    def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "items"])
 
+    return texts.select("node", "text").mapInArrow(_per_batch(make, k), "node binary, items array<long>")
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(full_sets(docs.select("doc_id", "text").join(small(ids, BROADCAST_IDS), "doc_id", "left_semi"), k).dropDuplicates(["id"]), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return joined.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+def sets_of(nodes: DataFrame, places: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Full sets of the given nodes, stored; `places` says which text stands for a node."""
+    wanted = places.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "key_id", "key_hash")
+    texts = docs.select("text", *document_key()).join(small(stored(wanted, "wanted"), BROADCAST_IDS), ["key_id", "key_hash"])
+    return stored(full_sets(texts, k).dropDuplicates(["node"]), "sets")
+
+
+def confirmed(pairs: DataFrame, places: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold.
+
+    Of a pair the set of the node with fewer pairs travels; the other one's is repeated once per HOT of its pairs, so neither a hot
+    centre's pairs meet in one task nor is its set sent along with each of them.
+    """
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = sets_of(ends, places, docs, k)
+    degree = stored(ends.groupBy("node").agg(F.count(F.lit(1)).alias("d")), "degrees")
+    both = pairs.join(degree.select(F.col("node").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
+    turn = F.col("da") >= F.col("db")
+    part = F.pmod(F.xxhash64("a", "b"), F.ceil(F.greatest("da", "db") / HOT))
+    both = both.select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("node"), part.alias("part"))
+    both = stored(both, "oriented")
+    hubs = both.select("hub", "part").distinct().join(sets.select(F.col("node").alias("hub"), F.col("items").alias("x")), "hub")
+    joined = both.join(sets.withColumnRenamed("items", "y"), "node").join(hubs, ["hub", "part"])
+    common = F.size(F.array_intersect("x", "y"))
+    reached = joined.filter(100 * common >= percent * (F.size("x") + F.size("y") - common))
+    return reached.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
 
 
 def _could_reach(percent: int) -> Column:
@@ -162,8 +189,8 @@ def _could_reach(percent: int) -> Column:
 
 
 def _placed(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (band, value, doc_id, root) of the buckets that hold more than one component."""
-    placed = live.select("band", "value", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    """Members (band, value, node, root) of the buckets that hold more than one component."""
+    placed = live.select("band", "value", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed, "placed")
     split = placed.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "value")
     return stored(placed.join(stored(split, "split"), ["band", "value"]), "open")
@@ -173,36 +200,52 @@ def _candidates(pairs: DataFrame, facts: DataFrame, done: DataFrame | None, perc
     """Different pairs (a < b) that could reach the threshold and are not done."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-    pairs = pairs.join(facts.select(F.col("doc_id").alias("b"), F.struct("n", "sketch").alias("m")), "b").join(facts.select(F.col("doc_id").alias("a"), F.struct("n", "sketch").alias("o")), "a")
+    pairs = pairs.join(facts.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("m")), "b").join(facts.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("o")), "a")
     return stored(pairs.filter(_could_reach(percent)).select("a", "b"), "candidates")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of the given (node, root) with other roots that could reach the threshold: those that share a shingle of their prefixes.
+
+    Shingles are counted among these nodes; those of one node alone come first in its order and can't be shared.
+    """
+    cells = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.size("items").alias("n"), F.explode("items").alias("item"))
+    shared = cells.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    met = cells.join(shared, "item").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("order"))
+    length = F.col("n") - F.ceil(F.col("n") * (percent / 100.0) - 1e-9) + 1
+    left = (length - (F.col("n") - F.size("order"))).cast("int")  # of the prefix, behind the shingles that no other node has
+    heads = met.filter(left > 0).select("node", F.explode(F.slice("order", F.lit(1), F.greatest(left, F.lit(1)))).alias("o")).select("node", "o.item")
+    heads = stored(heads.join(nodes, "node").join(facts, "node"), "heads")
+    m, o = heads.alias("m"), heads.alias("o")
+    pairs = m.join(o, (F.col("m.item") == F.col("o.item")) & (F.col("m.node") < F.col("o.node")) & (F.col("m.root") != F.col("o.root")) & _could_reach(percent))
+    return pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key_id, key_hash, n, node) of each row, and (node, root) of each linked node."""
     signed = stored(signatures(docs, k), "signatures")
-    sets = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    reps = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-    chosen = sets.join(reps, (sets["doc_id"] == reps["rep"]) & (sets["digest"] == reps["digest"]), "left_semi").dropDuplicates(["doc_id"])
-    chosen = stored(chosen.select("doc_id", "n", "bands", "sketch"), "representatives")
+    key = F.struct("key_id", "key_hash")
+    sets = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("key"), F.min_by(F.struct("n", "bands", "sketch"), key).alias("f"))
+    chosen = stored(sets.select("node", "key.*", "f.*"), "nodes")
+    places, facts = chosen.select("node", "key_id", "key_hash"), chosen.select("node", "n", "sketch")
 
-    members = chosen.select("doc_id", F.posexplode("bands").alias("band", "value"))
+    members = chosen.select("node", F.posexplode("bands").alias("band", "value"))
     counts = stored(members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1"), "counts")
     live = stored(members.join(counts, ["band", "value"]), "live")
-    central = live.groupBy("doc_id").agg(F.sum("shared").alias("weight"))
-    centres = live.join(central, "doc_id").groupBy("band", "value").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("c")).select("band", "value", (-F.col("c.minus")).alias("a"))
+    central = live.groupBy("node").agg(F.sum("shared").alias("weight"))
+    centres = live.join(central, "node").groupBy("band", "value").agg(F.max(F.struct("weight", "node")).alias("c")).select("band", "value", F.col("c.node").alias("a"))
     centres = stored(centres, "centres")
-    facts = chosen.select("doc_id", "n", "sketch")
-    done = _candidates(live.join(centres, ["band", "value"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")), facts, None, percent)
-    links = stored(confirmed(done, docs, k, percent), "links")
+    done = _candidates(live.join(centres, ["band", "value"]).filter("a <> node").select("a", F.col("node").alias("b")), facts, None, percent)
+    links = stored(confirmed(done, places, docs, k, percent), "links")
     roots = components(links)
 
     open_, turn = _placed(live, roots), 0
     while not open_.isEmpty():
-        drawn = F.struct(F.xxhash64(F.lit(turn), "band", "value", "doc_id").alias("draw"), "doc_id", "root")
-        picked = open_.groupBy("band", "value").agg(F.min(drawn).alias("c")).select("band", "value", F.col("c.doc_id").alias("a"), F.col("c.root").alias("its"))
+        drawn = F.struct(F.xxhash64(F.lit(turn), "band", "value", "node").alias("draw"), "node", "root")
+        picked = open_.groupBy("band", "value").agg(F.min(drawn).alias("c")).select("band", "value", F.col("c.node").alias("a"), F.col("c.root").alias("its"))
         picked = stored(picked, "picked")
-        star = _candidates(open_.join(picked, ["band", "value"]).filter("root <> its").select("a", F.col("doc_id").alias("b")), facts, done, percent)
-        more = stored(confirmed(star, docs, k, percent), "links")
+        star = _candidates(open_.join(picked, ["band", "value"]).filter("root <> its").select("a", F.col("node").alias("b")), facts, done, percent)
+        more = stored(confirmed(star, places, docs, k, percent), "links")
         before = open_.select("root").distinct().count()
         if not more.isEmpty():
             links, done = links.unionByName(more), done.unionByName(star)
@@ -211,29 +254,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if open_.select("root").distinct().count() > LEAST_GAIN * before:
             break
         turn += 1
-    facing = open_.join(facts, "doc_id")
-    met = facing.alias("m").join(facing.alias("o"), (F.col("m.band") == F.col("o.band")) & (F.col("m.value") == F.col("o.value")) & (F.col("m.doc_id") < F.col("o.doc_id")) & (F.col("m.root") != F.col("o.root")) & _could_reach(percent))
-    rest = stored(met.select(F.col("m.doc_id").alias("a"), F.col("o.doc_id").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = stored(confirmed(rest, docs, k, percent), "rest_links")
+    left = stored(open_.select("node", "root").distinct(), "left")
+    if not left.isEmpty():
+        rest = stored(prefix_pairs(left, sets_of(left, places, docs, k), facts, percent).join(done, ["a", "b"], "left_anti"), "rest")
+        more = stored(confirmed(rest, places, docs, k, percent), "rest_links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
+    return signed.select("doc_id", "key_id", "key_hash", "n", "node"), roots
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the root of their component, null for empty sets."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("root", "rep").alias("c"))
-    out = signed.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("d"), "left")
-    component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
+    rows, roots = linked(docs, k, percent)
+    ids = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    ids = stored(_rooted(ids, roots), "ids")
+    named = ids.join(ids.groupBy("root").agg(F.min("least").alias("c")), "root").select("node", "c")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("c"))
+    out = rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that a smaller id represents; of rows that repeat an id one stays."""
-    found = near_duplicates(docs, k, percent)
-    gone = stored(found.filter("NOT kept").select("doc_id"), "gone")
-    out = docs.join(small(gone.filter("doc_id IS NOT NULL").distinct(), BROADCAST_IDS), "doc_id", "left_anti").select(docs.columns)
-    if found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        return out
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1))) == 1
-    return out.withColumn("_first", first).filter("_first OR doc_id IS NULL").drop("_first")
+    """docs with one row of each component: that of the smallest id, then digest, then text key; rows without a word all stay.
+
+    Rows that repeat an id with other text stay, unless they are near copies.  Of rows with equal id and text one stays.
+    """
+    rows, roots = linked(docs, k, percent)
+    texts = rows.filter("node IS NOT NULL").groupBy("node", "key_id", "key_hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"))
+    texts = stored(_rooted(texts, roots), "texts")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "key_hash")
+    first = stored(texts.groupBy("root").agg(F.min_by(F.struct("key_id", "key_hash", "times"), order).alias("r")).select("r.*"), "first")
+    key = ["key_id", "key_hash"]
+    gone = stored(texts.join(first, key, "left_anti").select("key_id", "key_hash"), "gone")
+    again = stored(first.filter("times > 1").select(*key), "again")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *document_key())
+    out = whole.join(small(gone, BROADCAST_IDS), key, "left_anti")
+    if again.isEmpty():
+        return out.select("row.*")
+    repeated = small(again, BROADCAST_IDS)
+    one = out.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.join(repeated, key, "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

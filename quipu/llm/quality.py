@@ -5,7 +5,9 @@ rule; lasso logistic regression keeps few of them; what is left is compiled into
 Learnt from at most LABELLED labelled rows (a deterministic share; the bound is a parameter).
 
 Null texts count as empty ones and are scored too.  A document whose labels contradict each other teaches nothing; without any usable
-label every score is 0.5; where the labelled rows are too few for any rule every score is the share of good ones.
+label every score is 0.5; where the labelled rows are too few for any rule every score is the share of good ones.  A text is measured
+whole, one at a time, however long it is.  Rows that repeat each get a row, and teach once each; texts with equal statistics tie, with
+equal scores.  Empty tables give no rows.  Of a clashing column only the one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import held_out, read, share, small
+from quipu.llm.common import fresh, held_out, read, share, small
 
 LABELLED, TREES, DEPTH, LASSO, THRESHOLD = 20_000, 40, 3, 0.002, 0.3
 STATISTICS = ["chars", "words", "word_length", "letters", "upper", "digits", "symbols", "bars", "exclaims", "stops", "lines", "distinct_words", "top_word", "same_as_last", "distinct_sentences", "distinct_lines", "shout_words", "symbol_words"]
@@ -162,12 +164,14 @@ def labelled_sample(labels: DataFrame, column: str, bound: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> RuleEnsemble:
     sample = docs.select("doc_id", "text").join(small(labelled_sample(labels, "quality", bound), 4 * bound), "doc_id")
-    rows = with_statistics(sample).select("doc_id", "y", "statistics.*").orderBy("doc_id", *STATISTICS).toPandas()
+    rows = with_statistics(sample).select("doc_id", "y", "statistics.*").toPandas().sort_values(["doc_id", *STATISTICS], ignore_index=True)
     return fit(rows[STATISTICS].to_numpy(float), rows["y"].to_numpy(float))
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, out: str = "score") -> DataFrame:
-    return with_statistics(docs, "_statistics").withColumn(out, model.score("_statistics")).drop("_statistics")
+    """docs and their score, which takes the place of a column of that name; every other column is kept, whatever its name."""
+    held = fresh(docs, "statistics")
+    return with_statistics(docs, held).withColumn(out, model.score(held)).drop(held)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
