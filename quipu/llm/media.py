@@ -1,6 +1,8 @@
 """Operator 9: media columns.  Netpbm and BMP bytes become numpy arrays, area-resized tiles (NPY) and difference hashes.
 
-Null or undecodable bytes give a null tile and hash and a reason in `error`; nothing is dropped.
+Null or undecodable bytes give a null tile and hash and a reason in `error`; nothing is dropped.  A null text is stored as an empty one, one
+row of 64 zero samples; a very long one is a tall image, summed a strip at a time.  Equal bytes give equal values, and rows that repeat
+each get a row.  Empty tables give no rows.  A column named like the result is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -148,7 +150,7 @@ def text_to_pgm(text: str | None) -> tuple[int, bytes]:
     return len(payload), b"P5\n64 %d\n255\n" % rows + payload.ljust(rows * 64, b"\0")
 
 
-STORED = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile_sha256", pa.string())]
+STORED = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile", pa.binary()), ("tile_sha256", pa.string())]
 
 
 def _stored_text(values: pa.Array) -> pa.Array:
@@ -156,18 +158,15 @@ def _stored_text(values: pa.Array) -> pa.Array:
     for v in values:
         n, data = text_to_pgm(v.as_py())
         image = decode(data)
-        payload = image.tobytes()
-        rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), hashlib.sha256(npy_tile(image, 16, 16)).hexdigest()))
+        payload, tile = image.tobytes(), npy_tile(image, 16, 16)
+        rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), tile, hashlib.sha256(tile).hexdigest()))
     columns = zip(*rows, strict=True) if rows else [[] for _ in STORED]
     return pa.StructArray.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, STORED, strict=True)], [n for n, _ in STORED])
 
 
 def texts_as_media(docs: DataFrame) -> DataFrame:
-    """Each text as a stored grey map, read back: digests of payload and stored form, difference hash, tile digest.
-
-    One row per input row; a null text is an empty one (one row of 64 zero samples).
-    """
-    measured = F.arrow_udf(_stored_text, "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string,tile_sha256:string>")
+    """Each text as a stored grey map, read back: digests of payload and stored form, difference hash, the NPY tile of 16 x 16 samples and its digest."""
+    measured = F.arrow_udf(_stored_text, "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string,tile:binary,tile_sha256:string>")
     return docs.select("doc_id", measured(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 

@@ -4,6 +4,10 @@ A document's expected copies are target / source size.  The whole part is taken;
 a source and moving words between them at random until one of the two is integral.  Groups of bounded size do this in parallel;
 the one document that each leaves open goes up a level, until one is left per source, which takes the nearer integer.
 Words are preserved by every pairing, so a source misses its target by at most half of one document.
+
+Null texts have size 0, null sources form one source, the last.  Documents without words take the whole part of their copies.  A long text
+is one unit, however long.  Rows that repeat are units of their own, equal ones in any order, so ties change no result; rows with a null
+id are told apart by source and size only.  Without documents there are no rows.  Of clashing columns only `copy` is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from quipu.llm.common import SPACES, read, small, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-GROUP = 2048
+GROUP, CHUNK, SALTS = 2048, 1_000_000, 1024
 UNIT = "doc_id long, source string, size long, source_size long, target double, nth long, whole int, part double"
 
 
@@ -60,14 +64,19 @@ def _settle_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(part=parts)[[c.split()[0] for c in UNIT.split(", ")]]
 
 
-def mix(sized: DataFrame, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
-    """sized: doc_id, source, size (repeated rows are units of their own; null sources form one source).
+def numbered(sized: DataFrame) -> DataFrame:
+    """sized with `nth`, from 1 among equal rows.  Equal rows are counted, not gathered: many are spelled out in chunks, by many tasks."""
+    equal = stored(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    chunks = equal.filter(F.col("m") > CHUNK).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / CHUNK) - 1)))
+    chunks = chunks.repartition("doc_id", "source", "size", "chunk").withColumn("to", F.least("m", (F.col("chunk") + 1) * CHUNK))
+    many = chunks.select("doc_id", "source", "size", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, "to")).alias("nth"))
+    few = equal.filter(F.col("m") <= CHUNK).select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("nth"))
+    return few.unionByName(many)
 
-    Returns each with source_size, target, copies, taken.  Documents without words take the whole part of their copies.
-    The same rows and seed give the same copies.
-    """
-    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))
-    sized = stored(sized.select("doc_id", "source", "size").withColumn("nth", F.row_number().over(same).cast("long")), "sizes")
+
+def mix(sized: DataFrame, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
+    """sized: doc_id, source, size.  Returns each with source_size, target, copies, taken; the same rows and seed give the same copies."""
+    sized = stored(numbered(sized), "units")
     targets = small(source_targets(sized, share, most).withColumnRenamed("source", "of"), 100_000)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("e", expected)
@@ -101,16 +110,30 @@ def word_count(text) -> F.Column:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with a row per copy taken (`copy` from 1, in place of a column of that name); a document of which none is taken has no row."""
-    columns, docs = [c for c in docs.columns if c.lower() != "copy"], docs.withColumn("_size", word_count(F.col("text")))
-    plan = mix(docs.select("doc_id", "source", F.col("_size").alias("size")), **options)
-    tally = plan.groupBy("doc_id", "source", "size").agg(*[F.count_if(F.col("copies") > k).alias(f"_over{k}") for k in range(2)])
-    tally = tally.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_over0", "_over1")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.lit(1)))
-    joined = docs.withColumn("_nth", nth).join(tally, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    copies = (F.col("_nth") <= F.col("_over0")).cast("int") + (F.col("_nth") <= F.col("_over1")).cast("int")
-    kept = joined.withColumn("_copies", copies).filter("_copies > 0")
-    return kept.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    """docs with a row per copy taken (`copy` from 1, in place of a column of that name); a document of which none is taken has no row.
+
+    Rows of equal id, source and size differ in copies only where they repeat; those few are ranked by their text's hash, in salted parts.
+    """
+    columns = [c for c in docs.columns if c.lower() != "copy"]
+    whole = docs.select(F.struct(*columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    over = [F.count_if(F.col("copies") > k).alias(f"over{k}") for k in range(2)]
+    tally = mix(whole.select("doc_id", "source", "size"), **options).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"), *over)
+    tally = stored(tally, "tally")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "size")]
+    joined = whole.alias("d").join(tally.alias("t"), same[0] & same[1] & same[2]).select("d.row", "d.doc_id", "d.source", "d.size", "d.h", "t.m", "t.over0", "t.over1")
+    even = F.col("over0").isin(0, F.col("m")) & F.col("over1").isin(0, F.col("m"))
+    plain = joined.filter(even).select("row", ((F.col("over0") > 0).cast("int") + (F.col("over1") > 0).cast("int")).alias("copies"))
+    if not tally.filter(~even).isEmpty():
+        key = ["doc_id", "source", "size"]
+        uneven = joined.filter(~even).withColumn("part", F.pmod("h", F.lit(SALTS)))
+        parts = uneven.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        match = [F.col(f"u.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*key, "part")]
+        ranked = uneven.alias("u").join(parts.alias("p"), match[0] & match[1] & match[2] & match[3]).select("u.*", "p.before")
+        nth = F.col("before") + F.row_number().over(Window.partitionBy(*key, "part").orderBy("h"))
+        plain = plain.unionByName(ranked.withColumn("nth", nth).select("row", ((F.col("nth") <= F.col("over0")).cast("int") + (F.col("nth") <= F.col("over1")).cast("int")).alias("copies")))
+    kept = plain.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return kept.select("row.*", "copy")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
