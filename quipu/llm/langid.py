@@ -1,9 +1,13 @@
 """Operator 5: language identification by words first, backing off to shorter character n-grams for unseen words.
 
-Learnt from at most PER_LANGUAGE documents of each language (a deterministic share of the labelled rows) and at most WORDS words of
-each; both bounds are parameters.  A known word adds its log frequency in each language; an unseen one the mean log frequency of its
-known n-grams of the longest length that has any.  Null texts and texts without a letter are `und` with score 0; where nothing was
-learnt every text is.  Ties go to the first language by code point.
+Learnt from a deterministic share of each language's rows: at most about PER_LANGUAGE documents and CHARACTERS characters of whole texts a
+language, and ALL_CHARACTERS over all languages; the bounds are parameters.  Every word and every n-gram of that sample counts.  A known
+word adds its log frequency in each language; an unseen one the mean log frequency of its known n-grams of the longest length that has
+any.  Words and n-grams are counted in Spark and known by 64-bit hashes, in sorted arrays.
+
+Null texts and texts without a letter are `und` with score 0; where nothing was learnt every text is.  Ties go to the first language by
+code point.  Long texts are read whole, 256 texts at a time.  Rows that repeat each get a row and teach once each.  Empty tables give no
+rows.  Columns but doc_id, text and lang are not looked at.
 """
 
 from __future__ import annotations
@@ -16,79 +20,112 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quipu.llm.common import held_out, read, share
 
-PER_LANGUAGE, WORDS, LONGEST = 3000, 60_000, 5
+PER_LANGUAGE, CHARACTERS, ALL_CHARACTERS, LONGEST = 3000, 6_000_000, 40_000_000, 5
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def hashed(names: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array([*names, ""], dtype=object), categorize=False)[:-1]
+
+
+def grams_of(word: str, size: int) -> list[str]:
+    padded = f" {word} "
+    return [padded[j : j + size] for j in range(len(padded) - size + 1)]
+
+
+@dataclass
+class Table:
+    """Log frequencies of hashed names, a row each, in order of the hashes."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, language: np.ndarray, n: np.ndarray, languages: int) -> Table:
+        """Half a count is added to every name in every language."""
+        found, at = np.unique(keys, return_inverse=True)
+        counts = np.zeros((len(found), languages))
+        np.add.at(counts, (at, language), n)
+        return cls(found, (np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * (len(found) + 1))).astype(np.float32))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+
 @dataclass
 class Languages:
     names: list[str]
     prior: np.ndarray
-    words: dict[str, int]
-    word_logs: np.ndarray
-    grams: list[dict[str, int]]  # by length, from 1
-    gram_logs: list[np.ndarray]
+    words: Table
+    grams: list[Table]  # by length, from 1
 
     def word_scores(self, found: list[str]) -> np.ndarray:
         out = np.zeros((len(found), len(self.names)), np.float32)
-        at = np.fromiter((self.words.get(w, -1) for w in found), np.int64, len(found))
-        out[at >= 0] = self.word_logs[at[at >= 0]]
-        for i in np.flatnonzero(at < 0):
-            padded = f" {found[i]} "
-            for n in range(LONGEST, 0, -1):
-                table = self.grams[n - 1]
-                known = [k for j in range(len(padded) - n + 1) if (k := table.get(padded[j : j + n])) is not None]
-                if known:
-                    out[i] = self.gram_logs[n - 1][known].mean(0)
-                    break
+        at = self.words.find(hashed(found))
+        out[at >= 0] = self.words.logs[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
+        for size in range(LONGEST, 0, -1):
+            lists = [grams_of(found[i], size) for i in left]
+            row = np.repeat(np.arange(len(left)), [len(x) for x in lists])
+            table = self.grams[size - 1]
+            place = table.find(hashed([g for x in lists for g in x]))
+            row, place = row[place >= 0], place[place >= 0]
+            known = np.bincount(row, minlength=len(left))
+            for k in range(len(self.names)):
+                sums = np.bincount(row, table.logs[place, k], len(left))
+                out[left[known > 0], k] = (sums / np.maximum(known, 1))[known > 0]
+            left = left[known == 0]
         return out
 
 
-def _log_table(counts: dict[str, np.ndarray], languages: int) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequency per language, half a count added."""
-    names = sorted(counts)
-    table = np.array([counts[w] for w in names], dtype=np.float64).reshape(len(names), languages)
-    logs = np.log(table + 0.5) - np.log(table.sum(0) + 0.5 * (len(names) + 1))
-    return {w: i for i, w in enumerate(names)}, logs.astype(np.float32)
-
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, size, key, n): how often each language has each word (size 0) and n-gram of its words, by hash."""
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS) -> Languages:
-    """docs: rows to learn from, with doc_id, text and lang."""
-    docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    totals = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = sorted(totals)
-    chosen = F.lit(False)
-    for lang, n in totals.items():
-        chosen = chosen | ((F.col("lang") == lang) & share(F.col("doc_id"), min(1.0, per_language / n)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.update((lang, w) for w in LETTERS.findall(text.lower()))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
 
-    counted = docs.filter(chosen).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")) <= words
-    rows = counted.withColumn("top", top).filter("top").select("lang", "word", "n").toPandas()
-    at = {n: i for i, n in enumerate(names)}
-    whole: dict[str, np.ndarray] = {}
-    grams: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST)]
-    for lang, word, n in rows.itertuples(index=False):
-        whole.setdefault(word, np.zeros(len(names)))[at[lang]] += n
-        padded = f" {word} "
-        for size in range(1, LONGEST + 1):
-            for j in range(len(padded) - size + 1):
-                grams[size - 1].setdefault(padded[j : j + size], np.zeros(len(names)))[at[lang]] += n
-    word_at, word_logs = _log_table(whole, len(names))
-    tables = [_log_table({g: v for g, v in t.items() if v.sum() > 1 or size < 3}, len(names)) for size, t in enumerate(grams, 1)]
-    prior = np.log(np.array([totals[n] for n in names], dtype=np.float64) / max(1, sum(totals.values())))
-    return Languages(names, prior, word_at, word_logs, [t[0] for t in tables], [t[1] for t in tables])
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            for size in range(LONGEST + 1):
+                lists = [grams_of(w, size) for w in found] if size else [[w] for w in found]
+                row = np.repeat(np.arange(len(found)), [len(x) for x in lists])
+                names = hashed([g for x in lists for g in x]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), size), pa.int64()), pa.array(names), pa.array(n[row])], ["lang", "size", "key", "n"])
+
+    whole = docs.select("lang", "text").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return whole.mapInArrow(keys, "lang string, size long, key long, n long").groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, characters: int = CHARACTERS) -> Languages:
+    """docs: rows to learn from, with doc_id, text and lang."""
+    docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
+    totals = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")).collect()
+    names = sorted(r.lang for r in totals)
+    most = min(characters, ALL_CHARACTERS // max(1, len(names)))
+    chosen = F.lit(False)
+    for r in totals:
+        chosen = chosen | ((F.col("lang") == r.lang) & share(F.col("doc_id"), min(1.0, per_language / r.n, most / max(1, r.chars))))
+    found = counted(docs.filter(chosen)).toArrow()
+    language = np.searchsorted(np.array(names, dtype=object), np.array(found["lang"].to_pylist() + [None], dtype=object)[:-1]) if names else np.zeros(0, np.int64)
+    size, key, n = (found[c].to_numpy() for c in ("size", "key", "n"))
+    tables = [Table.of(key[size == s].view(np.uint64), language[size == s], n[size == s], len(names)) for s in range(LONGEST + 1)]
+    counts = {r.lang: r.n for r in totals}
+    prior = np.log(np.array([counts[x] for x in names], dtype=np.float64) / max(1, sum(counts.values())))
+    return Languages(names, prior, tables[0], tables[1:])
 
 
 def predict(docs: DataFrame, model: Languages) -> DataFrame:
