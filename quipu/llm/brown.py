@@ -2,13 +2,14 @@
 
 Tokens are UTF-8 runs without ASCII white space, A-Z lowered, and one end per text.  All counts cover all training rows.  The most
 frequent words and, for all other words, their two-byte endings are the units that exchange clustering assigns to seed classes.  Then
-every other word seen at least LEAST times takes the class with the best exchange gain, from the counts of its left and right classes
-over all training rows (one sweep, against the seed classes); rarer and unseen words keep the class of their ending.  The class bigrams
-are counted again with these classes.  A text's log10 probability is the sum of class transition and word emission, both smoothed; an
+every other word of the training rows takes the class with the best exchange gain, from the counts of its left and right classes over all
+of them (one sweep, against the seed classes); unseen words have the class of their ending.  The class bigrams are counted again with these classes.  A text's log10 probability is the sum of class transition and word emission, both smoothed; an
 unseen word takes the spare mass of its class.
 
 Counts and classes of frequent words (at most FREQUENT) are looked up in the pass over the texts; those of all others come by a hash
-join of the distinct rare words of each text.  Null texts count as empty ones (one end).  Each row is scored, repeated ones too.
+join of the distinct rare words of each text.  Null texts count as empty ones (one end).  Each row is scored, repeated ones too, and
+equal texts score the same.  A long text is read whole, in one task.  Of equally frequent words the first by bytes is the seed, of equal
+gains the present class stays.  Empty tables give no rows.  Columns but doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from quipu.llm.common import held_out, read, stored
 
 END = b"\n"
 WORDS, ENDINGS, CLASSES, FREQUENT = 1000, 400, 48, 200_000
-LEAST = 3  # occurrences from which a word gets a class of its own
 ADD, HELD_TYPES, HELD_CELLS, ROUNDS = 0.1, 400_000, 4_000_000, 8
 
 
@@ -46,7 +46,6 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     of[order] = np.arange(n) % classes
     table = np.zeros((classes, classes))
     np.add.at(table, (of[:, None], of[None, :]), bigrams)
-    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
     diagonal = np.arange(classes)
     for _ in range(rounds):
         moved = 0
@@ -75,26 +74,36 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     return of
 
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
 def best_classes(table: np.ndarray, own: np.ndarray, word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Class of each word that raises the likelihood of the class bigrams most, all other words as they are in `table`.
 
-    A word's counts are (word, cell, n): cell c is its right neighbours in class c, k + c its left ones, 2 k the word beside itself.
+    A word's counts are (word, cell, n), in order of words: cell c is its right neighbours in class c, k + c its left ones, 2 k the word
+    beside itself.
     """
     k, words, every = len(table), len(own), np.arange(len(own))
-    counts = np.zeros((words, 2 * k + 1))
-    np.add.at(counts, (word, cell), n)
+    counts = np.bincount(word * (2 * k + 1) + cell, n, words * (2 * k + 1)).reshape(words, 2 * k + 1)
     right, left, self_pairs = counts[:, :k], counts[:, k : 2 * k], counts[:, 2 * k]
-    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
     gain = np.zeros((words, k))
-    for side, tab, across in ((0, table, left), (1, table.T, right)):
+    for side, tab, across in ((0, table.T.copy(), left), (1, table.copy(), right)):
         at = np.flatnonzero(cell // k == side)
+        if not len(at):
+            continue
         w, j, more = word[at], cell[at] - side * k, n[at].astype(float)
-        base, home = tab[:, j].T.copy(), own[w]
-        base[np.arange(len(at)), home] -= more
+        home, row = own[w], np.arange(len(at))
+        base = tab[j]
+        change = xlogx(base + more[:, None]) - xlogx(tab)[j]
+        base[row, home] -= more  # the word itself is in its class's counts
         inside = np.flatnonzero(j == home)
         base[inside] -= across[w[inside]]
         base[inside, home[inside]] -= self_pairs[w[inside]]
-        np.add.at(gain, w, xlogx(base + more[:, None]) - xlogx(base))
+        change[row, home] = xlogx(base[row, home] + more) - xlogx(base[row, home])
+        change[inside] = xlogx(base[inside] + more[inside, None]) - xlogx(base[inside])
+        starts = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[starts]] += np.add.reduceat(change, starts, axis=0)
     both = right + left + self_pairs[:, None]
     at = np.repeat(table[np.arange(k), np.arange(k)][None, :], words, 0)
     at[every, own] -= both[every, own]
@@ -213,10 +222,9 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[int, dict[bytes, int]]
     return cut, dict(zip(found["token"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
-def contexts(docs: DataFrame, lookup: Lookup, classes: int, open_words: bool) -> DataFrame:
-    """(place, token, cell, n): how often each word but the seed words has a neighbour of a seed class (cells as in best_classes).
-
-    A frequent word is named by its place, any other (only if open_words) by its token.
+def contexts(docs: DataFrame, lookup: Lookup, classes: int) -> DataFrame:
+    """(place, token, cell, n): how often each word but the seed words has a neighbour of a seed class (cells as in best_classes), summed
+    within each task.  A frequent word is named by its place, any other by its token.
     """
     shared, width = docs.sparkSession.sparkContext.broadcast(lookup), 2 * classes + 1
 
@@ -225,21 +233,17 @@ def contexts(docs: DataFrame, lookup: Lookup, classes: int, open_words: bool) ->
         seeds = 2 + len(look.units.words)
         keys: list[np.ndarray] = []
         times: list[np.ndarray] = []
-        rare: Counter = Counter()
+        names = ["place", "token", "cell", "n"]
 
         def sums() -> tuple[np.ndarray, np.ndarray]:
             found, at = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
             return found, np.bincount(at, np.concatenate([*times, np.zeros(0, np.int64)]), len(found)).astype(np.int64)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            names = ["place", "token", "cell", "n"]
+        def flush() -> pa.RecordBatch:
             found, n = sums()
             keys.clear()
             times.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(found // width), pa.nulls(len(found), pa.binary()), pa.array(found % width), pa.array(n)], names)
-            tokens, cells = zip(*rare, strict=True) if rare else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(rare), pa.int64()), pa.array(tokens, pa.binary()), pa.array(cells, pa.int64()), pa.array(list(rare.values()), pa.int64())], names)
-            rare.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found // width), pa.nulls(len(found), pa.binary()), pa.array(found % width), pa.array(n)], names)
 
         size = 0
         for _, codes, _, found in _batches(batches, 0):
@@ -247,7 +251,6 @@ def contexts(docs: DataFrame, lookup: Lookup, classes: int, open_words: bool) ->
             place = np.fromiter((look.frequent.get(t, -1) for t in found), np.int64, len(found))
             seed = look.unit_class[unit]
             moves = (unit >= seeds) | (unit == 1)
-            moves &= np.where(place >= 0, look.seen[place] >= LEAST, open_words)
             a, b = np.concatenate([np.flatnonzero(unit == 0)[:1], codes[:-1]]), codes
             alone = a == b
             first, second, beside = moves[a] & ~alone, moves[b] & ~alone, moves[a] & alone
@@ -258,41 +261,58 @@ def contexts(docs: DataFrame, lookup: Lookup, classes: int, open_words: bool) ->
             keys.append(pairs)
             times.append(n)
             size += len(pairs)
-            rare.update(zip(found[word[at < 0]].tolist(), cell[at < 0].tolist(), strict=True))
+            pairs, n = np.unique(word[at < 0] * width + cell[at < 0], return_counts=True)
+            if len(pairs):
+                tokens = pa.array([*found], pa.binary()).take(pa.array(pairs // width))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), tokens, pa.array(pairs % width), pa.array(n)], names)
             if size > HELD_CELLS:
                 merged, n = sums()
                 keys[:], times[:], size = [merged], [n], len(merged)
-            if size > HELD_CELLS // 2 and len(keys) == 1 or len(rare) > HELD_TYPES:
-                yield from flush()
+            if size > HELD_CELLS // 2 and len(keys) == 1:
+                yield flush()
                 size = 0
-        yield from flush()
+        yield flush()
 
-    found = docs.select("text").mapInArrow(run, "place long, token binary, cell long, n long")
-    return found.groupBy("place", "token", "cell").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "place long, token binary, cell long, n long")
 
 
 def moved(cells: DataFrame, lookup: Lookup, table: np.ndarray) -> DataFrame:
-    """(place, token, cls): each word's best class; words seen less than LEAST times are left out."""
-    k = len(table)
+    """(place, token, cls): each word's best class.
+
+    A word's counts meet by one sorted shuffle and are summed as they stream by; the last word of a batch waits for the next one.
+    """
+    k, width = len(table), 2 * len(table) + 1
     names = pa.array(list(lookup.frequent), pa.binary())
     shared = cells.sparkSession.sparkContext.broadcast((names, lookup.units, lookup.unit_class, table))
+    schema = pa.schema([("place", pa.int64()), ("token", pa.binary()), ("cls", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settled(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        """rows: whole words, in order; first: where each begins."""
         names, units, unit_class, table = shared.value
+        word = np.repeat(np.arange(len(first)), np.diff(np.append(first, rows.num_rows)))
+        pairs, at = np.unique(word * width + rows["cell"].to_numpy(), return_inverse=True)
+        n = np.bincount(at, rows["n"].to_numpy(), len(pairs))
+        word, cell = pairs // width, pairs % width
+        heads = rows.select(["place", "token"]).take(pa.array(first))
+        tokens = [names[p].as_py() if t is None else t for p, t in zip(heads["place"].to_pylist(), heads["token"].to_pylist(), strict=True)]
+        own = unit_class[units.of_all(np.array([*tokens, None], dtype=object)[:-1])]
+        best = best_classes(table, own, word, cell, n)
+        return pa.RecordBatch.from_arrays([heads["place"].combine_chunks(), heads["token"].combine_chunks(), pa.array(best.astype(np.int64))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                lists = part.column(2)
-                word = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                flat = lists.flatten()
-                tokens = [names[p].as_py() if t is None else t for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                own = unit_class[units.of_all(np.array([*tokens, None], dtype=object)[:-1])]
-                best = best_classes(table, own, word, flat.field("cell").to_numpy(), flat.field("n").to_numpy())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best.astype(np.int64))], ["place", "token", "cls"])
+            rows = pa.concat_tables([*waiting, pa.Table.from_batches([batch])]).combine_chunks()
+            place, token = rows["place"].fill_null(-1).to_numpy(), rows["token"].fill_null(b"").combine_chunks().dictionary_encode().indices.to_numpy()
+            first = np.flatnonzero((np.diff(place, prepend=-2) != 0) | (np.diff(token, prepend=-1) != 0))
+            for at in range(0, len(first) - 1, 500):
+                end = min(at + 500, len(first) - 1)
+                yield settled(rows.slice(first[at], first[end] - first[at]), first[at:end] - first[at])
+            waiting = [rows.slice(first[-1])] if len(first) else []
+        for rows in waiting:
+            yield settled(rows, np.zeros(1, np.int64))
 
-    occurrences = F.sum(F.when(F.col("cell") < k, F.col("n")).when(F.col("cell") == 2 * k, F.col("n")).otherwise(0))
-    words = cells.groupBy("place", "token").agg(F.collect_list(F.struct("cell", "n")).alias("cells"), occurrences.alias("seen")).filter(F.col("seen") >= LEAST)
-    return words.select("place", "token", "cells").mapInArrow(run, "place long, token binary, cls long")
+    return cells.repartition("place", "token").sortWithinPartitions("place", "token").mapInArrow(run, "place long, token binary, cls long")
 
 
 def train(docs: DataFrame, words: int = WORDS, endings: int = ENDINGS, classes: int = CLASSES) -> Model:
@@ -318,7 +338,7 @@ def train(docs: DataFrame, words: int = WORDS, endings: int = ENDINGS, classes:
     seen = np.fromiter(frequent.values(), np.int64, len(frequent))
     seed = unit_class[units.of_all(np.array([*frequent, None], dtype=object)[:-1])]
     lookup = Lookup({w: i for i, w in enumerate(frequent)}, seen, seed, units, unit_class)
-    best = stored(moved(contexts(docs, lookup, k, least > LEAST), lookup, table), "classes")
+    best = stored(moved(contexts(docs, lookup, k), lookup, table), "classes")
     found = best.filter("place IS NOT NULL").select("place", "cls").toArrow()
     lookup.cls = seed.copy()
     lookup.cls[found["place"].to_numpy()] = found["cls"].to_numpy()
@@ -430,4 +450,5 @@ def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.filter(~held_out(F.col("doc_id"), 10)))
     texts = encoded(docs, model)
     out = score(texts, texts.filter(~held_out(F.col("doc_id"), 10)), model).withColumn("held_out", held_out(F.col("doc_id"), 10)).withColumn("train_tokens", F.lit(model.total).cast("long"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", perplexity.alias("perplexity"))
