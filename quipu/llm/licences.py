@@ -3,6 +3,8 @@
 A whole text is normalised (A-Z lowered, copyright clauses and "all rights reserved" dropped, punctuation and white space to single
 spaces, equivalent spellings made one) and its SHA-256 is joined to the digests of known licences.  Null texts and texts of which
 nothing is left have a null digest and no licence.  Repeated rows each get a row; of licences with one digest the smallest id counts.
+Very long texts are normalised whole, as one value.  Empty tables give no rows; without known licences none is found.  Columns but doc_id
+and text are not looked at.
 """
 
 from __future__ import annotations
@@ -22,28 +24,25 @@ EQUIVALENT = [
 ]
 #: A clause with (c), a sign or a year stands anywhere; one of a name alone starts its line and does not go on as prose does.  Each ends with
 #: its line or where a licence begins.
-_BEGINS = r"\b(permission (is|to)\b|redistribution and\b|(dual[ -])?licensed under\b|released under\b|this (software|work|file|program|library|is)\b|everyone is\b|all rights reserved|the above\b|you may\b|distributed under\b|provided under\b)"
+_BEGINS = r"\b(permission (is|to)\b|redistribution and\b|(dual[ -])?licensed under\b|released under\b|this (software|work|file|program|library|is)\b|everyone is\b|all\s+rights\s+reserved|the above\b|you may\b|distributed under\b|provided under\b)"
 _PROSE = r"(notice|holder|owner|law|licen|statement|disclaim|interest|protect|right|treat|doctrine|infring|permission|message|term|(act|on|in|of|to|is|are|or|and|the|that|for|as|with|under|at|from|does|applies|status|resulting)\b(?! regents))"
 COPYRIGHT_CLAUSE = rf"(copyright[ \t]*(\(c\)|©|[0-9]{{4}}|[<\[])|©|\(c\)[ \t]*[0-9]{{4}}|^[^a-z0-9\n]*copyright[ \t]+(by[ \t]+)?(?!{_PROSE})[a-z]).*?(?={_BEGINS}|$)"
 #: The form in OP2_SQL: whole lines.  The two differ only on texts with a copyright clause.
 COPYRIGHT_LINE = r"^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|<)|©|\(c\)[ \t]*[0-9]{4})[^\n]*"
-RESERVED = r"all rights reserved\.?"
-PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RESERVED = r"all\s+rights\s+reserved\.?"
+#: ASCII signs and white space, no-break space, angle and curly quotes, dashes, bullets, the ellipsis and the byte order mark.
+PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{00A0}\x{00AB}\x{00BB}\x{2010}-\x{2027}\x{FEFF}]+"
 
 _GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _ISC_TAIL = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
-# Public licence texts and one-line notices.  Callers can pass a table of their own.
+# Public licence texts and the header that Apache-2.0 asks for.  Callers can pass a table of their own.
 KNOWN = [
     ("MIT", f"MIT License\n\n{_GRANT}\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_AS_IS}"),
     ("MIT-0", f"MIT No Attribution\n\n{_GRANT.replace(', subject to the following conditions: ', '.')}\n\n{_AS_IS}"),
     ("ISC", f"ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_TAIL}"),
     ("0BSD", f"Zero-Clause BSD\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n{_ISC_TAIL}"),
     ("Apache-2.0-header", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
-    ("MIT-notice", "Released under the MIT License."),
-    ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
 ]
 
 
