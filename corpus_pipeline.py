@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every result as Parquet in the shared folder of the session
 and reads it again for the next stage, so a lost executor costs the tasks of one stage.
 All stages but the last return the columns of `documents`; the last adds `copy`, a document's copies in the mix counted from 1.
+
+Rows with a null id, null or empty text go through all stages like others: scored as empty texts, linked with nothing, without hits, and
+of size 0 in the mix.  Rows that repeat an id and text are one document after near_duplicates; rows that repeat an id with other text are
+two.  A very long text is one value in every stage.  Ties: near_duplicates keeps the smallest id, then the smaller digest.  Empty tables
+give no rows.  Further columns are kept, whatever their names; only one named `copy` is replaced by the last stage.
 """
 
 from __future__ import annotations
@@ -11,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quipu.llm import decontam, mixing, neardup, pii, quality
-from quipu.llm.common import read, stored
+from quipu.llm.common import fresh, read, stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below the threshold of the rule ensemble go."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, "_score").filter(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    score = fresh(docs, "score")
+    return quality.scored(docs, model, score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ STAGES = [
     ("personal_data", personal_data),
     ("source_mixing", source_mixing),
 ]
-#: The classifiers and the rounding are not SQL; tests/llm compare the stages with brute force.
+#: The classifiers and the rounding are not SQL; tests/llm compare each stage with brute force on its own input.
 ORACLE_SQL = None
 
 
