@@ -2,6 +2,7 @@
 
 import binascii
 import hashlib
+import io
 import re
 from collections import Counter
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quipu.llm import brown, decontam, langid, licences, media, mixing, neardup, pii, quality, queries, tagger, toxicity
+from quipu.llm.common import share_cut, small, stored
 from quipu.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +48,44 @@ def test_edge_tables(spark, odd, name, kind):
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in docs)
 
 
+def test_edge_values(spark, odd):
+    """Defined results for null, empty, very long, repeated and tied rows, by operator."""
+    d, docs = odd["odd"]
+    got = {name: [r.asDict() for r in q(spark, d).collect()] for name, q in queries.QUERIES.items()}
+    of = lambda name, i: [r for r in got[name] if r["doc_id"] == i]
+    for name, rows in got.items():
+        assert len({str(r) for r in of(name, 3)}) == 1, f"{name}: equal rows differ"
+    for name in ("op1_quality", "op10_toxicity"):
+        assert all(0 <= r["score"] <= 1 for r in got[name]) and of(name, 1)[0]["score"] == of(name, 2)[0]["score"]
+    assert all(r["digest"] is None and not r["is_license"] for i in (1, 2) for r in of("op2_licences", i))
+    assert [(r["n_words"], r["n_hit"], r["contaminated"]) for r in of("op3_decontamination", 3)] == [(9, 3, True)] * 2
+    assert [(r["n_words"], r["n_hit"], r["n_items"], r["n_near"]) for r in (of("op3_decontamination", 1) + of("op3_decontamination", 2))] == [(0, 0, 0, 0)] * 2
+    long = of("op3_decontamination", 4)[0]
+    assert long["n_words"] == 40_000 and long["n_items"] == 1 and long["n_hit"] > 30
+    assert {r["size"] for r in of("op4_mixing", 4)} == {40_000} and all(r["taken"] == 0 for i in (1, 2) for r in of("op4_mixing", i))
+    assert [(r["lang_pred"], r["score"]) for i in (1, 2) for r in of("op5_language_id", i)] == [("und", 0.0)] * 2
+    assert all(r["n_tokens"] == 1 for i in (1, 2) for r in of("op6_brown_lm", i)) and of("op6_brown_lm", 4)[0]["n_tokens"] == 40_001
+    assert all(r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"])) for r in got["op6_brown_lm"])
+    assert [r["n_email"] + r["n_phone"] for r in of("op7_pii", None)] == [2] and [(r["n_ip"], r["n_card"]) for r in of("op7_pii", 8)] == [(1, 1)]
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got["op8_near_duplicates"]}
+    assert near[1] == (0, 1, True) and near[2] == (0, 2, True) and near[5][1:] == (4, False) and near[None][1:] == (None, True)
+    assert all((r["n_bytes"], r["payload_bytes"]) == (0, 64) for i in (1, 2) for r in of("op9_media", i))
+
+
+CLASHES = "_score _statistics _n _size _nth _copies row key_id key_hash node copy statistics items bands text_ n_words hit".split()
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_keep_clashing_columns(spark, odd, name, stage):
+    d, docs = odd["odd"]
+    frame = spark.read.parquet(f"{d}/documents.parquet")
+    wide = frame.select("*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")).alias(c) for c in CLASHES))
+    out = stage(spark, wide, d)
+    assert out.columns == ([c for c in wide.columns if c != "copy"] + ["copy"] if name == "source_mixing" else wide.columns)
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id or 0}" for r in rows for c in CLASHES if not (c == "copy" and name == "source_mixing"))
+
+
 @pytest.mark.parametrize("kind", ["odd", "empty"])
 def test_pipeline_edge_tables(spark, odd, kind):
     d, docs = odd[kind]
@@ -54,6 +94,95 @@ def test_pipeline_edge_tables(spark, odd, kind):
     assert set(r.doc_id for r in out.collect()) <= {r[0] for r in docs}
 
 
+def test_shares_are_exact_at_any_size():
+    for n in (3000, 3e9, 5e10, 1e15):
+        cut = share_cut(1500 / n)
+        assert (cut + 2**63) / 2**64 == pytest.approx(1500 / n, rel=1e-3)
+    assert share_cut(1.0) == 2**63 - 1 and share_cut(0.0) == -(2**63)
+
+
+def test_small_checks_rows_and_bytes(spark):
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower()
+    assert hinted(small(df, 100)) and not hinted(small(df, 99)) and not hinted(small(df, 100, 50_000))
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on its own input, at sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {name: None for name, _ in corpus_pipeline.STAGES}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, sf), name)
+        before[name] = ([r.asDict() for r in docs.collect()], [r.asDict() for r in out.collect()])
+        docs = out
+    ids = lambda rows: sorted(r["doc_id"] for r in rows)
+
+    given, kept = before["quality_classifier"]
+    model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    x = np.array([quality.text_statistics(r["text"]) for r in given])
+    logit = model.intercept + sum(r.weight * r.holds(x) for r in model.rules)
+    assert ids(kept) == sorted(r["doc_id"] for r, v in zip(given, logit, strict=True) if 1 / (1 + np.exp(-v)) >= quality.THRESHOLD) and len(kept) < len(given)
+
+    given, kept = before["near_duplicates"]
+    found = _components(_sets([(r["doc_id"], r["text"]) for r in given], 5))
+    assert ids(kept) == sorted(i for i, c in found.items() if i == c) and len(kept) < len(given)
+
+    given, kept = before["decontamination"]
+    items = [w for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (w := _item_words(r.text))]
+    windows = {tuple(w[s : s + 13]) for w in items for s in range(max(1, len(w) - 12))}
+    sizes, clean = {len(w) for w in windows}, []
+    for r in given:
+        w, hit = _item_words(r["text"]), set()
+        for n in sizes:
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in windows:
+                    hit.update(range(s, s + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.append(r["doc_id"])
+    assert ids(kept) == sorted(clean)
+
+    given, kept = before["personal_data"]
+    after = {r["doc_id"]: r["text"] for r in kept}
+    assert ids(kept) == ids(given)
+    for r in given:
+        assert not any((r["text"] or "")[a:b] in after[r["doc_id"]] for _, a, b in pii.base_spans(r["text"] or ""))
+        if not pii.base_spans(r["text"] or "") and not pii.TRIGGER.search(r["text"] or ""):
+            assert after[r["doc_id"]] == r["text"]
+
+    given, kept = before["source_mixing"]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    totals, taken, largest = Counter(), Counter(), Counter()
+    for r in given:
+        totals[r["source"]] += size(r["text"])
+        largest[r["source"]] = max(largest[r["source"]], size(r["text"]))
+    for r in kept:
+        taken[r["source"]] += size(r["text"])
+    target = _targets(totals)
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in totals)
+    copies = Counter((r["doc_id"], r["copy"]) for r in kept)
+    assert max(copies.values()) == 1 and {c for _, c in copies} <= {1, 2}
+
+
+def _item_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
+
+
+def _targets(totals):
+    """Targets of the sources by repeated resharing."""
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(totals, key=lambda s: (s is None, s)))}
+    left, target, open_ = 1.5 * sum(totals.values()), {}, set(totals)
+    while open_:
+        part = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if part * weight[s] > 2 * totals[s]}
+        if not over:
+            target |= {s: part * weight[s] for s in open_}
+            break
+        target |= {s: 2 * totals[s] for s in over}
+        left, open_ = left - sum(2 * totals[s] for s in over), open_ - over
+    return target
+
+
 def test_sql_agrees(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
@@ -72,19 +201,55 @@ def _sets(texts, k):
     return out
 
 
-def test_near_duplicates_against_brute_force(spark):
-    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    sets, parent = _sets(texts, 4), {}
-    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+def _components(sets):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    got = neardup.op8_near_duplicates(spark, SF).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+            if 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b])) > 0:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                    x, y = sorted((find(a), find(b)))
+                    parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_near_duplicates_against_brute_force(spark, sf):
+    sets = _sets([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()], 4)
+    found = _components(sets)
+    got = neardup.op8_near_duplicates(spark, sf).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), c, i == c) for i, c in found.items()}
+
+
+def test_texts_of_one_template_make_no_pairs(spark):
+    """At similarity 0.6 every two of them share a bucket, but no rare shingle; a near copy of one is still found."""
+    shared = [f"t{i}" for i in range(225)]
+    rows = [(i, " ".join([*shared, *(f"x{i}_{j}" for j in range(75))])) for i in range(600)] + [(600, " ".join([*shared, *(f"x7_{j}" for j in range(74)), "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = neardup.signatures(docs, 4)
+    sets = neardup.full_sets(docs.join(signed.select("doc_id", "node"), "doc_id"), 4)
+    assert neardup.prefix_pairs(signed.select("node", F.col("node").alias("root")), sets, signed.select("node", "n", "sketch"), 80).count() == 1
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4).filter("NOT kept").collect()} == {600: 7}
+
+
+def test_repeated_and_null_ids_keep_their_links(spark):
+    rng = np.random.default_rng(2)
+    one, two = ([f"{x}{i}" for i in rng.integers(0, 9999, 120)] for x in "ab")
+    near = lambda words, i: " ".join([*words[: 7 * i], f"e{i}", *words[7 * i + 1 :]])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (9, near(one, 1)), (10, near(two, 2)), (None, near(one, 3)), (None, "two words"), (None, "two words"), (None, None), (7, ""), (5, " ".join(one))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((str(r.doc_id), r.component_id, r.kept) for r in neardup.near_duplicates(docs, 4).collect())
+    assert got == Counter([("5", 5, True), ("5", 5, True), ("5", 5, True), ("9", 5, False), ("10", 5, False), ("None", 5, False), ("None", None, True), ("None", None, True), ("None", None, True), ("7", 7, True)])
+    for _ in range(2):
+        left = Counter((r.doc_id, r.text) for r in neardup.deduplicated(docs, 4).collect())
+        assert left == Counter([(5, rows[0][1]), (5, rows[1][1]), (None, "two words"), (None, None), (7, "")])
 
 
 def test_near_copies_that_the_centre_misses_are_linked(spark):
@@ -114,8 +279,28 @@ def test_mixing_meets_targets_and_repeats(spark):
         taken[r.source] += r.taken
         largest[r.source], target[r.source] = max(largest[r.source], r.size), r.target
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
-    total = sum(r.size for r in got)
-    assert sum(target.values()) == pytest.approx(1.5 * total)
+    totals = Counter()
+    for r in got:
+        totals[r.source] += r.size
+    assert target == pytest.approx(_targets(totals))
+
+
+def test_equal_rows_of_the_mix_are_units_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = [(None, "a", 3)] * 50 + [(1, "a", 5), (2, None, 4), (2, None, 4)]
+    got = Counter((r.doc_id, r.source, r["size"], r.nth) for r in mixing.numbered(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect())
+    assert got == Counter([(None, "a", 3, i + 1) for i in range(50)] + [(1, "a", 5, 1), (2, None, 4, 1), (2, None, 4, 2)])
+
+
+def test_mixed_documents_take_the_planned_copies(spark):
+    docs = spark.createDataFrame([(i % 7 or None, f"{'w ' * (i % 3 + 1)}{i}", "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    plan = mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).collect()
+    want, got = Counter(), Counter()
+    for r in plan:
+        want[r.doc_id, r.source, r["size"]] += r.copies
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.doc_id, r.source, len(r.text.split())] += 1
+    assert got == want and max(Counter((r.text, r.copy) for r in mixing.mixed_documents(docs).collect()).values()) == 1
 
 
 def test_settle_keeps_words_and_leaves_one_open():
@@ -212,18 +397,45 @@ def test_base_spans_against_the_patterns(spark):
         assert pii.base_spans(t) == want
 
 
-def test_tagger_learns_rewritten_spans_and_redaction_hides_them():
-    rng = np.random.default_rng(5)
-    line = lambda: f"please write to user{rng.integers(999)}@mail{rng.integers(99)}.org or call +1 {rng.integers(200, 999)} {rng.integers(200, 999)} {rng.integers(1000, 9999)} soon about order {rng.integers(99)}"
-    codes, gold = pii.training_windows([line() for _ in range(400)])
-    model = tagger.fit(codes, gold, pii.SYMBOLS, pii.TAGS, steps=250)
-    shown = [f"please write to user{i} @ mail{i}.org soon about it" for i in range(20)]
-    base, both = pii.all_spans(shown, model)
-    assert not any(base) and np.mean([bool(s) for s in both]) > 0.5
-    text = line()
-    _, spans = pii.all_spans([text], model)
-    hidden = pii.redact(text, spans[0])
-    assert "@" not in hidden and "[EMAIL]" in hidden and "[PHONE]" in hidden
+#: Data in notations that no base pattern reads, as they are planted below.
+WRITTEN = [
+    ("email", "maria dot lopez at example dot org"), ("email", "jo77 [at] mailhost [dot] net"), ("email", "petra(at)firma.de"), ("email", "user at host dot org"), ("email", "sales @ shop.com"),
+    ("phone", "(415) 555-0132"), ("phone", "415-555-0132"), ("phone", "415.555.0132"), ("phone", "four one five five five five zero one three two"), ("phone", "001 415 555 0132"),
+    ("card", "4111.1111.1111.1111"), ("card", "5500/0000/0000/0004"), ("ip", "10[.]0[.]12[.]255"), ("ip", "192 . 168 . 1 . 77"), ("ip", "172 dot 16 dot 254 dot 1"),
+]
+
+
+def test_pii_query_adds_planted_spans_and_keeps_the_base(spark, tmp_path):
+    """The query's own columns: counts, digest and base spans against the patterns; added spans against what was planted."""
+    rng, planted, rows = np.random.default_rng(9), {}, []
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect():
+        text = r.text or ""
+        if len(text) > 600 and not pii.TRIGGER.search(text):
+            kind, datum = WRITTEN[len(planted) % len(WRITTEN)]
+            spaces = [m.end() for m in re.finditer(" ", text)]
+            at = spaces[int(rng.integers(5, len(spaces) - 5))]
+            text, planted[r.doc_id] = f"{text[:at]}{datum} {text[at:]}", (kind, at, at + len(datum))
+        rows.append((r.doc_id, text))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts, caught, exact, wrong = dict(rows), 0, 0, 0
+    for r in pii.op7_pii(spark, str(tmp_path)).collect():
+        want = [(k, m.start(), m.end()) for k, p in PATTERNS for m in re.finditer(p, texts[r.doc_id]) if k == "email" or pii.valid(k, m.group())]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(want) <= set(spans)
+        kind, a, b = planted.get(r.doc_id, ("", 0, 0))
+        added = [s for s in spans if s not in want]
+        caught += any(s[0] == kind and s[1] < b and a < s[2] for s in added)
+        exact += (kind, a, b) in added
+        wrong += sum(not (s[0] == kind and s[1] < b and a < s[2]) for s in added)
+    assert len(planted) > 300 and caught > 0.85 * len(planted) and exact > 0.75 * len(planted) and wrong < 0.05 * caught
+
+
+def test_redaction_hides_spans():
+    text = "write to a.b@c.org or +1 (555) 123-4567 now"
+    assert pii.redact(text, pii.base_spans(text)) == "write to [EMAIL] or [PHONE] now"
+    assert pii.redact(None, []) is None
 
 
 def test_crf_gradient():
@@ -246,6 +458,22 @@ def test_media_round_trip(spark):
         data = (r.text or "").encode()
         padded = data.ljust(max(1, -(-len(data) // 64)) * 64, b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), binascii.crc32(padded[-64:]))
+        form = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded
+        assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        grid = np.frombuffer(padded, np.uint8).reshape(-1, 64).astype(float)
+        assert r.tile_sha256 == hashlib.sha256(r.tile).hexdigest() and np.abs(np.load(io.BytesIO(r.tile))[:, :, 0] - _cell_means(grid, 16, 16)).max() <= 0.5 + 1e-6
+        dark = np.rint(_cell_means(grid, 8, 9) * 256)
+        assert r.feature == np.packbits(dark[:, :-1] < dark[:, 1:]).tobytes().hex()
+
+
+def _cell_means(grid, height, width):
+    """Area means by the overlap of each source row and column with each cell."""
+    def overlap(n, m):
+        a, b = np.arange(n), np.linspace(0, n, m + 1)
+        return np.clip(np.minimum(a[None] + 1, b[1:, None]) - np.maximum(a[None], b[:-1, None]), 0, None)
+
+    rows, columns = overlap(len(grid), height), overlap(grid.shape[1], width)
+    return rows @ grid @ columns.T / (len(grid) / height * grid.shape[1] / width)
 
 
 def test_area_resize_is_the_mean_of_cells():
@@ -269,6 +497,19 @@ def test_licence_spellings_meet(spark):
     assert got == {1: "MIT", 2: None, 3: None, 4: None}
 
 
+def test_licence_query_finds_whole_texts(spark, tmp_path):
+    """Through the query: standard texts with holders, wrapped lines and curly quotes, and texts that only mention a licence."""
+    title, body = dict(licences.KNOWN)["MIT"].split("\n\n", 1)
+    whole = dict(licences.whole_texts())
+    texts = [
+        ("MIT", f"{title}\n\nCopyright (c) 2020 Jane Doe. All rights\nreserved.\n\n{body}"), ("MIT", f"Copyright [yyyy] [name of copyright owner]\n\n{body}"),
+        ("MIT", body.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u201cAS IS\u201d")), ("GPL-3.0", whole["GPL-3.0"].upper()), ("MPL-2.0", "  ".join(whole["MPL-2.0"].split())),
+        (None, "Released under the MIT License."), (None, "Licensed under CC BY-NC 4.0."), (None, None),
+    ]
+    spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.license_id for r in licences.op2_licences(spark, str(tmp_path)).collect()} == {i: name for i, (name, _) in enumerate(texts)}
+
+
 def test_whole_licences_and_copyright_clauses(spark):
     mit, whole = dict(licences.KNOWN)["MIT"], dict(licences.whole_texts())
     title, body = mit.split("\n\n", 1)
@@ -293,10 +534,41 @@ def test_decontamination_stage_keeps_clean_documents(spark):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x x x blue")], "doc_id long, text string")
-    terms = spark.createDataFrame([(1, "red", 2), (1, "blue", 3)], "item_id long, term string, n long")
-    found = decontam.proximity_matches(decontam.postings(docs, terms.select("term")), terms, 3)
-    assert [(r.item_id, r.key_id, r.pos) for r in found.collect()] == [(1, 1, 0)]
+    docs = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x x x blue red"), (3, "blue"), (4, "green blue blue x x x red red x x blue")], "doc_id long, text string")
+    terms = spark.createDataFrame([("red",), ("blue",), ("green",)], "term string")
+    groups = spark.createDataFrame([("a", ["blue", "red"]), ("b", ["green"])], "group_id string, terms array<string>")
+    index = decontam.postings(docs, terms).filter(F.col("term") != decontam.LENGTH).drop("doc_id")
+    found = lambda within: sorted((r.group_id, r.key_id) for r in decontam.proximity_matches(index, groups, within).collect())
+    assert found(4) == [("a", 1), ("a", 2), ("a", 4), ("b", 4)] and found(2) == [("a", 2), ("b", 4)]
+
+
+def test_brown_score_against_the_formulas(spark):
+    """Class transitions and word emissions by hand, from the classes that training gave."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}{'xyz'[i % 3]}" for i in rng.integers(0, 300, 30)) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, "w1y never w2z"), (61, None)], "doc_id long, text string")
+    learnt = docs.filter("doc_id < 50")
+    model = brown.train(learnt, words=20, endings=3, classes=5)
+    coded = brown.encoded(docs, model)
+    got = {r.doc_id: r.score for r in brown.score(coded, coded.filter("doc_id < 50"), model).collect()}
+    look = model.lookup
+    cls = {w: int(look.cls[i]) for w, i in look.frequent.items()} | {bytes(r.token): r.cls for r in model.counts.collect()}
+    of = lambda w: cls.get(w, int(look.unit_class[look.units.of(w)]))
+    k, end, counts, table = len(model.types_in), of(brown.END), Counter(), Counter()
+    for t in texts[:50]:
+        words = brown.tokens(t)
+        counts.update(words)
+        table.update(zip([end, *map(of, words)], map(of, words)))
+    tokens, types = [sum(n for w, n in counts.items() if of(w) == c) for c in range(k)], [sum(of(w) == c for w in counts) for c in range(k)]
+    total = sum(tokens)
+    for i, t in [*enumerate(texts), (60, "w1y never w2z"), (61, None)]:
+        want, last = 0.0, end
+        for w in brown.tokens(t):
+            c = of(w)
+            prior = (tokens[c] + 0.5) / (total + 0.5 * k)
+            want += np.log10((table[last, c] + 2 * prior) / (sum(table[last, x] for x in range(k)) + 2)) + np.log10((counts[w] + 0.1) / (tokens[c] + 0.1 * (types[c] + 1)))
+            last = c
+        assert got[i] == pytest.approx(want)
 
 
 def test_rule_expression_agrees_with_numpy(spark):
