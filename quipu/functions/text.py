@@ -76,8 +76,9 @@ def pack_size(name: Column) -> Column:
 
 
 def model_codes(name: Column) -> Column:
-    """Words of 6 to 20 characters with at least two letters and two digits."""
-    return F.filter(words(name), lambda w: w.rlike("^[a-z0-9]{6,20}$") & w.rlike("[a-z].*[a-z]") & w.rlike("[0-9].*[0-9]"))
+    """Words of 6 to 20 characters with at least two letters and two digits; a measure (`1500ml`) is none."""
+    measure = lambda w: F.ltrim(w, F.lit("0123456789")).rlike("^[a-z]{1,4}$")
+    return F.filter(words(name), lambda w: w.rlike("^[a-z0-9]{6,20}$") & w.rlike("[a-z].*[a-z]") & w.rlike("[0-9].*[0-9]") & ~measure(w))
 
 
 def without_tags(html: Column) -> Column:

@@ -47,7 +47,7 @@ def combined(live: DataFrame) -> DataFrame:
     """
     per_rule = live.groupBy("item", "rule", "place", "weight").agg(F.array_sort(F.collect_set("category")).alias("c"))
     sets = per_rule.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("base"), F.collect_list("c").alias("sets"), F.array_sort(F.collect_set("rule")).alias("rules"))
-    common = F.array_sort(F.aggregate(F.slice("sets", 2, 1000), F.col("sets")[0], lambda acc, x: F.array_intersect(acc, x)))
+    common = F.array_sort(F.aggregate(F.slice("sets", F.lit(2), F.size("sets")), F.col("sets")[0], lambda acc, x: F.array_intersect(acc, x)))
     union = F.array_sort(F.array_distinct(F.flatten("sets")))
     agree = (F.col("n") > 1) & (F.size("common") > 0)
     out = sets.withColumn("common", common).withColumn("categories", F.when(F.size("common") > 0, F.col("common")).otherwise(union))

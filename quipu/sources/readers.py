@@ -8,6 +8,9 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,37 +28,66 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def _sheet_rows(data: bytes) -> Iterator[list[str | None]]:
-    """Rows of a workbook's first sheet; shared and inline strings; missing cells are null."""
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
-        for row in ET.fromstring(z.read("xl/worksheets/sheet1.xml")).iter(f"{ns}row"):
-            out: list[str | None] = []
-            for cell in row.iter(f"{ns}c"):
-                letters = re.match("[A-Z]+", cell.get("r", "A")).group()
-                at = 0
-                for ch in letters:
-                    at = at * 26 + ord(ch) - 64
-                out += [None] * (at - len(out))
-                value = cell.find(f"{ns}v")
-                kind = cell.get("t")
-                out[at - 1] = "".join(t.text or "" for t in cell.iter(f"{ns}t")) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
-            yield out
-
-
-def xlsx_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, cells) of each workbook's first sheet; a task reads a workbook at a time."""
+MAIN, LINKS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _elements(part: IO[bytes], name: str) -> Iterator[ET.Element]:
+    """Elements of that name as they close; each is forgotten once it was used."""
+    for _, element in ET.iterparse(part):
+        if element.tag == MAIN + name:
+            yield element
+            element.clear()
+
+
+def _strings(element: ET.Element) -> str:
+    return "".join(t.text or "" for t in element.iter(MAIN + "t"))
+
+
+def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of the worksheets in the workbook's order; without a workbook part all worksheet parts, named after their files."""
+    names = book.namelist()
+    if "xl/workbook.xml" not in names:
+        return [(n.rpartition("/")[2].removesuffix(".xml"), n) for n in sorted(names) if n.startswith("xl/worksheets/") and n.endswith(".xml")]
+    with book.open("xl/_rels/workbook.xml.rels") as part:
+        targets = {e.get("Id"): e.get("Target", "") for _, e in ET.iterparse(part) if e.get("Id")}
+    with book.open("xl/workbook.xml") as part:
+        named = [(e.get("name", ""), targets[e.get(LINKS + "id")]) for e in _elements(part, "sheet")]
+    return [(name, target.lstrip("/") if target.startswith("/") else f"xl/{target}") for name, target in named]
+
+
+def column_number(reference: str) -> int:
+    """`A1` is 1, `AB7` is 28: letters are digits to the base 26."""
+    return reduce(lambda n, letter: 26 * n + ord(letter) - 64, reference.rstrip("0123456789"), 0)
+
+
+def workbook_rows(data: bytes, sheet: str | None = None) -> Iterator[tuple[str, int, list[str | None]]]:
+    """(sheet, row, cells) of one or all sheets, read as events; cells that are left out are null."""
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            with book.open("xl/sharedStrings.xml") as part:
+                shared = [_strings(e) for e in _elements(part, "si")]
+        meaning = {"s": lambda c: shared[int(c.findtext(MAIN + "v"))], "inlineStr": _strings}
+        for name, source in _sheets(book):
+            if sheet not in (None, name):
+                continue
+            with book.open(source) as part:
+                for place, row in enumerate(_elements(part, "row"), 1):
+                    filled = {column_number(c.get("r", "A")): meaning.get(c.get("t", ""), lambda c: c.findtext(MAIN + "v"))(c) for c in row.findall(MAIN + "c")}
+                    yield name, int(row.get("r", place)), [filled.get(n) for n in range(1, max(filled, default=0) + 1)]
+
+
+def xlsx_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """(path, sheet, row, cells) of each workbook's sheets, or of the named one; a task reads a workbook at a time, 1000 rows at once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, data in zip(frame["path"], frame["content"], strict=True):
-                rows = list(_sheet_rows(bytes(data)))
-                yield pd.DataFrame({"path": p, "row": range(1, len(rows) + 1), "cells": rows})
+                rows = workbook_rows(bytes(data), sheet)
+                while part := list(islice(rows, 1000)):
+                    yield pd.DataFrame([(p, *r) for r in part], columns=["path", "sheet", "row", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, cells array<string>")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sheet string, row int, cells array<string>")
 
 
 def _tag(block: Column, name: str) -> Column:
@@ -182,29 +214,62 @@ def flow_offers(pages: DataFrame, html: str = "html") -> DataFrame:
     return _sold(out)
 
 
-#: Units that close a line of the printed tariff.
-TARIFF_UNITS = ("u", "kg", "l", "m", "m²", "m³", "2u", "1000 kWh", "kWh", "g", "ct", "carat", "TJ", "1000 u", "12u", "kg N", "kg P2O5", "kg K2O", "kg KOH", "kg NaOH", "kg H2O2", "kg U", "l alc. 100%", "kg 90% sdt")
+#: Units that close a line of the printed tariff; blanks inside one are optional.
+TARIFF_UNITS = (
+    "u", "kg", "l", "m", "m²", "m³", "2u", "1000 kWh", "kWh", "kg N", "kg P2O5", "kg K2O", "g", "ct", "carat", "kg met.am.", "10^3", "TJ", "1000 u", "12u", "kg 90% sdt", "kg H2O2", "kg KOH",
+    "kg NaOH", "kg U", "kg net eda", "l alc. 100%", "GI F/S", "kg/net eda",
+)
+CONTINUED, BETWEEN = 5, 3  # lines below a code's line, fields between rate and unit
+
+
+def _code_parts(line: Column) -> Column:
+    """Parts of the dotted code that a line begins with; an empty list where it begins with none or has nothing behind it."""
+    fields = F.split(F.trim(line), r"\s+")
+    first = F.element_at(fields, 1)
+    parts = F.split(first, r"\.")
+    figures = F.translate(first, ".0123456789", "") == ""
+    groups = F.forall(F.slice(parts, 2, 9), lambda x: F.length(x).between(1, 2)) & F.size(parts).between(2, 4) & (F.length(parts[0]) == 4)
+    return F.when(figures & groups & (F.size(fields) > 1), parts).otherwise(F.array().cast("array<string>"))
+
+
+def _is_row(line: Column) -> Column:
+    return F.size(_code_parts(line)) == 4
 
 
 def printed_tariff(pages: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of a tariff printed in fixed columns: code, description, rate and unit (null where not printed); other columns stay.
+    """Rows of a tariff printed in columns: code, description, rate and unit (null where not printed); other columns stay.
 
-    A row is the line of an eight-part code and up to five lines below it, until the next code or a blank line.  Rate and unit close one
-    of its lines after two blanks; the last such line counts.  Lines of figures and capitals alone are not part of the description.
+    A row is the line of a code of four parts and up to five lines below it, until the next code or a blank line.  Columns stand two
+    blanks or more apart: a line whose last field is a unit has its rate among the few fields before; the last such line counts.  Lines
+    of figures and capitals alone are not part of the description.
     """
-    any_code = r"[ ]{0,18}[0-9]{4}(?:\.[0-9]{1,2}){1,3}[ ]+[-A-ZÁÉÍÓÚÑ(]"
-    row = rf"(?m)^[ ]{{0,18}}[0-9]{{4}}(?:\.[0-9]{{2}}){{3}}[ ]+[-A-ZÁÉÍÓÚÑ(][^\n]*(?:\n(?!{any_code})(?![ \t]*$)[^\n]+){{0,4}}"
-    units = "|".join(re.escape(u).replace(r"\ ", r"\s?") for u in TARIFF_UNITS)
-    tail = rf"[ ]{{2,}}([0-9]{{1,2}}(?:[.,][0-9]{{1,2}})?(?:BK|BIT)?)(?:[ ]{{2,}}[^\s]+){{0,3}}?[ ]{{2,}}({units})[ ]*$"
     kept = [c for c in pages.columns if c != text]
-    lines = F.split(F.regexp_replace("_b", r"^[ ]*[0-9.]+[ ]+", ""), "\n")
-    opened = pages.select(*kept, F.explode(F.regexp_extract_all(text, F.lit(row), F.lit(0))).alias("_b"))
-    ends = F.filter(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, tail, 1).alias("rate"), F.regexp_extract(x, tail, 2).alias("unit"))), lambda e: e["unit"] != "")
-    bare = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, tail, "")).alias("x")))
-    said = F.filter(bare, lambda b: (b["i"] == 0) | ((b["x"] != "") & ~b["x"].rlike(r"^[0-9,\sA-Z]+$")))
-    words = F.regexp_replace(F.array_join(F.transform(said, lambda b: b["x"]), " "), r"\s{2,}", " ")
-    last = F.try_element_at("_e", F.lit(-1))
-    return opened.withColumn("_e", ends).select(*kept, F.regexp_extract("_b", r"([0-9.]+)", 1).alias("code"), F.trim(words).alias("description"), last["rate"].alias("rate"), last["unit"].alias("unit"))
+    units = F.array(*(F.lit(u.replace(" ", "")) for u in TARIFF_UNITS))
+    lines = pages.select(*kept, F.split(text, r"\r?\n").alias("_lines")).withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_lines"))))
+    opened = lines.filter(_is_row(F.element_at("_lines", F.col("_at")))).select(*kept, F.slice("_lines", F.col("_at"), F.lit(CONTINUED + 1)).alias("_block"))
+    ends = F.filter(F.sequence(F.lit(2), F.size("_block") + 1), lambda i: (i > F.size("_block")) | (F.trim(F.get("_block", i - 1)) == "") | (F.size(_code_parts(F.get("_block", i - 1))) > 1))
+    block = opened.withColumn("_block", F.slice("_block", F.lit(1), F.array_min(ends) - 1))
+
+    def numeric(field: Column) -> Column:
+        figures = F.regexp_replace(F.regexp_replace(field, "(BK|BIT)$", ""), ",", ".")
+        return (F.translate(figures, ".0123456789", "") == "") & (figures.try_cast("double") < 100) & ~figures.startswith(".")
+
+    def read_line(line: Column, i: Column) -> Column:
+        fields = F.split(F.rtrim(line), "[ ]{2,}")
+        n = F.size(fields)
+        rates = F.filter(F.sequence(F.greatest(n - 1 - BETWEEN, F.lit(2)), F.greatest(n - 1, F.lit(2))), lambda k: numeric(F.get(fields, k - 1)))
+        closes = F.array_contains(units, F.replace(F.element_at(fields, -1), F.lit(" "))) & (n > 2) & (F.size(rates) > 0)
+        said = F.when(closes, F.slice(fields, F.lit(1), F.array_min(rates) - 1)).otherwise(fields)
+        words = F.trim(F.regexp_replace(F.array_join(said, " "), r"\s+", " "))
+        words = F.when(i == 0, F.trim(F.regexp_replace(words, r"^\S+", ""))).otherwise(words)
+        counts = (i == 0) | (F.translate(words, "0123456789, ABCDEFGHIJKLMNOPQRSTUVWXYZ", "") != "")
+        return F.struct(F.when(counts, words).alias("said"), F.when(closes, F.get(fields, F.array_min(rates) - 1)).alias("rate"), F.when(closes, F.element_at(fields, -1)).alias("unit"))
+
+    out = block.withColumn("_read", F.transform("_block", read_line))
+    last = F.try_element_at(F.filter("_read", lambda r: r["unit"].isNotNull()), F.lit(-1))
+    said = F.array_join(F.filter(F.transform("_read", lambda r: r["said"]), lambda x: x.isNotNull() & (x != "")), " ")
+    code = F.array_join(_code_parts(F.get("_block", F.lit(0))), ".")
+    return out.select(*kept, code.alias("code"), said.alias("description"), last["rate"].alias("rate"), last["unit"].alias("unit"))
 
 
 def pasted_list(texts: DataFrame, column: str, most: int = 500) -> DataFrame:

@@ -51,17 +51,22 @@ def first_of_key(events: DataFrame, *keys: str) -> DataFrame:
 
 
 def changed_prices(prices: DataFrame, heartbeat_seconds: int) -> DataFrame:
-    """Change-only history with a heartbeat, per user; the state is the last stored price and time."""
+    """Change-only history with a heartbeat, per user; the state is the last stored price and time.  A null price is a price like others.
+
+    Rows are ordered within a micro-batch, which holds a user's rows of `files_per_trigger` files: the source must bring a user's rows of
+    different batches in order.
+    """
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last_price, last_at = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         chosen = []
         for event_id, at, price in zip(rows["event_id"], rows["ts"], rows["price"], strict=True):
-            if last_at is None or price != last_price or (at.timestamp() - last_at) >= heartbeat_seconds:
+            same = price == last_price or (pd.isna(price) and pd.isna(last_price))
+            if last_at is None or not same or (at.timestamp() - last_at) >= heartbeat_seconds:
                 chosen.append((event_id, key[0], price))
                 last_price, last_at = price, at.timestamp()
-        state.update((float(last_price), float(last_at)))
+        state.update((None if pd.isna(last_price) else float(last_price), float(last_at)))
         yield pd.DataFrame(chosen, columns=["event_id", "user_id", "price"])
 
     grouped = prices.groupBy("user_id")

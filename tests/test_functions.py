@@ -89,7 +89,7 @@ def test_offer_clusters_query_covers_all_offers(spark):
     groups = {}
     for r in lines:
         p = part[r.l_partkey]
-        row = {"ean": None, "seller": r.l_suppkey, "models": [], "pack": p.p_size, "words": p.p_name.split(), "offer_id": r.l_partkey * 100_000 + r.l_suppkey}
+        row = {"ean": None, "brand": None, "seller": r.l_suppkey, "models": [], "pack": p.p_size, "words": p.p_name.split(), "offer_id": r.l_partkey * 100_000 + r.l_suppkey}
         groups.setdefault((p.p_size, p.p_type), []).append(row)
     want = {}
     for rows in groups.values():
@@ -107,10 +107,29 @@ def test_offer_clusters_query_covers_all_offers(spark):
 def test_offers_that_are_compatible_share_a_key():
     rng = random.Random(5)
     pick = lambda x: [w for w in x if rng.random() < 0.5]
-    offers = [{"ean": rng.choice([None, None, "1", "2"]), "seller": rng.randrange(9), "models": pick(["ab12cd", "ef34gh"]), "pack": rng.choice([None, "1kg"]), "words": pick("abcd")} for _ in range(300)]
+    offers = [{"ean": rng.choice([None, None, "1", "2"]), "brand": rng.choice([None, "mary", "maria"]), "seller": rng.randrange(9), "models": pick(["ab12cd", "ef34gh"]), "pack": rng.choice([None, "1kg"]), "words": pick(["arroz", "arr", "blanco", "blanca", "mary", "dulce"])} for _ in range(300)]
     assert all(matching.meeting_keys(a) & matching.meeting_keys(b) for a in offers for b in offers if matching.compatible(a, b))
 
 
+def test_offers_without_pack_or_with_distinctive_words_stay_apart(spark):
+    names = ["Cafe Molido", "Cafe Molido Extra", "Leche Completa Mary 1l", "Leche Mary 1l", "Arroz Mary 1kg", "Arr. Mary Tipo 1 kg", "TV QN55S90HAEXPA Samsung", "Televisor Samsung QN55S90HAEXPA", "Agua 1500ml", "Jugo 1500ml"]
+    rows = [(1, i, i, None, n, "Mary" if n == "Arroz Mary 1kg" else None) for i, n in enumerate(names)]
+    got = matching.offer_clusters(spark.createDataFrame(rows, "query_id long, offer_id long, seller long, ean string, name string, brand string")).collect()
+    assert {r.offer_id: r.cluster for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 9}
+
+
+def test_xlsx_sheets_by_the_workbook(spark, tmp_path):
+    ns, rel = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="Second" r:id="rId2"/><sheet name="First" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/x.xml"/><Relationship Id="rId2" Target="/xl/worksheets/y.xml"/></Relationships>')
+        z.writestr("xl/worksheets/x.xml", f'<worksheet {ns}><sheetData><row r="3"><c r="AB3"><v>1</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/y.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="str"><v>f</v></c></row></sheetData></worksheet>')
+    got = [(r.sheet, r.row, r.cells) for r in readers.xlsx_rows(spark, str(tmp_path / "b.xlsx")).collect()]
+    assert got == [("Second", 1, ["f"]), ("First", 3, [None] * 27 + ["1"])]
+    assert [r.row for r in readers.xlsx_rows(spark, str(tmp_path / "b.xlsx"), "First").collect()] == [3]
+
+
 def test_xlsx_shared_inline_and_missing_cells(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:

@@ -78,6 +78,12 @@ def test_printed_tariff(spark):
     assert [tuple(r) for r in got] == [("0101.21.00.00", "- - Reproductores de raza pura", "5", "u"), ("0101.29.00.00", "- - Los demas", "10BK", "kg N")]
 
 
+def test_printed_tariff_reads_five_lines_below_a_code(spark):
+    text = "0101.21.00.00   - uno\n  dos\n  tres\n  cuatro\n  cinco\n  seis    2,5    X    kg met.am.\n  siete    9    u\n0102.21.00.00  Todo   BIT   15   u\n  12 ABC\n0103.10 x"
+    got = readers.printed_tariff(spark.createDataFrame([(text,)], "text string")).orderBy("code").collect()
+    assert [tuple(r) for r in got] == [("0101.21.00.00", "- uno dos tres cuatro cinco seis", "2,5", "kg met.am."), ("0102.21.00.00", "Todo BIT", "15", "u")]
+
+
 def test_versions_edits_and_golden_cases(spark):
     history = spark.createDataFrame([("r", 1, '{"p":1,"n":null}'), ("s", 3, '{"p":2,"n":"x"}')], "k string, version int, after string")
     table = spark.createDataFrame([("r", 1, None), ("s", 2, "y"), ("t", 5, None)], "k string, p int, n string")
