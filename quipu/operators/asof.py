@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-BUCKET_DAYS = 32
+BUCKET_DAYS, STRETCH_DAYS = 32, 128
 
 
 def _asof(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], values: Sequence[str], forward: bool, tolerance_days: int | None, strict: bool) -> DataFrame:
@@ -60,7 +60,17 @@ def in_force(at: Column, since: Column, until: Column) -> Column:
     return (since <= at) & (until.isNull() | (until >= at))
 
 
-def join_in_force(facts: DataFrame, at: str, periods: DataFrame) -> DataFrame:
-    """Facts with the periods (since, until, ...) that hold at their time.  periods is a dimension: its size is checked before it is broadcast."""
-    periods = F.broadcast(periods) if periods.limit(100_001).count() <= 100_000 else periods
-    return facts.join(periods, in_force(F.col(at), F.col("since"), F.col("until")))
+def join_in_force(facts: DataFrame, at: str, periods: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Facts (a date or time `at`) with the periods (since, until, ...) of their key that hold at their time.
+
+    An equi-join on the key and stretches of STRETCH_DAYS, never a nested loop: a period stands in each stretch that it touches, from the
+    first to the last one that has facts of any key, and a fact in its own.
+    """
+    day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
+    stretch = lambda c: F.floor(day(c) / STRETCH_DAYS)
+    ends = facts.agg(F.min(stretch(F.col(at))).alias("_low"), F.max(stretch(F.col(at))).alias("_high"))
+    first, last = F.greatest(stretch(F.col("since")), F.col("_low")), F.least(F.coalesce(stretch(F.col("until")), F.col("_high")), F.col("_high"))
+    touched = periods.crossJoin(F.broadcast(ends)).filter(first <= last).withColumn("_stretch", F.explode(F.sequence(first, last))).drop("_low", "_high")
+    held = touched.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = reduce(and_, [F.col(c) == F.col(f"_by_{c}") for c in by], stretch(F.col(at)) == F.col("_stretch"))
+    return facts.join(held, same & in_force(F.col(at), F.col("since"), F.col("until"))).drop("_stretch", *(f"_by_{c}" for c in by))

@@ -71,3 +71,20 @@ def edited(history: DataFrame, edit: DataFrame, key: str, catalogue: str) -> Dat
     base = catalogue.partition("+")[0]
     rows = new_versions(history, edit, key, base)
     return rows.withColumn("catalogue", F.concat(F.lit(f"{base}+e"), F.col(key).cast("string"), F.lit("v"), F.col("version").cast("string")))
+
+
+def replace_part(table: DataFrame, batch: DataFrame, part: Column) -> DataFrame:
+    """The rows of the table for which `part` is true give way to the batch; the others stay (also where it is null)."""
+    return table.filter(~F.coalesce(part, F.lit(False))).unionByName(batch)
+
+
+def replace_children(table: DataFrame, batch: DataFrame, parent: Sequence[str]) -> DataFrame:
+    """All rows of the parents that the batch names give way to the batch's."""
+    return table.join(batch.select(*parent).distinct(), list(parent), "left_anti").unionByName(batch)
+
+
+def update_first(table: DataFrame, part: Column, order: Sequence[Column], n: int, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """New values for the first n rows of a part of the table; the n keys are small, so their flag is broadcast."""
+    chosen = table.filter(part).orderBy(*order).limit(n).select(*keys, F.lit(True).alias("_hit"))
+    flagged = table.join(F.broadcast(chosen), list(keys), "left")
+    return flagged.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}).drop("_hit")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,15 @@ def require(result: DataFrame) -> None:
     bad = result.filter("violations > 0").collect()
     if bad:
         raise ValueError("; ".join(f"{r.rule}: {r.violations}" for r in bad))
+
+
+def found(rule: str, violations: DataFrame) -> DataFrame:
+    """(rule, violations, first): the violating keys (one column) counted, and the least of them as text for the message."""
+    key = F.col(violations.columns[0]).cast("string")
+    return violations.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("violations"), F.min(key).alias("first"))
+
+
+def unordered(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Rows whose value is above that of the row before it, where a falling order was promised."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("_last", F.lag(value).over(w)).filter(F.col(value) > F.col("_last")).drop("_last")

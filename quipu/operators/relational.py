@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quipu.sources.shared import materialized
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return top_per_key(df, keys, order, 1)
@@ -39,6 +42,7 @@ def longest_prefix(codes: DataFrame, code: str, rules: DataFrame, prefix: str, l
 def rank_total(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
     """rank() over the whole table by falling value without a single-task sort: the distinct values are ranged and counted before."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(parts, F.col(value).desc()).withColumn("_part", F.spark_partition_id())
+    counts = materialized(counts, "ranges")  # the ranges are sampled, so both uses must read the same ones
     sums = counts.groupBy("_part").agg(F.sum("_n").alias("_s"))
     before = sums.alias("a").join(sums.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._s"), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_part").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -46,6 +50,30 @@ def rank_total(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
     return df.join(ranked.select(value, (F.col("_before") + F.col("_inside") + 1).alias("rank")), value)
 
 
+def tree_paths(nodes: DataFrame, code: str, parent: str, name: str, separator: str) -> DataFrame:
+    """(code, path, depth) of all nodes under the roots: one join a level, each level stored, so neither rows nor depth are limited.
+
+    A node that its parents lead back to hangs under no root and has no path.
+    """
+    nodes = nodes.select(F.col(code).alias("code"), F.col(parent).alias("parent"), F.col(name).alias("name"))
+    level = materialized(nodes.filter("parent IS NULL").select("code", F.col("name").alias("path"), F.lit(1).alias("depth")), "level")
+    found = [level]
+    while True:
+        below = nodes.alias("n").join(level.alias("p"), F.col("n.parent") == F.col("p.code"))
+        level = materialized(below.select("n.code", F.concat("p.path", F.lit(separator), "n.name").alias("path"), (F.col("p.depth") + 1).alias("depth")), "level")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(level)
+
+
+def common_prefix(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """keys and the longest common beginning of the texts of each: that of the least and the greatest one."""
+    ends = df.filter(F.col(text).isNotNull()).groupBy(*keys).agg(F.min(text).alias("_a"), F.max(text).alias("_z"))
+    places = F.sequence(F.lit(0), F.least(F.length("_a"), F.length("_z")))
+    fits = F.filter(places, lambda n: F.substring("_a", F.lit(1), n) == F.substring("_z", F.lit(1), n))
+    return ends.select(*keys, F.substring("_a", F.lit(1), F.array_max(fits)).alias("prefix"))
+
+
 def page(df: DataFrame, order: Sequence[Column], size: int, number: int) -> DataFrame:
     """Page `number` (from 1) with the total of rows beside each."""
     total = df.agg(F.count(F.lit(1)).alias("total"))

@@ -77,9 +77,9 @@ def filter_regex_word(spark, sf):
     return read(spark, sf, "documents").filter(F.col("text").rlike(r"(?i)\b(license|licensed)\b") & ~F.col("text").rlike(r"\d{6}")).select("doc_id")
 
 
-@case("SELECT user_id, array_to_string(list_sort(types), ',') AS types FROM (SELECT user_id, list(DISTINCT event_type) AS types FROM events WHERE event_id % 40 = 1 GROUP BY 1) WHERE list_contains(types, 'error') AND NOT list_has_all(['click', 'error', 'view'], types)")
+@case("SELECT user_id, array_to_string(list_sort(types), ',') AS types FROM (SELECT user_id, list(DISTINCT event_type) AS types FROM events GROUP BY 1) WHERE list_contains(types, 'error') AND NOT list_has_all(['click', 'error', 'view'], types)")
 def filter_array_contains(spark, sf):
-    e = read(spark, sf, "events").filter("event_id % 40 = 1").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("t"))
+    e = read(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("t"))
     outside = F.size(F.array_except("t", F.array(F.lit("click"), F.lit("error"), F.lit("view")))) > 0
     return e.filter(F.array_contains("t", "error") & outside).select("user_id", F.array_join("t", ",").alias("types"))
 
@@ -163,8 +163,7 @@ def join_self_parent(spark, sf):
 
 @case(f"WITH RECURSIVE t AS ({TREE_SQL}), p AS (SELECT code, name AS path, 1 AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.code, p.path || ' > ' || t.name, p.depth + 1 FROM t JOIN p ON t.parent = p.code) SELECT * FROM p")
 def tree_path_recursive(spark, sf):
-    tree(spark, sf).createOrReplaceTempView("quipu_tree")
-    return spark.sql("WITH RECURSIVE p(code, path, depth) AS (SELECT code, name, 1 FROM quipu_tree WHERE parent IS NULL UNION ALL SELECT t.code, p.path || ' > ' || t.name, p.depth + 1 FROM quipu_tree t JOIN p ON t.parent = p.code) SELECT * FROM p")
+    return relational.tree_paths(tree(spark, sf), "code", "parent", "name", " > ")
 
 
 @case(f"WITH s AS ({SERIES_SQL}), o AS ({ORDERS_SQL}) SELECT o.o_orderkey, o.day, o.flag, s.day AS matched_at, s.rate FROM o LEFT JOIN s ON s.flag = o.flag AND s.day = (SELECT min(x.day) FROM s x WHERE x.flag = o.flag AND x.day >= o.day AND x.day <= o.day + 10)", dates=("day", "matched_at"))
@@ -235,8 +234,8 @@ def join_valid_time(spark, sf):
     s = series(spark, sf)
     years = s.groupBy("flag", F.year("day").alias("y")).agg((F.count(F.lit(1)) % 17).cast("int").alias("percent"))
     last = s.agg(F.max(F.year("day")).alias("last"))
-    periods = years.crossJoin(F.broadcast(last)).select(F.col("flag").alias("of"), F.make_date("y", F.lit(1), F.lit(1)).alias("since"), F.when(F.col("y") < F.col("last"), F.make_date("y", F.lit(12), F.lit(31))).alias("until"), "percent")
-    return asof.join_in_force(dated_orders(spark, sf), "day", periods).filter("flag = of").select("o_orderkey", "percent")
+    periods = years.crossJoin(F.broadcast(last)).select("flag", F.make_date("y", F.lit(1), F.lit(1)).alias("since"), F.when(F.col("y") < F.col("last"), F.make_date("y", F.lit(12), F.lit(31))).alias("until"), "percent")
+    return asof.join_in_force(dated_orders(spark, sf), "day", periods, ["flag"]).select("o_orderkey", "percent")
 
 
 CODES_SQL = "SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code FROM part"
@@ -264,10 +263,10 @@ def join_prefix_expand(spark, sf):
     return opened.join(prefix_rules(spark, sf), "prefix").groupBy("prefix").agg(F.count(F.lit(1)).alias("codes"))
 
 
-@case(f"WITH c AS ({CODES_SQL}), r AS ({RULES_SQL}) SELECT p_partkey FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE length(prefix) > 2 AND c.code LIKE r.prefix || '%')")
+@case(f"WITH c AS ({CODES_SQL}), r AS ({RULES_SQL}) SELECT p_partkey FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE length(prefix) > 4 AND c.code LIKE r.prefix || '%')")
 def anti_prefix(spark, sf):
     c = codes(spark, sf)
-    rules = prefix_rules(spark, sf).filter("length(prefix) > 2")
+    rules = prefix_rules(spark, sf).filter("length(prefix) > 4")
     covered = c.select("p_partkey", F.explode(relational.prefixes(F.col("code"), range(2, 7))).alias("prefix")).join(rules, "prefix", "left_semi")
     return c.join(covered, "p_partkey", "left_anti").select("p_partkey")
 
@@ -434,9 +433,9 @@ def set_union_all(spark, sf):
     return one("customer").unionByName(one("supplier")).unionByName(one("part"))
 
 
-@case("SELECT *, 'a' AS side FROM (SELECT c_nationkey AS k FROM customer WHERE c_custkey < 30 EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT *, 'b' FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey < 30)")
+@case("SELECT *, 'a' AS side FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT *, 'b' FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)")
 def set_except_both_ways(spark, sf):
-    a = read(spark, sf, "customer").filter("c_custkey < 30").select(F.col("c_nationkey").alias("k"))
+    a = read(spark, sf, "customer").select(F.col("c_nationkey").alias("k"))
     return relational.differences(a, read(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
@@ -451,3 +450,39 @@ def set_except_by_status(spark, sf):
 def set_intersect_arrays(spark, sf):
     kinds = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "A", F.col("l_partkey"))).alias("a"), F.collect_set(F.when(F.col("l_linestatus") == "F", F.col("l_partkey"))).alias("f"))
     return kinds.select("l_orderkey", F.array_join(F.array_sort(F.array_intersect("a", "f")), ",").alias("both_flags")).filter("both_flags <> ''")
+
+
+@case("SELECT n_regionkey, CAST(map_keys(m) AS VARCHAR) AS names, CAST(list_sum(map_values(m)) AS BIGINT) AS keys FROM (SELECT n_regionkey, map_from_entries(list(struct_pack(k := n_name, v := n_nationkey) ORDER BY n_name)) AS m FROM nation GROUP BY 1)")
+def agg_object(spark, sf):
+    """An object of names and keys for each region, shown by its names in order and the sum of its values."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("k"), F.col("n_nationkey").cast("long").alias("v"))))
+    m = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.map_from_entries(entries).alias("m"))
+    names = F.concat(F.lit("["), F.array_join(F.map_keys("m"), ", "), F.lit("]"))
+    return m.select("n_regionkey", names.alias("names"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("keys"))
+
+
+@case("SELECT min(event_id) AS event_id, user_id, event_type, ts, value FROM events GROUP BY user_id, event_type, ts, value")
+def distinct_but_one_column(spark, sf):
+    """Exact duplicates but for the event's id: the smallest id stays."""
+    return read(spark, sf, "events").groupBy("user_id", "event_type", "ts", "value").agg(F.min("event_id").alias("event_id")).select("event_id", "user_id", "event_type", "ts", "value")
+
+
+@case("SELECT id, row_number() OVER (ORDER BY CAST(substr(id, 2) AS BIGINT), id) AS place FROM (SELECT 'S' || s_suppkey AS id FROM supplier)")
+def sort_numeric_ids(spark, sf):
+    """Ids of a letter and a number in numeric order: S2 comes before S10."""
+    ids = read(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"))
+    number = F.substring("id", 2, 30).cast("long")
+    ranked = relational.rank_total(ids.withColumn("_key", -number), "_key")
+    return ranked.select("id", F.col("rank").cast("long").alias("place"))
+
+
+@case("SELECT c_nationkey, substr(a, 1, list_max(list_filter(range(0, CAST(least(length(a), length(z)) AS BIGINT) + 1), lambda n: substr(a, 1, n) = substr(z, 1, n)))) AS prefix FROM (SELECT c_nationkey, min(c_phone) AS a, max(c_phone) AS z FROM (SELECT c_nationkey, c_name AS c_phone FROM customer) GROUP BY 1)")
+def common_prefixes(spark, sf):
+    """What the names of a nation's customers begin with."""
+    return relational.common_prefix(read(spark, sf, "customer"), ["c_nationkey"], "c_name")
+
+
+@case("SELECT p_partkey, regexp_replace(p_name, '^' || prefix, '') AS rest FROM (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS prefix FROM part)")
+def without_common_prefix(spark, sf):
+    """Names without the word that all names of their first word begin with."""
+    return read(spark, sf, "part").select("p_partkey", F.expr("substr(p_name, length(split_part(p_name, ' ', 1)) + 1)").alias("rest"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quipu.operators.relational import differences
 from quipu.plans.domain import _ROUNDED
 from quipu.plans.registry import Registry, read
 from quipu.sources import readers, writers
@@ -49,11 +48,10 @@ def csv_round_trip(spark, sf):
     return readers.typed_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
 
-@case("SELECT count(*) AS different FROM (SELECT 1 WHERE false)")
+@case("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def materialized_view(spark, sf):
-    """A stored view holds what its query returns."""
-    q = read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    return differences(q, materialized(q, "statuses")).agg(F.count(F.lit(1)).alias("different"))
+    """The rows that a stored view holds."""
+    return materialized(read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), "statuses")
 
 
 @case("SELECT c_custkey, regexp_replace(c_name || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' x' END, '^(C)', '''\\1') AS shown FROM customer WHERE false UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '''=' || c_name WHEN c_custkey % 3 = 1 THEN '''-' || c_name ELSE c_name END FROM customer")
