@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +72,16 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def runs(texts: pa.Array, size: int = 1 << 19, rows: int = 1024) -> Iterator[tuple[int, int]]:
+    """(first, length) of runs of rows whose texts have at most so many bytes together, or of one row: long texts don't add up in memory."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        to = min(max(at + 1, to), at + rows, len(texts))
+        yield at, to - at
+        at = to
+
+
 def held_out(doc_id: Column, n: int) -> Column:
     """Rows that nothing is learnt from: remainder 0, and rows without an id."""
     return F.coalesce(fold(doc_id, n) == 0, F.lit(True))

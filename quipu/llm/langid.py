@@ -6,7 +6,7 @@ word adds its log frequency in each language; an unseen one the mean log frequen
 any.  Words and n-grams are counted in Spark and known by 64-bit hashes, in sorted arrays.
 
 Null texts and texts without a letter are `und` with score 0; where nothing was learnt every text is.  Ties go to the first language by
-code point.  Long texts are read whole, 256 texts at a time.  Rows that repeat each get a row and teach once each.  Empty tables give no
+code point.  Long texts are read whole, in runs of bounded size.  Rows that repeat each get a row and teach once each.  Empty tables give no
 rows.  Columns but doc_id, text and lang are not looked at.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import held_out, read, share
+from quipu.llm.common import held_out, read, runs, share
 
 PER_LANGUAGE, CHARACTERS, ALL_CHARACTERS, LONGEST = 3000, 6_000_000, 40_000_000, 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -135,8 +135,8 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start, length in runs(batch.column(1)):
+                part = batch.slice(start, length)
                 lists = [LETTERS.findall((t or "").lower()) for t in part.column(1).to_pylist()]
                 codes, found = pd.factorize(np.array([w for x in lists for w in x] + [None], dtype=object)[:-1])
                 row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import document_key, read, small, stored
+from quipu.llm.common import document_key, read, runs, small, stored
 from quipu.llm.graph import components
 
 BANDS, ROWS, SKETCH = 32, 4, 1024
@@ -108,8 +108,8 @@ def _per_batch(make: Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, length in runs(batch.column(batch.num_columns - 1)):
+                part = batch.slice(at, length)
                 yield make(part, shingle_sets(part.column(part.num_columns - 1).to_pylist(), k))
 
     return run
