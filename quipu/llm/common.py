@@ -72,7 +72,7 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def runs(texts: pa.Array, size: int = 1 << 19, rows: int = 1024) -> Iterator[tuple[int, int]]:
+def runs(texts: pa.Array, size: int = 1 << 18, rows: int = 1024) -> Iterator[tuple[int, int]]:
     """(first, length) of runs of rows whose texts have at most so many bytes together, or of one row: long texts don't add up in memory."""
     ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
     while at < len(texts):
