@@ -16,6 +16,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 SPACES = "\x20\x09-\x0d"
 BROADCAST_BYTES = 64 << 20
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's own limit is 64 MB: with a few tasks in an executor, buffers of that size on both sides of every Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,6 +75,14 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """df, which goes to Python in Arrow batches of at most BATCH_BYTES, or of one row, unless the session has a limit of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == f"{64 << 20}b":
+        conf.set(BATCH, str(BATCH_BYTES))
+    return df
+
+
 def runs(texts: pa.Array, size: int = 1 << 18, rows: int = 1024) -> Iterator[tuple[int, int]]:
     """(first, length) of runs of rows whose texts have at most so many bytes together, or of one row: long texts don't add up in memory."""
     ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0

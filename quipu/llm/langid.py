@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import held_out, read, runs, share
+from quipu.llm.common import batched, held_out, read, runs, share
 
 PER_LANGUAGE, CHARACTERS, ALL_CHARACTERS, LONGEST = 3000, 6_000_000, 40_000_000, 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -106,7 +106,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 names = hashed([g for x in lists for g in x]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.full(len(row), size), pa.int64()), pa.array(names), pa.array(n[row])], ["lang", "size", "key", "n"])
 
-    whole = docs.select("lang", "text").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    whole = batched(docs).select("lang", "text").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return whole.mapInArrow(keys, "lang string, size long, key long, n long").groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
 
 
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
                             langs[i], scores[i] = m.names[best[i]], odds[i, best[i]]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return batched(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

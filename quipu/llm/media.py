@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import read
+from quipu.llm.common import batched, read
 
 STRIP_ROWS = 4096
 
@@ -167,7 +167,7 @@ def _stored_text(values: pa.Array) -> pa.Array:
 def texts_as_media(docs: DataFrame) -> DataFrame:
     """Each text as a stored grey map, read back: digests of payload and stored form, difference hash, the NPY tile of 16 x 16 samples and its digest."""
     measured = F.arrow_udf(_stored_text, "struct<n_bytes:long,payload_bytes:long,payload_sha256:string,tail_crc32:long,media_bytes:long,media_sha256:string,feature:string,tile:binary,tile_sha256:string>")
-    return docs.select("doc_id", measured(F.col("text")).alias("m")).select("doc_id", "m.*")
+    return batched(docs).select("doc_id", measured(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import document_key, read, runs, small, stored
+from quipu.llm.common import batched, document_key, read, runs, small, stored
 from quipu.llm.graph import components
 
 BANDS, ROWS, SKETCH = 32, 4, 1024
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "key_id", "key_hash", "n", "node", "bands", "sketch"])
 
     schema = "doc_id long, key_id long, key_hash long, n long, node binary, bands array<long>, sketch array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *document_key(), "text").mapInArrow(_per_batch(make, k), schema)
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *document_key(), "text").mapInArrow(_per_batch(make, k), schema)
 
 
 def full_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -144,7 +144,7 @@ def full_sets(texts: DataFrame, k: int) -> DataFrame:
     def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "items"])
 
-    return texts.select("node", "text").mapInArrow(_per_batch(make, k), "node binary, items array<long>")
+    return batched(texts).select("node", "text").mapInArrow(_per_batch(make, k), "node binary, items array<long>")
 
 
 def sets_of(nodes: DataFrame, places: DataFrame, docs: DataFrame, k: int) -> DataFrame:

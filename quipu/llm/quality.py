@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import fresh, held_out, read, share, small
+from quipu.llm.common import batched, fresh, held_out, read, share, small
 
 LABELLED, TREES, DEPTH, LASSO, THRESHOLD = 20_000, 40, 3, 0.002, 0.3
 STATISTICS = ["chars", "words", "word_length", "letters", "upper", "digits", "symbols", "bars", "exclaims", "stops", "lines", "distinct_words", "top_word", "same_as_last", "distinct_sentences", "distinct_lines", "shout_words", "symbol_words"]
@@ -53,7 +53,7 @@ def with_statistics(docs: DataFrame, out: str = "statistics") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATISTICS))], STATISTICS)
 
     kind = "struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">"
-    return docs.withColumn(out, F.arrow_udf(measure, kind)(F.col("text")))
+    return batched(docs).withColumn(out, F.arrow_udf(measure, kind)(F.col("text")))
 
 
 @dataclass

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import held_out, read, share, small, stored
+from quipu.llm.common import batched, held_out, read, share, small, stored
 from quipu.llm.quality import labelled_sample
 
 POSITIVES, UNLABELLED, CHARACTERS, CLASSIFIERS, SURE = 3000, 10_000, 40_000_000, 2, 10.0
@@ -119,6 +119,7 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int,
     confirmed = known.filter("y = 1").filter(share(F.col("doc_id"), min(positives, fits / 2) / max(1, toxic))).select("doc_id")
     others = docs.filter(share(F.col("doc_id"), min(unlabelled, fits / 2) / max(1, rows), "unlabelled"))
     both = docs.join(small(confirmed, 4 * positives), "doc_id", "left_semi").withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
+    both = batched(both)
     split = F.arrow_udf(lambda values: pa.array([sorted(features(v.as_py())) for v in values], pa.list_(pa.string())), "array<string>")
     return stored(both.select("doc_id", "positive", split(F.col("text")).alias("w")), "toxicity_sample"), toxic / max(1, all_)
 
@@ -147,7 +148,7 @@ def scored(docs: DataFrame, model: Toxicity, out: str = "score") -> DataFrame:
     def run(values: pa.Array) -> pa.Array:
         return pa.array([model.score(v.as_py()) for v in values], pa.float64())
 
-    return docs.withColumn(out, F.arrow_udf(run, "double")(F.col("text")))
+    return batched(docs).withColumn(out, F.arrow_udf(run, "double")(F.col("text")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
