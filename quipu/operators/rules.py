@@ -39,6 +39,24 @@ def suspended(category: Column, legal_base: Column, operation: Column, exempt_pr
     return F.when((operation == "import") & (category == "exempt") & legal_base.startswith(exempt_prefix), "general").otherwise(category)
 
 
+def suspended_base(legal_base: Column, changed: Column, decree: list[str]) -> Column:
+    """Where the exemption is suspended, the decree's articles stand before the legal base (an array)."""
+    return F.when(changed, F.concat(F.array(*map(F.lit, decree)), legal_base)).otherwise(legal_base)
+
+
+def narrowing_rule(answers: DataFrame) -> DataFrame:
+    """(item, rule, place, weight, evaluates, categories: array) -> item, n, common, leader.
+
+    Of several rules that agree in some categories, the leader has just these; one that evaluates conditions goes before, then the weightier,
+    then the earlier place.  Null where no rule has just these, or where the item has one rule.
+    """
+    sets = answers.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.collect_list("categories").alias("sets"), F.collect_list(F.struct("evaluates", "weight", (-F.col("place")).alias("place"), "rule", F.size("categories").alias("size"))).alias("all"))
+    common = F.array_sort(F.aggregate(F.slice("sets", F.lit(2), F.size("sets")), F.col("sets")[0], lambda acc, x: F.array_intersect(acc, x)))
+    best = F.array_max(F.filter("all", lambda r: r["size"] == F.size("common")))["rule"]
+    agreed = sets.withColumn("common", common)
+    return agreed.select("item", "n", "common", F.when((F.col("n") > 1) & (F.size("common") > 0), best).alias("leader"))
+
+
 def combined(live: DataFrame) -> DataFrame:
     """One row per item: categories (sorted), rules, state, confidence.
 
