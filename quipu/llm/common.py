@@ -93,6 +93,15 @@ def runs(texts: pa.Array, size: int = 1 << 18, rows: int = 1024) -> Iterator[tup
         at = to
 
 
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, one after the other, and where each ends; a null text is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None and held.size else np.zeros(0, np.uint8)
+    return data, offsets[1:] - offsets[0]
+
+
 def held_out(doc_id: Column, n: int) -> Column:
     """Rows that nothing is learnt from: remainder 0, and rows without an id."""
     return F.coalesce(fold(doc_id, n) == 0, F.lit(True))
