@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 SPACES = "\x20\x09-\x0d"
 BROADCAST_BYTES = 64 << 20
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark's own limit is 64 MB: with a few tasks in an executor, buffers of that size on both sides of every Python worker.
 BATCH_BYTES = 4 << 20
@@ -36,11 +38,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the work inside; afterwards it is as it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    tidy: the shuffle files of the writing go when it has ended, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/quipu/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with setting(spark, TIDY, "true") if tidy else contextlib.nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

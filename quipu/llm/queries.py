@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quipu.llm import brown, decontam, divergence, langid, licences, media, mixing, neardup, pii, quality, resampling, toxicity
+from quipu.llm import brown, decontam, divergence, langid, licences, media, mixing, neardup, pii, quality, resampling, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -20,7 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": media.op9_media,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_resampling": resampling.op11_resampling,
+    "op12_suffix_dedup": suffixes.op12_suffix_dedup,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 
-SQL: dict[str, str] = {"op2_licences": licences.OP2_SQL, "op3_decontamination": decontam.OP3_SQL, "op11_resampling": resampling.OP11_SQL, "op13_source_divergence": divergence.OP13_SQL}
+SQL: dict[str, str] = {
+    "op2_licences": licences.OP2_SQL,
+    "op3_decontamination": decontam.OP3_SQL,
+    "op11_resampling": resampling.OP11_SQL,
+    "op12_suffix_dedup": suffixes.OP12_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
+}
