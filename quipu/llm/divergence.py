@@ -15,22 +15,49 @@ at most; a term's row holds one count per source.  Terms, documents and groups a
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quipu.llm.common import LOWER, UPPER, lower_ascii, read, small, stored
+from quipu.llm.common import LOWER, UPPER, batched, read, small, stored
 
-NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 DOCUMENTS, SCALE, TERMS, SALTS, GROUPS = 3, 1_000_000_000, 200, 64, 200_000
+#: Terms that a task holds before it sends their counts on.
+HELD = 1 << 19
+#: Bytes of terms, A-Z lower-cased; all others become blanks.  Every byte of a character beyond ASCII is one of a term.
+TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of terms by group, summed over as many texts as HELD terms allow."""
+    occurrences: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    documents: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (lang, source), found in occurrences.items():
+            n, terms = len(found), pa.array(list(found), pa.binary()).cast(pa.string())
+            counts = [pa.array(list(found.values()), pa.int64()), pa.array(map(documents[lang, source].__getitem__, found), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), terms, *counts], ["lang", "source", "term", "n", "documents"])
+        occurrences.clear()
+        documents.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
+            words = text.as_py().translate(TERM_BYTES).split()
+            occurrences[lang, source].update(words)
+            documents[lang, source].update(set(words))
+        if sum(map(len, occurrences.values())) >= HELD:
+            yield from rows()
+    yield from rows()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, documents): occurrences of each term in each group, and documents of the group that have it."""
-    terms = F.array_sort(F.array_remove(F.split(lower_ascii(F.col("text")), NOT_TERM), ""))
-    sorted_ = docs.select("lang", "source", terms.alias("t"))
-    first = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.col("t")[i - 1] != x), 1).otherwise(0).alias("new")))
-    each = sorted_.select("lang", "source", F.explode(first).alias("x")).select("lang", "source", "x.*")
-    return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("documents"))
+    """(lang, source, term, n, documents): occurrences of each term in each group, and documents of the group that have it; by language and term."""
+    counted = batched(docs.select("lang", "source", "text")).mapInArrow(_counted, "lang string, source string, term string, n long, documents long")
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
 def share(n: str, total: str, scale: int) -> Column:
