@@ -1,15 +1,12 @@
-"""Rules over texts, offers of one product across sellers, doubtful prices."""
+"""Rules over texts and doubtful prices."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quipu.functions import text as T
-
 
 def best_rules(items: DataFrame, key: str, text: Column, rules: Sequence[tuple[str, str, int]]) -> DataFrame:
     """Items with the rules (name, pattern, priority) that rank first: highest priority, then leftmost match; ties stay together.
@@ -29,91 +26,3 @@ def doubtful(offers: DataFrame, group: Sequence[str], price: str) -> Column:
     n, middle = F.count(F.lit(1)).over(w), F.median(F.when(F.col(price) > 0, F.col(price))).over(w)
     ratio = F.max(price).over(w) > 4 * F.min(price).over(w)
     return F.when(n >= 3, (F.col(price) < 0.4 * middle) | (F.col(price) > 2.5 * middle)).when(n == 2, ratio).otherwise(F.lit(False))
-
-
-#: Words of the packing, not of the product.
-FILLERS = frozenset("frasco paquete paq pote lata bolsa botella envase unidad und tipo presentacion".split())
-#: Beginnings of words that tell products apart when only one name has them.
-DISTINCTIVE = (
-    "descrem", "semidescrem", "complet", "deslactos", "integral", "light", "diet", "zero", "sin", "libre", "gluten", "organic", "dulc", "salad", "picant", "amarill", "blanc", "negr", "rojo", "roja",
-    "verde", "infantil", "nino", "adulto", "mayor", "bulto", "caja", "fardo",
-)
-
-
-def root(word: str) -> str:
-    return word[:-1] if word[-1:] in ("a", "o", "e") else word
-
-
-def same_word(a: str, b: str) -> bool:
-    """Equal but for the gender, or one the other's beginning of three letters or more."""
-    short, long = sorted((a, b), key=len)
-    return root(a) == root(b) or (len(short) >= 3 and long.startswith(short) and not short[0].isdigit())
-
-
-def _has(words: list[str], word: str) -> bool:
-    return any(same_word(w, word) for w in words)
-
-
-def compatible(a: dict, b: dict) -> bool:
-    """Equal codes decide; offers of one seller differ; equal models agree unless their brands contradict; else both need one pack size,
-    brands that agree (one alone must stand in the other's name), and at most one word of difference, which is not a distinctive one."""
-    if a["ean"] and b["ean"]:
-        return a["ean"] == b["ean"]
-    if a["seller"] == b["seller"]:
-        return False
-    brands = [x for x in (a["brand"], b["brand"]) if x]
-    contradict = len(brands) == 2 and not same_word(*brands)
-    if len(a["models"]) and set(a["models"]) == set(b["models"]):
-        return not contradict
-    if not a["pack"] or a["pack"] != b["pack"] or contradict:
-        return False
-    if len(brands) == 1:
-        nameless = b if a["brand"] else a
-        if not all(_has(nameless["words"], part) for part in brands[0].split()):
-            return False
-    parts = [part for brand in brands for part in brand.split()]
-    x, y = ([w for w in o["words"] if w not in FILLERS and not _has(parts, w)] for o in (a, b))
-    alone = [w for w in x if not _has(y, w)] + [w for w in y if not _has(x, w)]
-    return bool(x and y) and len(alone) <= 1 and not any(w.startswith(DISTINCTIVE) for w in alone)
-
-
-def meeting_keys(a: dict) -> set[tuple]:
-    """Two compatible offers share a key: a code, the model codes, or the pack with the beginning of a word both have."""
-    out: set[tuple] = {("word", a["pack"], root(w)[:2]) for w in a["words"]} if a["pack"] else set()
-    if a["ean"]:
-        out.add(("ean", a["ean"]))
-    if len(a["models"]):
-        out.add(("models", frozenset(a["models"])))
-    return out
-
-
-def offer_clusters(offers: DataFrame) -> DataFrame:
-    """offers: query_id, offer_id, seller, ean, name and perhaps brand -> offer_id, cluster (its first offer).
-
-    Greedy in arrival order (seller, offer_id): an offer joins the first cluster all of whose members it is compatible with.  The order
-    is part of the result, so a query's offers meet in one task; a query is one search, its offers are bounded by the sellers asked.  Only
-    clusters with a member that shares a key with the offer are tried.
-    """
-    name = F.col("name")
-    brand = F.nullif(T.normal(F.col("brand")), F.lit("")) if "brand" in offers.columns else F.lit(None).cast("string")
-    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    ready = offers.select("query_id", "offer_id", "seller", "ean", brand.alias("brand"), T.pack_size(name).alias("pack"), listed(T.model_codes(name)).alias("models"), listed(T.significant_words(name)).alias("words"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list[dict]] = []
-        at: dict[tuple, set[int]] = {}
-        of = {}
-        for row in pdf.sort_values(["seller", "offer_id"]).to_dict("records"):
-            keys = meeting_keys(row)
-            tried = sorted(set().union(*(at.get(k, ()) for k in keys)))
-            place = next((i for i in tried if all(compatible(row, m) for m in clusters[i])), len(clusters))
-            if place == len(clusters):
-                clusters.append([])
-            home = clusters[place]
-            home.append(row)
-            for k in keys:
-                at.setdefault(k, set()).add(place)
-            of[row["offer_id"]] = home[0]["offer_id"]
-        return pd.DataFrame({"offer_id": list(of), "cluster": list(of.values())})
-
-    return ready.groupBy("query_id").applyInPandas(fold, "offer_id long, cluster long")

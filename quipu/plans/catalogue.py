@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quipu.plans import core, domain, edits, flows, rulesets, search, services, texts
+from quipu.plans import core, domain, edits, flows, reforms, rulesets, search, services, texts
 
-QUERIES = core.R.queries | texts.R.queries | domain.R.queries | flows.R.queries | search.R.queries | services.R.queries | rulesets.R.queries | edits.R.queries
-SQL = core.R.sql | texts.R.sql | domain.R.sql | flows.R.sql | search.R.sql | services.R.sql | rulesets.R.sql | edits.R.sql
+QUERIES = core.R.queries | texts.R.queries | domain.R.queries | flows.R.queries | search.R.queries | services.R.queries | rulesets.R.queries | edits.R.queries | reforms.R.queries
+SQL = core.R.sql | texts.R.sql | domain.R.sql | flows.R.sql | search.R.sql | services.R.sql | rulesets.R.sql | edits.R.sql | reforms.R.sql

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quipu.functions import dates as D
 from quipu.functions import numbers as N
 from quipu.operators import matching, merge, quality, rules, state
+from quipu.operators.offers import offer_clusters as clusters_of
 from quipu.operators.relational import latest_per_key, longest_prefix
 from quipu.plans.core import cents, codes, prefix_rules, CODES_SQL, RULES_SQL
 from quipu.plans.registry import Registry, read
@@ -239,7 +240,7 @@ def offer_clusters(spark, sf):
     lines = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("seller")).distinct()
     asked = lines.join(p, "p_partkey").withColumn("query_id", F.xxhash64("p_size", "p_type"))
     named = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("kg"))
-    return matching.offer_clusters(asked.select("query_id", (F.col("p_partkey") * 100_000 + F.col("seller")).alias("offer_id"), "seller", F.lit(None).cast("string").alias("ean"), named.alias("name")))
+    return clusters_of(asked.select("query_id", (F.col("p_partkey") * 100_000 + F.col("seller")).alias("offer_id"), "seller", F.lit(None).cast("string").alias("ean"), named.alias("name")))
 
 
 _SIGNALS_SQL = f"""SELECT p_partkey AS item, 'r' || (1 + rule % 4) AS rule, 0.95 AS weight FROM (WITH c AS ({CODES_SQL}), r AS ({RULES_SQL}) SELECT p_partkey, arg_max(rule, length(r.prefix)) AS rule FROM c JOIN r ON starts_with(c.code, r.prefix) GROUP BY 1)

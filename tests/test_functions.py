@@ -1,7 +1,6 @@
 """Golden rows of functions, merges, folds, readers and writers."""
 
 import datetime as dt
-import random
 import zipfile
 from decimal import Decimal
 
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quipu.functions import numbers as N
 from quipu.functions import text as T
-from quipu.operators import asof, matching, merge, quality, state
+from quipu.operators import asof, merge, offers, quality, state
 from quipu.plans import domain
 from quipu.sources import readers, writers
 from quipu.sources.shared import shared_folder
@@ -77,44 +76,49 @@ def test_rules_report_and_requirement(spark):
 
 def test_offer_clusters_keep_cliques(spark):
     rows = [(1, 1, 1, None, "Arroz Mary 1kg"), (1, 2, 2, None, "Arroz Mary 1 kg"), (1, 3, 3, None, "Arroz Mary 2kg"), (1, 4, 4, "4006381333931", "x"), (1, 5, 5, "4006381333931", "y")]
-    got = matching.offer_clusters(spark.createDataFrame(rows, "query_id long, offer_id long, seller long, ean string, name string")).collect()
+    got = offers.offer_clusters(spark.createDataFrame(rows, "query_id long, offer_id long, seller long, ean string, name string")).collect()
     assert {r.offer_id: r.cluster for r in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
 
 
 def test_offer_clusters_query_covers_all_offers(spark):
-    """Every offer has a cluster, the one that brute force over its whole size and type gives."""
+    """No name of the table has a brand, a code or an abbreviation: offers of one size and type go together if their words are the same
+    but for one, and their sellers differ."""
     sf = "/root/testdata/sf0.001"
     part = {r.p_partkey: r for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect()
-    groups = {}
-    for r in lines:
+    groups, want = {}, {}
+    for r in sorted(lines, key=lambda r: (r.l_suppkey, r.l_partkey)):
         p = part[r.l_partkey]
-        row = {"ean": None, "brand": None, "seller": r.l_suppkey, "models": [], "pack": p.p_size, "words": p.p_name.split(), "offer_id": r.l_partkey * 100_000 + r.l_suppkey}
-        groups.setdefault((p.p_size, p.p_type), []).append(row)
-    want = {}
-    for rows in groups.values():
-        clusters = []
-        for row in sorted(rows, key=lambda r: (r["seller"], r["offer_id"])):
-            home = next((c for c in clusters if all(matching.compatible(row, m) for m in c)), None)
-            if home is None:
-                clusters.append(home := [])
-            home.append(row)
-            want[row["offer_id"]] = home[0]["offer_id"]
+        words, cliques = set(p.p_name.split()), groups.setdefault((p.p_size, p.p_type), [])
+        fits = lambda m, w=words, s=r.l_suppkey: m[1] != s and len(m[2] ^ w) <= 1
+        home = next((c for c in cliques if all(map(fits, c))), None)
+        if home is None:
+            cliques.append(home := [])
+        home.append((r.l_partkey * 100_000 + r.l_suppkey, r.l_suppkey, words))
+        want[home[-1][0]] = home[0][0]
     got = {r.offer_id: r.cluster for r in domain.offer_clusters(spark, sf).collect()}
     assert len(got) == len(lines) and got == want
 
 
-def test_offers_that_are_compatible_share_a_key():
-    rng = random.Random(5)
-    pick = lambda x: [w for w in x if rng.random() < 0.5]
-    offers = [{"ean": rng.choice([None, None, "1", "2"]), "brand": rng.choice([None, "mary", "maria"]), "seller": rng.randrange(9), "models": pick(["ab12cd", "ef34gh"]), "pack": rng.choice([None, "1kg"]), "words": pick(["arroz", "arr", "blanco", "blanca", "mary", "dulce"])} for _ in range(300)]
-    assert all(matching.meeting_keys(a) & matching.meeting_keys(b) for a in offers for b in offers if matching.compatible(a, b))
+def test_links_between_descriptions(spark):
+    """By brand, code and models: (name, brand, ean) of two offers and whether they can be one product."""
+    code, other = "4006381333931", "7591001100016"
+    cases = [
+        (("Arroz Mary 1kg", "Mary", None), ("Arroz Mary 1 kg", None, None), True), (("Arroz 1kg", "Mary", None), ("Arroz Primor 1kg", None, None), False), (("Arroz 1kg", "Mary", None), ("Arroz 1kg", "Primor", None), False),
+        (("Arroz 1kg", "Mary", code), ("Leche 1l", "Nestle", code), True), (("Arroz Mary 1kg", "Mary", code), ("Arroz Mary 1kg", "Mary", other), False), (("TV QN55S90HAEXPA", "Samsung", None), ("Pantalla QN55S90HAEXPA", "Sams", None), True),
+        (("TV QN55S90HAEXPA", "Samsung", None), ("TV QN55S90HAEXPA", "LG", None), False), (("Galleta Maria Dulce 200g", None, None), ("Galleta Maria 200g", None, None), False), (("Galleta Maria Roja 200g", None, None), ("Galletas Mario 200g", None, None), False),
+        (("Queso Rallado 500g", None, None), ("Queso Rallada Andes 500g", None, None), True), (("Queso Rallado 500g", None, None), ("Queso Rallado Andes Premium 500g", None, None), False), (("Paquete 1kg", None, None), ("Paquete 1kg", None, None), False),
+    ]
+    rows = [(q, i, i, e, n, b) for q, (one, two, _) in enumerate(cases) for i, (n, b, e) in enumerate((one, two))]
+    found = offers.offer_clusters(spark.createDataFrame(rows, "query_id long, offer_id long, seller long, ean string, name string, brand string").withColumn("offer_id", F.expr("query_id * 10 + offer_id"))).collect()
+    together = {r.offer_id // 10 for r in found if r.offer_id % 10 == 1 and r.cluster % 10 == 0}
+    assert together == {q for q, (_, _, yes) in enumerate(cases) if yes}
 
 
 def test_offers_without_pack_or_with_distinctive_words_stay_apart(spark):
     names = ["Cafe Molido", "Cafe Molido Extra", "Leche Completa Mary 1l", "Leche Mary 1l", "Arroz Mary 1kg", "Arr. Mary Tipo 1 kg", "TV QN55S90HAEXPA Samsung", "Televisor Samsung QN55S90HAEXPA", "Agua 1500ml", "Jugo 1500ml"]
     rows = [(1, i, i, None, n, "Mary" if n == "Arroz Mary 1kg" else None) for i, n in enumerate(names)]
-    got = matching.offer_clusters(spark.createDataFrame(rows, "query_id long, offer_id long, seller long, ean string, name string, brand string")).collect()
+    got = offers.offer_clusters(spark.createDataFrame(rows, "query_id long, offer_id long, seller long, ean string, name string, brand string")).collect()
     assert {r.offer_id: r.cluster for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8, 9: 9}
 
 
