@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quipu.plans import core, domain, edits, flows, reforms, rulesets, search, services, texts
+from quipu.plans import core, domain, edits, flows, lookups, reforms, rulesets, search, services, streamed, texts
 
-QUERIES = core.R.queries | texts.R.queries | domain.R.queries | flows.R.queries | search.R.queries | services.R.queries | rulesets.R.queries | edits.R.queries | reforms.R.queries
-SQL = core.R.sql | texts.R.sql | domain.R.sql | flows.R.sql | search.R.sql | services.R.sql | rulesets.R.sql | edits.R.sql | reforms.R.sql
+_TABLES = [m.R for m in (core, texts, domain, flows, search, services, rulesets, edits, reforms, lookups, streamed)]
+QUERIES = {name: query for table in _TABLES for name, query in table.queries.items()}
+SQL = {name: sql for table in _TABLES for name, sql in table.sql.items()}
