@@ -74,12 +74,16 @@ def words_digest(words: Column) -> Column:
 
 
 def phrase_starts(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """Offset-adjusted intersection: (key_id, key_hash, text_id, start, len, digest) where all chosen terms of a window meet."""
+    """Offset-adjusted intersection: (key_id, key_hash, text_id, start, len, digest) where all chosen terms of a window meet.
+
+    An alignment meets only the windows whose rarest term is at a place that it has: at most `length` windows a place, whatever the item's length.
+    """
     places = windows.select("text_id", F.explode("need").alias("p")).select("text_id", "p.term", "p.at").distinct()
     moved = index.join(small(places, BROADCAST_TERMS), "term").select("key_id", "key_hash", "text_id", (F.col("pos") - F.col("at")).alias("shift"), "at")
     met = moved.groupBy("key_id", "key_hash", "text_id", "shift").agg(F.collect_set("at").alias("seen"))
-    needs = windows.select("text_id", "first", "len", "digest", F.transform("need", lambda p: p["at"]).alias("places"))
-    joined = met.join(small(needs, BROADCAST_TERMS), "text_id").filter((F.size(F.array_except("places", "seen")) == 0) & (F.col("shift") + F.col("first") >= 0))
+    needs = windows.select("text_id", "first", "len", "digest", F.transform("need", lambda p: p["at"]).alias("places")).withColumn("at", F.col("places")[0])
+    rarest = met.select("key_id", "key_hash", "text_id", "shift", "seen", F.explode("seen").alias("at"))
+    joined = rarest.join(small(needs, BROADCAST_TERMS), ["text_id", "at"]).filter((F.size(F.array_except("places", "seen")) == 0) & (F.col("shift") + F.col("first") >= 0))
     return joined.select("key_id", "key_hash", "text_id", (F.col("shift") + F.col("first")).alias("start"), "len", "digest")
 
 
