@@ -29,6 +29,11 @@ PER_LANGUAGE, CHARACTERS, ALL_CHARACTERS, LONGEST = 3000, 6_000_000, 40_000_000,
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters and number signs that have a letter (general category L): `Ⅷ`, `½` and `①` alone are no words."""
+    return [w for w in LETTERS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def hashed(names: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array([*names, ""], dtype=object), categorize=False)[:-1]
 
@@ -94,7 +99,7 @@ def counted(docs: DataFrame) -> DataFrame:
         for batch in batches:
             held: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.update((lang, w) for w in LETTERS.findall(text.lower()))
+                held.update((lang, w) for w in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +123,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, characters: int = C
     most = min(characters, ALL_CHARACTERS // max(1, len(names)))
     chosen = F.lit(False)
     for r in totals:
-        chosen = chosen | ((F.col("lang") == r.lang) & share(F.col("doc_id"), min(1.0, per_language / r.n, most / max(1, r.chars))))
+        chosen = chosen | ((F.col("lang") == r.lang) & share(F.xxhash64("doc_id", "text"), min(1.0, per_language / r.n, most / max(1, r.chars))))
     found = counted(docs.filter(chosen)).toArrow()
     language = np.searchsorted(np.array(names, dtype=object), np.array(found["lang"].to_pylist() + [None], dtype=object)[:-1]) if names else np.zeros(0, np.int64)
     size, key, n = (found[c].to_numpy() for c in ("size", "key", "n"))
@@ -137,7 +142,7 @@ def predict(docs: DataFrame, model: Languages) -> DataFrame:
         for batch in batches:
             for start, length in runs(batch.column(1)):
                 part = batch.slice(start, length)
-                lists = [LETTERS.findall((t or "").lower()) for t in part.column(1).to_pylist()]
+                lists = [words_of(t) for t in part.column(1).to_pylist()]
                 codes, found = pd.factorize(np.array([w for x in lists for w in x] + [None], dtype=object)[:-1])
                 row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 langs, scores = ["und"] * len(lists), np.zeros(len(lists))
