@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quipu.plans import core, domain, edits, flows, lookups, reforms, rulesets, search, services, streamed, texts
+from quipu.plans import core, domain, edits, flows, lookups, named, paths, reforms, rulesets, search, services, streamed, texts
 
-_TABLES = [m.R for m in (core, texts, domain, flows, search, services, rulesets, edits, reforms, lookups, streamed)]
+_TABLES = [m.R for m in (core, texts, domain, flows, search, services, rulesets, edits, reforms, lookups, streamed, paths, named)]
 QUERIES = {name: query for table in _TABLES for name, query in table.queries.items()}
 SQL = {name: sql for table in _TABLES for name, sql in table.sql.items()}
