@@ -15,7 +15,8 @@ UNITS = {"kg": ("g", 1000), "g": ("g", 1), "gr": ("g", 1), "mg": ("mg", 1), "l":
 
 
 def unaccent(text: Column) -> Column:
-    return F.translate(text, MARKED, PLAIN)
+    """Pure ASCII texts stay as they are, without a look at every letter."""
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, MARKED, PLAIN))
 
 
 def normal(text: Column) -> Column:

@@ -21,8 +21,10 @@ def best_rules(items: DataFrame, key: str, text: Column, rules: Sequence[tuple[s
 
 
 def doubtful(offers: DataFrame, group: Sequence[str], price: str) -> Column:
-    """From three offers on: below 0.4 or above 2.5 times the median of positive prices; of two, both if one is over 4 times the other."""
+    """From three offers on: below 0.4 or above 2.5 times the median of positive prices; of two, both if one is over 4 times the other.
+    Prices of 0 or less are not compared with."""
     w = Window.partitionBy(*group)
-    n, middle = F.count(F.lit(1)).over(w), F.median(F.when(F.col(price) > 0, F.col(price))).over(w)
-    ratio = F.max(price).over(w) > 4 * F.min(price).over(w)
+    real = F.when(F.col(price) > 0, F.col(price))
+    n, middle = F.count(F.lit(1)).over(w), F.median(real).over(w)
+    ratio = F.coalesce(F.max(real).over(w) > 4 * F.min(real).over(w), F.lit(False))
     return F.when(n >= 3, (F.col(price) < 0.4 * middle) | (F.col(price) > 2.5 * middle)).when(n == 2, ratio).otherwise(F.lit(False))

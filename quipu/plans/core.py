@@ -114,9 +114,10 @@ def json_rows_expand(spark, sf):
 @case("SELECT n_name, r_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderdate >= DATE '1997-01-01' GROUP BY 1, 2")
 def join_inner_4way(spark, sf):
     l, o, c, n, r = (read(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
-    per_order = l.groupBy("l_orderkey").agg(F.sum(cents("l_extendedprice")).alias("s"), F.count(F.lit(1)).alias("k"))
-    joined = per_order.join(o.filter("o_orderdate >= DATE'1997-01-01'"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.sum("s").cast("double").alias("total"), F.sum("k").alias("lines"))
+    placed = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+    bought = o.filter("o_orderdate >= DATE'1997-01-01'").select("o_orderkey", "o_custkey").join(placed, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "n_name", "r_name")
+    joined = l.select("l_orderkey", cents("l_extendedprice").alias("price")).join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("n_name", "r_name").agg(F.sum("price").cast("double").alias("total"), F.count(F.lit(1)).alias("lines"))
 
 
 @case("SELECT c_custkey, count(o_orderkey) AS orders, bool_or(o_orderkey IS NOT NULL) AS active FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY 1")
@@ -433,10 +434,11 @@ def set_union_all(spark, sf):
     return one("customer").unionByName(one("supplier")).unionByName(one("part"))
 
 
-@case("SELECT *, 'a' AS side FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT *, 'b' FROM (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)")
+@case("WITH c AS (SELECT c_nationkey * 100 + CAST(floor(c_acctbal / 1000) AS INTEGER) AS k FROM customer), s AS (SELECT s_nationkey * 100 + CAST(floor(s_acctbal / 1000) AS INTEGER) AS k FROM supplier) SELECT *, 'a' AS side FROM (SELECT k FROM c EXCEPT SELECT k FROM s) UNION ALL SELECT *, 'b' FROM (SELECT k FROM s EXCEPT SELECT k FROM c)")
 def set_except_both_ways(spark, sf):
-    a = read(spark, sf, "customer").select(F.col("c_nationkey").alias("k"))
-    return relational.differences(a, read(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")))
+    """Nations and thousands of balance that occur among customers or among suppliers alone."""
+    key = lambda t, x: read(spark, sf, t).select((F.col(f"{x}_nationkey") * 100 + F.floor(F.col(f"{x}_acctbal") / 1000)).cast("int").alias("k"))
+    return relational.differences(key("customer", "c"), key("supplier", "s"))
 
 
 @case("SELECT *, 'a' AS side FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL SELECT *, 'b' FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

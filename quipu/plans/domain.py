@@ -224,13 +224,13 @@ def best_offer(spark, sf):
     return latest_per_key(o.withColumn("doubtful", matching.doubtful(o, ["part"], "price")), ["part"], [F.col("doubtful"), F.col("price"), F.col("seller")]).select("part", "seller", "price")
 
 
-@case(f"SELECT p_type, part, low, high, low_seller FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY high / low DESC, part) AS r FROM (SELECT part, min(price) AS low, max(price) AS high, arg_min(seller, price) AS low_seller FROM ({OFFERS_SQL}) GROUP BY 1 HAVING count(*) >= 2 AND max(price) >= 1.03 * min(price)) JOIN part ON part = p_partkey) WHERE r = 1 ORDER BY high / low DESC LIMIT 4")
+@case(f"SELECT p_type, part, low, high, low_seller FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY high / low DESC, part) AS r FROM (SELECT part, min(price) AS low, max(price) AS high, arg_min(seller, price) AS low_seller FROM ({OFFERS_SQL}) GROUP BY 1 HAVING count(*) >= 2 AND max(price) >= 1.03 * min(price)) JOIN part ON part = p_partkey) WHERE r = 1 ORDER BY high / low DESC, p_type LIMIT 4")
 def spread_report(spark, sf):
     """Per product the cheapest and the dearest seller, the widest gap of each type, the four widest of all."""
     spread = offers(spark, sf).groupBy("part").agg(F.min("price").alias("low"), F.max("price").alias("high"), F.min_by("seller", "price").alias("low_seller"), F.count(F.lit(1)).alias("n")).filter("n >= 2 AND high >= 1.03 * low")
     typed = spread.join(read(spark, sf, "part").select(F.col("p_partkey").alias("part"), "p_type"), "part")
     gap = F.col("high") / F.col("low")
-    return latest_per_key(typed, ["p_type"], [gap.desc(), F.col("part")]).orderBy(gap.desc()).limit(4).select("p_type", "part", "low", "high", "low_seller")
+    return latest_per_key(typed, ["p_type"], [gap.desc(), F.col("part")]).orderBy(gap.desc(), "p_type").limit(4).select("p_type", "part", "low", "high", "low_seller")
 
 
 @case()
@@ -317,9 +317,9 @@ def apply_reforms(spark, sf):
     return out.select("k", "size", "batch")
 
 
-@case("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-24') AS last_week, arg_max(event_id, ts) AS latest FROM events GROUP BY 1")
+@case("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-24') AS last_week, arg_max(event_id, (ts, event_id)) AS latest FROM events GROUP BY 1")
 def report_activity(spark, sf):
-    return read(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("ts") >= F.lit("2024-01-24").cast("timestamp")).alias("last_week"), F.max_by("event_id", "ts").alias("latest"))
+    return read(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("ts") >= F.lit("2024-01-24").cast("timestamp")).alias("last_week"), F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"))
 
 
 @case("SELECT CAST(ts - INTERVAL 4 HOUR AS DATE) AS day, count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type = 'error') * 100.0::DOUBLE / count(*) AS error_share FROM events GROUP BY 1", dates=("day",))
