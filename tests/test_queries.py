@@ -41,7 +41,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_but_the_folds():
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"offer_clusters", "fulltext_spanish", "tariff_detection"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"offer_clusters", "fulltext_spanish", "tariff_detection", "file_digests"}
 
 
 def test_longest_prefix_is_not_a_nested_loop(spark):
