@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quipu.functions import text as T
+from quipu.sources.shared import materialized
 
 THRESHOLD, WORDS = 0.2, 6
 
@@ -41,13 +42,13 @@ def holding_all_words(texts: DataFrame, names: DataFrame, words: Column | None =
     gram alone, and the names found there are compared with it; no text meets all names.  Texts without words find nothing.
     """
     words = F.slice(F.filter(T.significant_words(F.col("text")), lambda w: F.length(w) >= 2), 1, WORDS) if words is None else words
-    asked = texts.select("text").distinct().select("text", words.alias("words")).filter(F.size("words") > 0)
-    named = names.select("id", "text")
-    index = postings(named)
+    asked = texts.select("text").distinct().select("text", words.alias("words"), T.trigrams(F.col("text")).alias("of_text")).filter(F.size("words") > 0)
+    plain = names.select("id", T.normal(F.col("text")).alias("plain"), T.trigrams(F.col("text")).alias("of_name"))
+    index = postings(names.select("id", "text"))
     met = rarest_grams(asked, index).join(index, "gram").select("text", "id")
-    both = met.join(asked, "text").join(named.withColumnRenamed("text", "name"), "id")
-    normal = T.normal(F.col("name"))
-    return both.filter(F.forall("words", lambda w: F.contains(normal, w))).select("text", "id", T.similarity(F.col("name"), F.col("text")).alias("similarity"))
+    both = met.join(asked, "text").join(plain, "id").filter(F.forall("words", lambda w: F.contains(F.col("plain"), w)))
+    shared = F.size(F.array_intersect("of_text", "of_name"))
+    return both.select("text", "id", (shared / (F.size("of_text") + F.size("of_name") - shared)).alias("similarity"))
 
 
 def reference_images(queries: DataFrame, products: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -56,7 +57,7 @@ def reference_images(queries: DataFrame, products: DataFrame, threshold: float =
     By the first of its codes that a product with an image has, the one seen last; else by name: all words, the most similar of those at
     the threshold or above, then the one seen last.  Ties go to the smaller id.  Queries that find nothing have no row.
     """
-    shown = products.filter("active AND image IS NOT NULL")
+    shown = materialized(products.filter("active AND image IS NOT NULL").select("id", "text", "ean", "seen"), "shown")
     newest = shown.filter("ean IS NOT NULL").groupBy("ean").agg(F.min_by("id", F.struct(F.unix_micros(F.col("seen").cast("timestamp")) * -1, "id")).alias("id"))
     asked = queries.select("query_id", F.posexplode("codes").alias("place", "ean"))
     coded = asked.join(newest, "ean").groupBy("query_id").agg(F.min_by("id", "place").alias("id")).select("query_id", "id", F.lit("code").alias("by"))
