@@ -23,14 +23,15 @@ def postings(names: DataFrame) -> DataFrame:
     return names.select(F.explode(F.array_distinct(F.concat(_cut(normal, 3), _cut(normal, 2)))).alias("gram"), "id")
 
 
-def rarest_grams(words: DataFrame, index: DataFrame) -> DataFrame:
-    """words: text, words -> (text, gram): of all grams that a name with these words must have, the one that the fewest names have.
-
-    A word of three letters or more gives its triples, one of two its pair; a text with a gram that no name has is left out.
-    """
+def needed_grams(words: DataFrame) -> DataFrame:
+    """words: text, words -> (text, gram): what a name with all these words must have, of a word of two letters its pair, of longer ones triples."""
     grams = F.flatten(F.transform("words", lambda w: F.when(F.length(w) >= 3, _cut(w, 3)).otherwise(_cut(w, 2))))
-    needed = words.select("text", F.explode(F.array_distinct(grams)).alias("gram"))
-    counts = index.join(needed.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("text", F.explode(F.array_distinct(grams)).alias("gram"))
+
+
+def rarest(needed: DataFrame, index: DataFrame) -> DataFrame:
+    """(text, gram): of the grams that a text needs the one that the fewest names have; a text with a gram that no name has is left out."""
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     ranked = needed.join(counts, "gram", "left").groupBy("text").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all"))
     return ranked.filter("all").select("text", "gram")
 
@@ -44,8 +45,9 @@ def holding_all_words(texts: DataFrame, names: DataFrame, words: Column | None =
     words = F.slice(F.filter(T.significant_words(F.col("text")), lambda w: F.length(w) >= 2), 1, WORDS) if words is None else words
     asked = texts.select("text").distinct().select("text", words.alias("words"), T.trigrams(F.col("text")).alias("of_text")).filter(F.size("words") > 0)
     plain = names.select("id", T.normal(F.col("text")).alias("plain"), T.trigrams(F.col("text")).alias("of_name"))
-    index = postings(names.select("id", "text"))
-    met = rarest_grams(asked, index).join(index, "gram").select("text", "id")
+    needed = needed_grams(asked)
+    index = materialized(postings(names.select("id", "text")).join(needed.select("gram").distinct(), "gram", "left_semi"), "postings")
+    met = rarest(needed, index).join(index, "gram").select("text", "id")
     both = met.join(asked, "text").join(plain, "id").filter(F.forall("words", lambda w: F.contains(F.col("plain"), w)))
     shared = F.size(F.array_intersect("of_text", "of_name"))
     return both.select("text", "id", (shared / (F.size("of_text") + F.size("of_name") - shared)).alias("similarity"))
@@ -57,7 +59,7 @@ def reference_images(queries: DataFrame, products: DataFrame, threshold: float =
     By the first of its codes that a product with an image has, the one seen last; else by name: all words, the most similar of those at
     the threshold or above, then the one seen last.  Ties go to the smaller id.  Queries that find nothing have no row.
     """
-    shown = materialized(products.filter("active AND image IS NOT NULL").select("id", "text", "ean", "seen"), "shown")
+    shown = products.filter("active AND image IS NOT NULL").select("id", "text", "ean", "seen")
     newest = shown.filter("ean IS NOT NULL").groupBy("ean").agg(F.min_by("id", F.struct(F.unix_micros(F.col("seen").cast("timestamp")) * -1, "id")).alias("id"))
     asked = queries.select("query_id", F.posexplode("codes").alias("place", "ean"))
     coded = asked.join(newest, "ean").groupBy("query_id").agg(F.min_by("id", "place").alias("id")).select("query_id", "id", F.lit("code").alias("by"))
