@@ -120,7 +120,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     tally = mix(whole.select("doc_id", "source", "size"), **options).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"), *over)
     tally = stored(tally, "tally")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "size")]
-    joined = whole.alias("d").join(tally.alias("t"), same[0] & same[1] & same[2]).select("d.row", "d.doc_id", "d.source", "d.size", "d.h", "t.m", "t.over0", "t.over1")
+    joined = whole.alias("d").join(tally.hint("shuffle_hash").alias("t"), same[0] & same[1] & same[2]).select("d.row", "d.doc_id", "d.source", "d.size", "d.h", "t.m", "t.over0", "t.over1")
     even = F.col("over0").isin(0, F.col("m")) & F.col("over1").isin(0, F.col("m"))
     plain = joined.filter(even).select("row", ((F.col("over0") > 0).cast("int") + (F.col("over1") > 0).cast("int")).alias("copies"))
     if not tally.filter(~even).isEmpty():
