@@ -28,9 +28,9 @@ list_sum([CASE WHEN list_contains(a, x) THEN 10 WHEN list_contains(b, x) THEN 4
 SELECT query, code, phrase, coverage, in_a, in_b, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY phrase DESC, coverage DESC, in_a DESC, in_b DESC, rank DESC, code) AS n FROM s) WHERE n <= 8""")
 def fulltext_score(spark, sf):
     """The eight best parts for each different kind and name, by weighted words (type A, name B, brand C)."""
-    postings, _ = part_index(spark, sf)
-    asked = read(spark, sf, "part").select(F.concat(F.lower("p_type"), F.lit(" "), "p_name").alias("query")).distinct()
-    return search.best(search.scores(search.terms(asked, ["query"], F.col("query")), ["query"], postings, "code"), ["query"], "code", 8)
+    p = read(spark, sf, "part").withColumn("code", F.lpad(F.col("p_partkey").cast("string"), 8, "0"))
+    asked = p.select(F.concat(F.lower("p_type"), F.lit(" "), "p_name").alias("query")).distinct()
+    return search.best_items(search.terms(asked, ["query"], F.col("query")), ["query"], p, "code", ["p_type", "p_name", "p_brand"], 8)
 
 
 @case(f"SELECT item_id, w AS lex, count(*) AS n, min(pos) AS first FROM (SELECT item_id, unnest({_W('text')}) AS w, generate_subscripts({_W('text')}, 1) AS pos FROM benchmark) GROUP BY 1, 2")

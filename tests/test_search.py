@@ -121,3 +121,15 @@ def test_asof_finds_rows_in_far_stretches_and_null_keys(spark):
     assert got(asof.asof_backward) == {(k, y): v for k in ("a", None) for y, v in ((1960, None), (1999, 1999), (2020, 1999))}
     assert got(asof.asof_backward, True) == {(k, y): v for k in ("a", None) for y, v in ((1960, None), (1999, 1980), (2020, 1999))}
     assert got(asof.asof_forward) == {(k, y): v for k in ("a", None) for y, v in ((1960, 1980), (1999, 1999), (2020, None))}
+
+
+def test_items_that_say_the_same_share_one_vector_and_all_of_them_are_ranked(spark):
+    rows = [(f"{i:03}", *[("LARGE", "red ring", "b 1"), ("LARGE", "red  Ring", "b 1"), ("SMALL", "red ring", None), (None, "ring ring", ""), ("LARGE", None, "red")][i * i % 5]) for i in range(60)]
+    items = spark.createDataFrame(rows, "code string, a string, b string, c string")
+    asked = search.terms(spark.createDataFrame([("large red ring",), ("ring ring",), ("small",)], "query string"), ["query"], F.col("query"))
+    per_item = search.scores(asked, ["query"], search.index(items, "code", [F.col("a"), F.col("b"), F.col("c")]), "code")
+    for limit in (1, 8, 40):
+        want = search.best(per_item, ["query"], "code", limit).collect()
+        got = search.best_items(asked, ["query"], items, "code", ["a", "b", "c"], limit)
+        assert sorted(map(tuple, got.select(per_item.columns).collect())) == sorted(map(tuple, want))
+    assert "BroadcastHashJoin" not in per_item._jdf.queryExecution().executedPlan().toString()  # postings of small files can be many
