@@ -167,3 +167,13 @@ def test_the_classifier_by_hand(spark):
     assert [o[0] for o in options(7)] == ["reduced"] and got[7].rules == ["r2"]
     assert got[8].conflict and got[8].confidence == pytest.approx(0.48) and {o[0] for o in options(8)} == {"reduced", "luxury"}
     assert isinstance(vat.catalogue(spark).with_priority("r4", 30), Catalogue)
+
+
+def test_names_of_many_products_are_compared_once(spark):
+    rows = [(i, "red bolt large" if i % 2 else "red bolt small", None, "x", i % 7, True) for i in range(200)] + [(900, None, None, "x", 99, True), (901, "blue nut", None, "x", 1, True)]
+    products = spark.createDataFrame(rows, "id long, text string, ean string, image string, seen int, active boolean").withColumn("seen", F.date_add(F.lit("2024-01-01").cast("date"), F.col("seen")))
+    queries = spark.createDataFrame([(1, "red bolt small", []), (2, "bolt red large", []), (3, "nut", []), (4, "screw", [])], "query_id long, text string, codes array<string>")
+    assert {(r.query_id, r.id, r.by) for r in lookup.reference_images(queries, products).collect()} == {(1, 6, "name"), (2, 13, "name"), (3, 901, "name")}
+    names = products.select(F.col("text").alias("name"))
+    assert lookup.alike(queries, names).count() == 3  # pairs of a text and a name, not of a text and a product
+    assert lookup.holding_all_words(queries, products).count() == 201
