@@ -96,6 +96,6 @@ def tagged_rules(items: DataFrame, tags: str, rules: DataFrame) -> DataFrame:
 
 
 def residual(codes: DataFrame, classified: DataFrame, key: str, percent: int) -> DataFrame:
-    """Codes that no rule knows fall to the general rate, conditionally; the others keep their rule."""
-    joined = codes.join(classified, key, "left")
+    """Codes that no rule knows fall to the general rate, conditionally; the others keep their rule.  A code may stand on several rows of both."""
+    joined = codes.join(classified.dropDuplicates([key]), key, "left")
     return joined.withColumns({"percent": F.when(F.col("rule").isNull(), percent), "state": F.when(F.col("rule").isNull(), "conditional")})

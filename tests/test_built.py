@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quipu.functions import names
-from quipu.operators import consolidate, lookup, rates, searchbox, sitemaps
+from quipu.operators import consolidate, lookup, rates, rules, searchbox, sitemaps
 from quipu.operators.reforms import reformed
 from quipu.operators.vat import Catalogue, classified
 from quipu.plans import catalogue, paths, vat
@@ -177,3 +177,10 @@ def test_names_of_many_products_are_compared_once(spark):
     names = products.select(F.col("text").alias("name"))
     assert lookup.alike(queries, names).count() == 3  # pairs of a text and a name, not of a text and a product
     assert lookup.holding_all_words(queries, products).count() == 201
+
+
+def test_residual_rule_keeps_one_row_for_each_of_equal_codes(spark):
+    codes = spark.createDataFrame([(1, "100000"), (2, "100000"), (3, "200000")], "part long, code string")
+    known = spark.createDataFrame([("100000", 14), ("100000", 14)], "code string, rule int")
+    got = rules.residual(codes, known, "code", 16).select("part", "rule", "percent", "state").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 14, None, None), (2, 14, None, None), (3, None, 16, "conditional")]
