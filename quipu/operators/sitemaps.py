@@ -16,9 +16,11 @@ def locations(xml: Column) -> Column:
     return F.transform(found, lambda u: F.regexp_replace(u, "&amp;", "&"))
 
 
-def crawled(documents: DataFrame, roots: DataFrame, pattern: str, depth: int = DEPTH) -> DataFrame:
+def crawled(documents: DataFrame, roots: DataFrame, pattern: str, depth: int = DEPTH, every: bool = False) -> DataFrame:
     """documents: url, xml; roots: url -> (url, level): the different page addresses that fit the pattern, with the level they were first seen at.
 
+    With `every`, an address has a row for each level at which a document lists it.
+
     A document with <sitemapindex> leads to others, down to indexes at `depth`; those below lead nowhere.  Each document is read once,
     whoever lists it, so repeats and cycles end.  An address without a document leads nowhere.  A level is one join, stored; there are at
     most depth + 2.
@@ -35,4 +37,4 @@ def crawled(documents: DataFrame, roots: DataFrame, pattern: str, depth: int = D
             frontier = materialized(following, f"frontier{level + 1}")
             if frontier.isEmpty():
                 break
-    return pages.groupBy("url").agg(F.min("level").alias("level"))
+    return pages.distinct() if every else pages.groupBy("url").agg(F.min("level").alias("level"))

@@ -184,3 +184,10 @@ def test_residual_rule_keeps_one_row_for_each_of_equal_codes(spark):
     known = spark.createDataFrame([("100000", 14), ("100000", 14)], "code string, rule int")
     got = rules.residual(codes, known, "code", 16).select("part", "rule", "percent", "state").collect()
     assert sorted(map(tuple, got), key=str) == [(1, 14, None, None), (2, 14, None, None), (3, None, 16, "conditional")]
+
+
+def test_an_address_listed_at_two_levels_has_both_of_them(spark, tmp_path):
+    pages = [(0, "http://a.example/en/1?x=1&y=2"), (14, "http://a.example/en/1?x=1&y=2"), (15, "http://a.example/en/9"), (1, "http://a.example/de/1")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.QUERIES["nested_sitemaps"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("http://a.example/en/1?x=1&y=2", 2), ("http://a.example/en/1?x=1&y=2", 3)]
