@@ -47,16 +47,20 @@ def events(changes: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     changes: key, step, article, line, action, the fields as text, and `named`, the fields that a list sets.  Actions: `says` (what the
     instrument takes to be there), `set` and `add` (what shall be there), `list` (new values of some fields of a code that is there).
     Of one article, `says` without `set` or `add` deletes; lists come after all articles of their instrument.  Repeated rows count once.
+    Of rows of one line the one with the least `place` goes first, if there is such a column, then that with the smaller values.
     """
     values = F.array(*[F.col(f).cast("string") for f in fields])
-    rows = changes.select(key, "step", "article", "line", "action", values.alias("values"), "named").distinct()
+    place = F.col("place") if "place" in changes.columns else F.lit(0)
+    rows = changes.select(key, "step", "article", "line", "action", values.alias("values"), "named", place.alias("place"))
+    rows = rows.groupBy(key, "step", "article", "line", "action", "values", "named").agg(F.min("place").alias("place"))
+    first, last = F.struct("line", "place", "values"), F.struct(-F.col("line"), "place", "values")
     articles = rows.filter("action <> 'list'").groupBy(key, "step", "article").agg(
-        F.bool_or(F.col("action") == "says").alias("said"), F.min_by("values", F.when(F.col("action") == "says", F.col("line"))).alias("claimed"),
-        F.max_by(F.struct("action", "values"), F.when(F.col("action") != "says", F.col("line"))).alias("put"),
+        F.bool_or(F.col("action") == "says").alias("said"), F.min_by("values", F.when(F.col("action") == "says", first)).alias("claimed"),
+        F.min_by(F.struct("action", "values"), F.when(F.col("action") != "says", last)).alias("put"),
     )
     none = F.array().cast("array<string>")
-    nomenclature = articles.select(key, F.struct("step", F.lit(0).alias("stage"), "article", F.lit(0).alias("line"), F.coalesce("put.action", F.lit("delete")).alias("act"), "said", "claimed", F.col("put.values").alias("values"), none.alias("named")).alias("e"))
-    lists = rows.filter("action = 'list'").select(key, F.struct("step", F.lit(1).alias("stage"), "article", "line", F.lit("list").alias("act"), F.lit(False).alias("said"), F.lit(None).cast("array<string>").alias("claimed"), "values", "named").alias("e"))
+    nomenclature = articles.select(key, F.struct("step", F.lit(0).alias("stage"), "article", F.lit(0).alias("line"), F.lit(None).alias("place"), F.coalesce("put.action", F.lit("delete")).alias("act"), "said", "claimed", F.col("put.values").alias("values"), none.alias("named")).alias("e"))
+    lists = rows.filter("action = 'list'").select(key, F.struct("step", F.lit(1).alias("stage"), "article", "line", "place", F.lit("list").alias("act"), F.lit(False).alias("said"), F.lit(None).cast("array<string>").alias("claimed"), "values", "named").alias("e"))
     return nomenclature.unionByName(lists).groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("events"))
 
 

@@ -55,14 +55,17 @@ _WITH, _LAST, _LOG, _CLASHES = _steps_sql()
 
 
 def _reformed(spark, sf) -> Reformed:
-    """Order lines as changes: returned ones say what is there, accepted ones add, the rest set all fields or, if small, the size alone."""
+    """Order lines as changes: returned ones say what is there, accepted ones add, the rest set all fields or, if small, the size alone.
+
+    An order can name a part twice on one line number; then the row that stands first in the table goes first.
+    """
     p = read(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_brand")
-    l = read(spark, sf, "lineitem").filter("l_linenumber <= 3").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    l = read(spark, sf, "lineitem").withColumn("place", F.struct("_metadata.file_path", "_metadata.row_index")).filter("l_linenumber <= 3").join(p, F.col("l_partkey") == F.col("p_partkey"))
     action = F.when(F.col("l_returnflag") == "R", "says").when(F.col("l_returnflag") == "A", "add").when((F.col("l_linestatus") == "O") & (F.col("l_quantity") <= 10), "list").otherwise("set")
     changes = l.select(
         (F.col("l_partkey") + F.when(F.col("l_suppkey") % 5 == 0, 1_000_000).otherwise(0)).alias("code"), F.col("l_linenumber").alias("step"), (1 + F.col("l_suppkey") % 2).cast("int").alias("article"), F.col("l_orderkey").alias("line"), action.alias("action"),
         F.when(F.col("l_quantity") % 2 == 0, F.col("p_name")).otherwise(F.regexp_replace("p_name", " ", "  ")).alias("name"), F.when(F.col("l_discount") < 0.05, F.col("p_size")).otherwise(F.col("l_quantity").cast("int")).alias("size"),
-        F.when(F.col("l_tax") < 0.04, F.col("p_brand")).otherwise(F.lit("new")).alias("brand"), F.array(F.lit("size")).alias("named"),
+        F.when(F.col("l_tax") < 0.04, F.col("p_brand")).otherwise(F.lit("new")).alias("brand"), F.array(F.lit("size")).alias("named"), "place",
     )
     base = p.select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))
     return reformed(base, changes, "code", FIELDS, checked=["size"], loose=["name"])

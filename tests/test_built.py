@@ -191,3 +191,14 @@ def test_an_address_listed_at_two_levels_has_both_of_them(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = catalogue.QUERIES["nested_sitemaps"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("http://a.example/en/1?x=1&y=2", 2), ("http://a.example/en/1?x=1&y=2", 3)]
+
+
+def test_of_reforms_on_one_line_the_first_in_place_goes_first(spark):
+    base = spark.createDataFrame([("a", "5"), ("b", "5"), ("c", "5")], "code string, size string")
+    changes = [(c, 1, 1, 7, action, size, ["size"], place) for c, action in (("a", "set"), ("b", "says"), ("c", "list")) for size, place in (("42", 3), ("11", 9), ("42", 8), ("77", 6))]
+    frame = spark.createDataFrame(changes, "code string, step int, article int, line long, action string, size string, named array<string>, place long")
+    for n in (1, 3, 8):
+        out = reformed(base, frame.repartition(n, "size", "place"), "code", ["size"], ["size"])
+        assert {(r.code, r.size) for r in out.state.collect()} == {("a", "42"), ("c", "11")}
+        assert [(r.code, r.detail) for r in out.conflicts.collect()] == [("b", "size: 42 / 5")]
+        assert [(r.before, r.after) for r in out.log.filter("code = 'c'").orderBy("seq").collect()] == [("5", "42"), ("42", "77"), ("77", "11")]
