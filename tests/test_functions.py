@@ -168,3 +168,8 @@ def test_csv_guard_calendar_folding_and_manifest(spark):
     path = shared_folder(spark, "csv")
     writers.write_csv(df.filter("x = 'ok'"), path)
     assert readers.typed_csv(spark, path, "x string").collect()[0].x == "ok"
+
+
+def test_duties_are_dated_for_kinds_of_taxpayers(spark):
+    plan = domain.duties_due(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "c_custkey" not in plan.split("Window")[1].split("]")[0]
