@@ -8,12 +8,15 @@ if one's word is among the other's beginnings or their stems are equal, so agree
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quipu.functions import text as T
+from quipu.sources.shared import materialized
 
 #: Words of the packing, not of the product.
 FILLERS = ("frasco", "paquete", "paq", "pote", "lata", "bolsa", "botella", "envase", "unidad", "und", "tipo", "presentacion")
@@ -42,12 +45,19 @@ def _listed(c: Column) -> Column:
     return F.coalesce(c, F.array().cast("array<string>"))
 
 
-def descriptions(offers: DataFrame) -> DataFrame:
-    """offers with `description`, a hash of all that is compared, and what that is."""
+def descriptions(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, offer_id, seller, description) of the offers, and (query_id, description and what that is) of the different ones.
+
+    `description` is a hash of all that is compared.  Names are read once for each different one of a search, not for each offer.
+    """
+    said = [c for c in ("query_id", "ean", "name", "brand") if c in offers.columns]
     name = F.col("name")
-    brand = F.nullif(T.normal(F.col("brand")), F.lit("")) if "brand" in offers.columns else F.lit(None).cast("string")
-    told = offers.select("query_id", "offer_id", "seller", F.struct("ean", brand.alias("brand"), T.pack_size(name).alias("pack"), F.array_sort(_listed(T.model_codes(name))).alias("models"), _listed(T.significant_words(name)).alias("words")).alias("d"))
-    return told.select("query_id", "offer_id", "seller", F.xxhash64("d").alias("description"), "d.*")
+    brand = F.nullif(T.normal(F.col("brand")), F.lit("")) if "brand" in said else F.lit(None).cast("string")
+    d = F.struct("ean", brand.alias("brand"), T.pack_size(name).alias("pack"), F.array_sort(_listed(T.model_codes(name))).alias("models"), _listed(T.significant_words(name)).alias("words"))
+    kinds = materialized(offers.select(said).distinct().select(*said, d.alias("d")).withColumn("description", F.xxhash64("d")), "descriptions")
+    of = kinds.select(*[F.col(c).alias(f"_{c}") for c in said], "description")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in said])
+    return offers.join(of, same).select("query_id", "offer_id", "seller", "description"), kinds.select("query_id", "description", "d.*")
 
 
 def links(told: DataFrame) -> DataFrame:
@@ -113,6 +123,5 @@ def offer_clusters(offers: DataFrame) -> DataFrame:
     The order (seller, offer_id) is part of the result, so the offers and links of one search meet in one task; they are bounded by the
     sellers asked.
     """
-    told = descriptions(offers)
-    arrived = told.select("query_id", "offer_id", "seller", "description").groupBy("query_id")
-    return arrived.cogroup(links(told).withColumnRenamed("query_id", "search").groupBy("search")).applyInPandas(_cliques, "offer_id long, cluster long")
+    told, kinds = descriptions(offers)
+    return told.groupBy("query_id").cogroup(links(kinds).withColumnRenamed("query_id", "search").groupBy("search")).applyInPandas(_cliques, "offer_id long, cluster long")

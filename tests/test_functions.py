@@ -170,6 +170,12 @@ def test_csv_guard_calendar_folding_and_manifest(spark):
     assert readers.typed_csv(spark, path, "x string").collect()[0].x == "ok"
 
 
+def test_offers_that_say_the_same_are_described_once(spark):
+    rows = [(1, i, i, None, "Arroz blanco 1kg" if i % 2 else "Harina pan 1kg", None) for i in range(50)]
+    told, kinds = offers.descriptions(spark.createDataFrame(rows, "query_id long, offer_id long, seller long, ean string, name string, brand string"))
+    assert told.count() == 50 and kinds.count() == 2
+
+
 def test_duties_are_dated_for_kinds_of_taxpayers(spark):
     plan = domain.duties_due(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "c_custkey" not in plan.split("Window")[1].split("]")[0]
