@@ -4,8 +4,9 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
-from quipu.functions.stems import stem
+from quipu.functions.stems import stem, stems
 from quipu.operators import detection, merge, rules, search, state
 from quipu.sources import readers
 
@@ -133,3 +134,11 @@ def test_items_that_say_the_same_share_one_vector_and_all_of_them_are_ranked(spa
         got = search.best_items(asked, ["query"], items, "code", ["a", "b", "c"], limit)
         assert sorted(map(tuple, got.select(per_item.columns).collect())) == sorted(map(tuple, want))
     assert "BroadcastHashJoin" not in per_item._jdf.queryExecution().executedPlan().toString()  # postings of small files can be many
+
+
+def test_stems_of_odd_rows_keep_their_places(spark):
+    rows = [(1, ["cepillos", "dientes", "cepillos"]), (2, []), (3, None), (4, ["chicas", None])]
+    got = spark.createDataFrame(rows, "id int, w array<string>").coalesce(1).select("id", stems(F.col("w")).alias("s"))
+    assert {r.id: r.s for r in got.collect()} == {1: ["cepill", "dient", "cepill"], 2: [], 3: None, 4: ["chic", None]}
+    assert got.filter("false").count() == 0
+    assert stems.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF  # a batch stays in Arrow's buffers
