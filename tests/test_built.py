@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quipu.functions import names
-from quipu.operators import consolidate, lookup, rates, rules, searchbox, sitemaps
+from quipu.operators import consolidate, lookup, rates, rules, searchbox, sitemaps, tree
 from quipu.operators.reforms import reformed
 from quipu.operators.vat import Catalogue, classified
 from quipu.plans import catalogue, paths, vat
@@ -202,3 +202,12 @@ def test_of_reforms_on_one_line_the_first_in_place_goes_first(spark):
         assert {(r.code, r.size) for r in out.state.collect()} == {("a", "42"), ("c", "11")}
         assert [(r.code, r.detail) for r in out.conflicts.collect()] == [("b", "size: 42 / 5")]
         assert [(r.before, r.after) for r in out.log.filter("code = 'c'").orderBy("seq").collect()] == [("5", "42"), ("42", "77"), ("77", "11")]
+
+
+def test_partitions_of_a_code_tree_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(tree, "ROWS", 7)
+    nodes = spark.createDataFrame([(i, f"{i // 10:04}{i % 10}0", 1 if i % 10 == 0 else 2) for i in range(40)], "seq int, code string, level int")
+    out = tree.code_tree(nodes, stem=4, levels=2)
+    assert "hashpartitioning(heading" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 6), REPARTITION_BY_NUM" in plan
+    got = {r.seq: (r.parent, r.by_indent, r.terminal, r.agrees) for r in out.collect()}
+    assert got[0] == (None, None, False, True) and got[13] == ("000100", "000100", True, True) and len(got) == 40
