@@ -93,6 +93,17 @@ def test_mailbox_cursors_survive_a_failure_and_a_reset(spark):
     assert not mailbox.mailbox_pass(box((1, 8, 3)), folder, 2)
 
 
+def test_all_passes_of_a_mailbox_are_one_job(spark):
+    """Forty passes write one folder of messages and one cursor a mailbox; numbers of passes go on from there."""
+    folder = shared_folder(spark, "box")
+    box = lambda n: spark.range(1, n + 1).select(F.lit(1).cast("long").alias("mailbox"), F.lit(7).alias("validity"), F.col("id").alias("uid"))
+    mailbox.read_all(box(40), folder, 1)
+    assert spark.read.schema(mailbox.CURSOR).parquet(f"{folder}/cursors").count() == 1
+    assert spark.read.parquet(f"{folder}/taken").select("pass").distinct().count() == 1
+    mailbox.read_all(box(43), folder, 2)
+    assert sorted((r.uid, r["pass"]) for r in mailbox.taken(spark, folder).collect()) == [*((u, u) for u in range(1, 41)), (41, 41), (42, 41), (43, 42)]
+
+
 def test_rates_by_the_day(spark):
     day = dt.date
     components = spark.createDataFrame([("g", 16, day(2026, 1, 1), day(2026, 6, 30), "one"), ("g", 12, day(2026, 7, 1), None, "two"), ("l", 15, day(2026, 3, 1), day(2026, 3, 31), "three")], "component string, percent int, since date, until date, instrument string").withColumn("percent", F.col("percent").cast("decimal(5,2)"))
