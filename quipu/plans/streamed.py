@@ -19,7 +19,7 @@ START_HOUR = 473_352
 def sliced(events, path: str, place, slices: range) -> None:
     """The events as files that arrive one after the other, by slice."""
     for n in slices:
-        events.filter(place == n).coalesce(1).write.mode("append").parquet(path)
+        events.filter(place == n).repartition(1).write.mode("append").parquet(path)
 
 
 _REQUESTS_SQL = "SELECT event_id AS request_id, user_id AS code, ts AS t, event_type = 'error' AS failed, CASE WHEN event_type NOT IN ('error', 'signup') THEN event_type || '-' || CAST(event_id AS VARCHAR) END AS value FROM events"

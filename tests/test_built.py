@@ -64,6 +64,19 @@ def test_kept_lookups_in_mixed_order(spark):
     assert got == {1: ("x", False, False), 2: ("x", True, False), 3: ("x", False, True), 4: (None, False, False), 5: (None, True, False), 6: ("z", False, False), 7: (None, False, False), 8: ("q", False, False)}
 
 
+def test_codes_of_one_group_keep_their_own_answers(spark):
+    """Eleven codes and a missing one in two groups of state: each is found once, then answered from what is kept of it alone."""
+    at = lambda m: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=m)
+    codes = [*range(10), 2**60 + 1, None]
+    rows = [(2 * n + m, c, at(m), False, f"{c}-{m}") for n, c in enumerate(codes) for m in (0, 1)]
+    path = shared_folder(spark, "requests")
+    schema = "request_id long, code long, at timestamp_ntz, failed boolean, value string"
+    for part in (rows, [(99, 3, at(120), False, None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    got = streams.drained(cached.cached_lookups(streams.file_stream(spark, path, schema, 1), 600, 120, "30 minutes", groups=2), "grouped").collect()
+    assert sorted((r.request_id, r.code, r.value, r.from_cache) for r in got) == [(i, c, f"{c}-0", m == 1) for n, c in enumerate(codes) for m in (0, 1) for i in [2 * n + m]]
+
+
 def test_a_batch_reads_the_version_that_is_there(spark):
     source, table, out, state = (shared_folder(spark, n) for n in ("source", "table", "out", "state"))
     put = lambda *ids: spark.createDataFrame([(i, i % 2) for i in ids], "id long, k long").coalesce(1).write.mode("append").parquet(source)
