@@ -2,10 +2,13 @@
 
 The tagger is trained in numpy on labelled spans: at most CHUNKS stretches of the documents (the first by a hash of id and place; the
 bound is a parameter) with their base spans, and each once more with a span in another notation: one of its own rewritten, or a
-generated one put in, often behind the name of its kind.  What looks like a datum that nothing labels is left out of training.  It reads overlapping windows around digits, @ and written-out signs (`dot`,
-`at`, three digits in words); without one of them nothing is tagged.  Each character takes its tag from the window in which it is
-nearest to the middle, and spans are read off the joined tags of a whole region.  An added span must, with its written-out signs
-replaced, pass the check of its kind (digit count, Luhn, parts of at most 255) and touch no base span.
+generated one put in, often behind the name of its kind.  What looks like a datum that nothing labels is left out of training.
+
+The tagger reads a text in overlapping windows at every multiple of STRIDE; each character takes its tag from the window in which it is
+nearest to the middle, and spans are read off the joined tags of the whole text.  An added span must, with its written-out signs
+replaced, pass the check of its kind (digit count, Luhn, parts of at most 255), touch no base span and lie within REACH words of a tagged
+run.  Windows that cannot change this are not decoded: `anchors` has a place of every span that could pass the check, all words within
+REACH of it are decoded, and runs that leave them are followed to their ends.  The spans are those of a decoding of every window.
 
 Null texts count as empty ones.  Each row is scanned, repeated ones too, and equal texts have equal spans.  All scans are linear in the
 text, which is read whole.  Of overlapping base spans of different kinds all stay.  Empty tables give no rows.  The column named like
@@ -14,6 +17,7 @@ the result is replaced, others are kept.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable
@@ -27,13 +31,23 @@ from quipu.llm import tagger
 from quipu.llm.common import batched, held_out, read, runs
 
 KINDS = ("email", "ip", "card", "phone")
-CHUNKS, CHUNK, WINDOW, STRIDE, AROUND, STEPS = 3000, 160, 64, 32, 32, 700
+CHUNKS, CHUNK, WINDOW, AROUND, STEPS = 3000, 160, 64, 32, 700
+READ, STRIDE, REACH = 64, 32, 2  # of reading: characters, characters, words
 DIGITS = "zero one two three four five six seven eight nine".split()
-_DIGIT = "(?:" + "|".join(f"[{w[0]}{w[0].upper()}]{w[1:]}" for w in DIGITS) + ")"
-TRIGGER = re.compile(rf"[0-9@]|\b(?:[Dd]ot|DOT)\b|[\[({{<] ?(?:at|AT) ?[\])}}>]|\b(?:at|AT) [A-Za-z0-9-]+\.[A-Za-z]|\b{_DIGIT}(?:[ ,-]+{_DIGIT}){{2}}\b")
+#: A sign for `at` behind which a label and a dot come: an email that `added_valid` takes has one, and no other `at` up to that dot.
+_BESIDE = r"[\s\[\](){}<>]*+"
+AT_DOT = rf"(?:@|\b[Aa][Tt]\b){_BESIDE}(?:(?!\b(?:[Aa][Tt]|[Dd][Oo][Tt])\b)[A-Za-z0-9-])++{_BESIDE}(?:\.|\b[Dd][Oo][Tt]\b)"
+#: Four digits or more, in signs or words, without a letter between them but those of `dot`: any other kind has them.  Letters beyond
+#: ASCII are no hindrance where the class does not list them: more is decoded then, not less.
+_UNIT = rf"(?:[0-9]|\b(?i:{'|'.join(DIGITS)})\b)"
+_GAP = r"(?:(?i:dot)|[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0410-\u044f\u3131-\u318e\u4e00-\u9fa5])*+"
+FOUR_DIGITS = rf"{_UNIT}(?:{_GAP}{_UNIT}){{3,}}+"
+ANCHORS = (re.compile(AT_DOT), re.compile(FOUR_DIGITS))
 WRITTEN = [(re.compile(r"\s*[\[({<]?\s*\b[Aa][Tt]\b\s*[\])}>]?\s*"), "@"), (re.compile(r"\s*[\[({<]?\s*(?:\b[Dd][Oo][Tt]\b|\.)\s*[\])}>]?\s*"), "."), (re.compile(r"\s*[\[(]?@[\])]?\s*"), "@")]
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 SIGNS = re.compile("[0-9@]")
+_DIGIT = "(?:" + "|".join(f"[{w[0]}{w[0].upper()}]{w[1:]}" for w in DIGITS) + ")"
+TRIGGER = re.compile(rf"[0-9@]|\b(?:[Dd]ot|DOT)\b|[\[({{<] ?(?:at|AT) ?[\])}}>]|\b(?:at|AT) [A-Za-z0-9-]+\.[A-Za-z]|\b{_DIGIT}(?:[ ,-]+{_DIGIT}){{2}}\b")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
@@ -54,6 +68,7 @@ def _digits(text: str) -> str:
 def plain(kind: str, text: str) -> str:
     """A written-out datum in signs: dots, the at sign, digits."""
     if kind == "email":
+        text = re.sub(r"\s+", " ", text)
         for pattern, sign in WRITTEN:
             text = pattern.sub(sign, text)
         return text
@@ -142,7 +157,7 @@ def tags_of(n: int, spans: list[Span]) -> np.ndarray:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within AROUND characters of a trigger."""
+    """Stretches within AROUND characters of what training learns from: digits, @ and written-out signs."""
     out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
@@ -260,73 +275,111 @@ def _chunks(values: pa.Array) -> pa.Array:
     return pa.array([[t[at : min(b, at + CHUNK)] for a, b in regions(t) for at in range(a, b, CHUNK)] for t in values.to_pylist()], pa.list_(pa.string()))
 
 
-def added_spans(texts: list[str], base: list[list[Span]], model: tagger.Params) -> list[list[Span]]:
-    """Decoded spans that are valid and touch no base span, for each text."""
+def anchors(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """Stretches of which any valid span that touches no base span shares a character."""
+    found = [(m.start(), m.start() + 1) for m in ANCHORS[0].finditer(text)] + [(m.start(), m.end()) for m in ANCHORS[1].finditer(text)]
+    if not found or not base:
+        return found
+    first, end = np.array(sorted((a, b) for _, a, b in base)).T
+    upto = np.append(0, np.maximum.accumulate(end))
+    return [(a, b) for a, b in found if b > upto[np.searchsorted(first, a, "right")]]
+
+
+def words_of(text: str) -> np.ndarray:
+    """First and end of each run without white space."""
+    return np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64).reshape(-1, 2)
+
+
+def first_windows(text: str, base: list[Span], words: Callable[[], np.ndarray]) -> list[int]:
+    """The windows of all words within REACH of an anchor."""
+    found, last, out = anchors(text, base), _windows(len(text)) - 1, set()
+    for a, b in found:
+        at = words()
+        low = max(0, int(np.searchsorted(at[:, 1], a, "right")) - REACH)
+        high = min(len(at), int(np.searchsorted(at[:, 0], b, "left")) + REACH) - 1
+        out.update(range(_window_of(int(at[low, 0]), last), _window_of(int(at[high, 1]) - 1, last) + 1))
+    return sorted(out)
+
+
+def _windows(n: int) -> int:
+    return len(range(0, max(1, n - READ + STRIDE), STRIDE))
+
+
+def _window_of(place: int, last: int) -> int:
+    """The window in which a place is nearest to the middle."""
+    return min(max(0, (place - (READ - STRIDE) // 2) // STRIDE), last)
+
+
+def added_spans(texts: list[str], base: list[list[Span]], model: tagger.Params, windows: Callable[[str, list[Span], Callable[[], np.ndarray]], list[int]] = first_windows) -> list[list[Span]]:
+    """Spans of the tagged texts that are valid and touch no base span, for each text.  `windows` names those to begin with."""
     out: list[list[Span]] = [[] for _ in texts]
-    jobs: list[tuple[int, int, int, np.ndarray]] = []
-    held = 0
+    words = [functools.cache(functools.partial(words_of, t)) for t in texts]
+    group: list[tuple[int, int]] = []
 
     def run() -> None:
-        windows = [np.pad(codes[s : s + WINDOW], (0, max(0, WINDOW - len(codes[s : s + WINDOW])))) for _, _, _, codes in jobs for s in _starts(len(codes))]
-        tags, at = tagger.decode(model, np.array(windows).reshape(-1, WINDOW), allowed()), 0
-        for i, a, _, codes in jobs:
-            joined, nearness = np.zeros(len(codes), np.int64), np.full(len(codes), -1)
-            for s in _starts(len(codes)):
-                part = slice(s, min(s + WINDOW, len(codes)))
-                here = np.minimum(np.arange(part.stop - s), WINDOW - 1 - np.arange(part.stop - s))
-                here = np.where((np.arange(part.stop - s) < WINDOW // 2) & (s == 0), WINDOW, here)  # no window has more to the left
-                better = here > nearness[part]
-                joined[part] = np.where(better, tags[at, : part.stop - s], joined[part])
-                nearness[part] = np.maximum(nearness[part], here)
-                at += 1
-            out[i] += _read_off(texts[i], a, joined, base[i])
-        jobs.clear()
+        tags = {i: np.zeros(len(texts[i]), np.int8) for i, _ in group}
+        asked, done = list(group), set(group)
+        while asked:
+            cuts = [encode(texts[i][w * STRIDE : w * STRIDE + READ]) for i, w in asked]
+            decoded = tagger.decode(model, np.array([np.pad(c, (0, READ - len(c))) for c in cuts]), allowed())
+            for (i, w), row in zip(asked, decoded, strict=True):
+                a, b = _own(w, len(texts[i]))
+                tags[i][a:b] = row[a - w * STRIDE : b - w * STRIDE]
+            beside = {(i, v) for i, w in asked for v in _followed(w, tags[i])} - done
+            asked = sorted(beside)
+            done |= beside
+        for i, t in tags.items():  # runs are whole now
+            out[i] = _read_off(texts[i], t, base[i], words[i])
+        group.clear()
 
     for i, text in enumerate(texts):
-        for a, b in regions(text):
-            jobs.append((i, a, b, encode(text[a:b])))
-            held += b - a
-            if held > 16_000:
-                run()
-                held = 0
-    if jobs:
-        run()
+        group += [(i, w) for w in windows(text, base[i], words[i])]
+        if len(group) > 500:
+            run()
+    run()
     return out
 
 
-def _starts(n: int) -> range:
-    return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
-
-
-def _read_off(text: str, offset: int, tags: np.ndarray, base: list[Span]) -> list[Span]:
-    out, i = [], 0
-    while i < len(tags):
-        if tags[i]:
-            end = i + 1
-            while end < len(tags) and tags[end] and tags[end] % 2 == 0:
-                end += 1
-            kind = KINDS[(tags[i] - 1) // 2]
-            found = fitted(kind, text, offset + i, offset + end)
-            if found and not any(found[0] < y and x < found[1] for _, x, y in [*base, *out]):
-                out.append((kind, *found))
-            i = end
-        else:
-            i += 1
+def _own(window: int, n: int) -> tuple[int, int]:
+    """The characters that take their tags from a window."""
+    half = (READ - STRIDE) // 2
+    return (window * STRIDE + half if window else 0), (n if window == _windows(n) - 1 else window * STRIDE + STRIDE + half)
+
+
+def _followed(window: int, tags: np.ndarray) -> list[int]:
+    """The windows into which runs of tags of this one may go on."""
+    a, b = _own(window, len(tags))
+    back = a > 0 and b > a and tags[a] and tags[a] % 2 == 0
+    return [window - 1] * bool(back) + [window + 1] * bool(b < len(tags) and tags[b - 1])
+
+
+def _read_off(text: str, tags: np.ndarray, base: list[Span], words: Callable[[], np.ndarray]) -> list[Span]:
+    out: list[Span] = []
+    inside = (tags > 0) & (tags % 2 == 0)
+    starts = np.flatnonzero((tags > 0) & ~(inside & (np.append(0, tags[:-1]) > 0)))
+    tried: dict[tuple[str, int, int], tuple[int, int] | None] = {}
+    stops = np.append(np.flatnonzero(~inside), len(tags))
+    for i in starts:
+        end, kind = int(stops[np.searchsorted(stops, i, "right")]), KINDS[(int(tags[i]) - 1) // 2]
+        at = words()
+        first, last = int(np.searchsorted(at[:, 1], i, "right")), int(np.searchsorted(at[:, 0], end, "left")) - 1
+        if first > last:
+            continue
+        if (kind, first, last) not in tried:
+            tried[kind, first, last] = fitted(kind, text, at, first, last)
+        found = tried[kind, first, last]
+        if found and not any(found[0] < y and x < found[1] for _, x, y in [*base, *out]):
+            out.append((kind, *found))
     return out
 
 
-def fitted(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
-    """The valid span of whole runs without white space that ends nearest to a tagged one: at most two runs fewer or more at each side."""
-    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text[max(0, a - AROUND) : b + AROUND])]
-    words = [(x + max(0, a - AROUND), y + max(0, a - AROUND)) for x, y in words]
-    inside = [i for i, (x, y) in enumerate(words) if x < b and y > a]
-    if not inside:
-        return None
-    ends = sorted((abs(p) + abs(q), p, q) for p in range(-2, 3) for q in range(-2, 3))
+def fitted(kind: str, text: str, words: np.ndarray, first: int, last: int) -> tuple[int, int] | None:
+    """The valid span of whole words that ends nearest to those of a tagged run: at most REACH words fewer or more at each side."""
+    ends = sorted((abs(p) + abs(q), p, q) for p in range(-REACH, REACH + 1) for q in range(-REACH, REACH + 1))
     for _, p, q in ends:
-        first, last = inside[0] + p, inside[-1] + q
-        if 0 <= first <= last < len(words):
-            x, y = words[first][0], words[last][1]
+        low, high = first + p, last + q
+        if 0 <= low <= high < len(words):
+            x, y = int(words[low, 0]), int(words[high, 1])
             while y > x and text[y - 1] in ".,;:!?":
                 y -= 1
             if added_valid(kind, text[x:y]):
