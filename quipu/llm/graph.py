@@ -14,7 +14,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links of ids of any ordered type, in any direction -> (node, root): the smallest id that each linked node can reach."""
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", tidy=True)
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(lower.select("a", F.col("m").alias("b")))
-        edges = stored(small.distinct(), "edges")
+        edges = stored(small.distinct(), "edges", tidy=True)
         before, state = state, _state(edges)
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

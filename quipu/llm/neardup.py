@@ -20,6 +20,7 @@ the smaller digest.  Empty tables give no rows.  Columns but doc_id and text are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import batched, document_key, read, runs, small, stored
+from quipu.llm.common import batched, document_key, read, runs, small
+from quipu.llm.common import stored as stored_table
 from quipu.llm.graph import components
 
 BANDS, ROWS, SKETCH = 32, 4, 1024
 BINS = BANDS * ROWS
 BROADCAST_IDS, HOT = 500_000, 2000
+stored = functools.partial(stored_table, tidy=True)  # no shuffle is read after its writing
 LEAST_GAIN = 0.9  # stars go on while a round leaves at most this share of the open components
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
