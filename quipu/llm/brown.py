@@ -14,21 +14,22 @@ gains the present class stays.  Empty tables give no rows.  Columns but doc_id a
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quipu.llm.common import held_out, read, stored
+from quipu.llm.common import held_out, read, runs, stored, utf8
 
 END = b"\n"
 WORDS, ENDINGS, CLASSES, FREQUENT = 1000, 400, 48, 200_000
-ADD, HELD_TYPES, HELD_CELLS, ROUNDS = 0.1, 400_000, 4_000_000, 8
+ADD, HELD_TYPES, ROUNDS = 0.1, 800_000, 8
+PART = 4 << 20  # bytes of text that are taken apart together
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -129,8 +130,24 @@ class Units:
     def of(self, token: bytes) -> int:
         return 0 if token == END else self.words[token] if token in self.words else self.endings.get(token[-2:], 1)
 
-    def of_all(self, tokens: np.ndarray) -> np.ndarray:
-        return np.fromiter(map(self.of, tokens), np.int64, len(tokens))
+    @cached_property
+    def known(self) -> tuple[pa.Array, np.ndarray]:
+        return pa.array([END, *self.words], pa.binary()), np.array([0, *self.words.values()])
+
+    @cached_property
+    def by_ending(self) -> np.ndarray:
+        """Unit by the last two bytes (from 256 on), or by the only one."""
+        out = np.ones(256 + (1 << 16), np.int64)
+        for e, unit in self.endings.items():
+            out[256 * (len(e) - 1) + int.from_bytes(e, "big")] = unit
+        return out
+
+    def of_all(self, tokens: pa.Array) -> np.ndarray:
+        words, units = self.known
+        at = pc.index_in(tokens, value_set=words).fill_null(-1).to_numpy()
+        data, ends = utf8(tokens)
+        last, before = data[ends - 1].astype(np.int64), data[np.maximum(ends - 2, 0)].astype(np.int64)
+        return np.where(at >= 0, units[at], self.by_ending[np.where(np.diff(ends, prepend=0) > 1, 256 + 256 * before + last, last)])
 
 
 @dataclass
@@ -143,10 +160,16 @@ class Lookup:
     units: Units
     unit_class: np.ndarray
 
-    def of_all(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def names(self) -> pa.Array:
+        return pa.array(list(self.frequent), pa.binary())
+
+    def place(self, tokens: pa.Array) -> np.ndarray:
+        return pc.index_in(tokens, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+
+    def of_all(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Place (-1: none) and class of each token; of a token without a place the seed class."""
-        place = np.fromiter((self.frequent.get(t, -1) for t in tokens), np.int64, len(tokens))
-        seed = self.unit_class[self.units.of_all(tokens)]
+        place, seed = self.place(tokens), self.unit_class[self.units.of_all(tokens)]
         return place, np.where(place >= 0, self.cls[place], seed) if len(self.cls) else seed
 
 
@@ -159,45 +182,57 @@ class Model:
     types_in: np.ndarray  # of each class
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of rows: the rows, tokens' codes, row of each token, the different tokens."""
+def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """Runs of rows: the rows, tokens' codes, row of each token, the different tokens.  The end is the last of these; "" may be among
+    them, but no code is its.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            lists = [tokens(t) for t in part.column(column).to_pylist()]
-            flat = np.array([w for x in lists for w in x] + [None], dtype=object)[:-1]
-            codes, found = pd.factorize(flat)
-            yield part, codes, np.repeat(np.arange(len(lists)), [len(x) for x in lists]), found
+        for at, rows in runs(batch.column(column), PART, batch.num_rows):
+            part = batch.slice(at, rows)
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column(column), "")))
+            flat = lists.flatten().cast(pa.binary()).dictionary_encode()
+            codes, found = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+            row = np.repeat(np.arange(rows), pc.list_value_length(lists).to_numpy())
+            if (empty := pc.index(found, pa.scalar(b"", pa.binary())).as_py()) >= 0:
+                row, codes = row[codes != empty], codes[codes != empty]
+            ends = np.searchsorted(row, np.arange(rows), "right")
+            yield part, np.insert(codes, ends, len(found)), np.insert(row, ends, np.arange(rows)), pa.concat_arrays([found, pa.array([END], pa.binary())])
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over all rows of docs, summed in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Table] = []
+        size = 0
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "n"])
-            held.clear()
-            return out
+        def merged() -> pa.Table:
+            out = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")])
+            return pa.table([out["token"], out["n_sum"]], ["token", "n"])
 
         for _, codes, _, found in _batches(batches, 0):
-            for token, n in zip(found, np.bincount(codes, minlength=len(found)).tolist(), strict=True):
-                held[token] += n
-            if len(held) > HELD_TYPES:
-                yield flush()
-        yield flush()
+            n = np.bincount(codes, minlength=len(found))
+            at = pa.array(np.flatnonzero(n))
+            held.append(pa.table([found.take(at), pa.array(n).take(at)], ["token", "n"]))
+            size += len(at)
+            if size > 2 * HELD_TYPES:
+                held[:], size = [table := merged()], table.num_rows
+                if size > HELD_TYPES:
+                    yield from table.to_batches()
+                    held, size = [], 0
+        if held:
+            yield from merged().to_batches()
 
     return docs.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _summed(df: DataFrame, size: int, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
-    """Sum of (cell, weight) over all tasks as one array of `size` cells."""
+def _summed(df: DataFrame, size: int, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """How often each of `size` cells comes over all tasks, as one array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size, np.int64)
-        for at, weight in cells(batches):
-            held += np.bincount(at, weight, minlength=size).astype(np.int64)
+        for at in cells(batches):
+            held += np.bincount(at, minlength=size)
         filled = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array(held[filled], pa.int64())], ["cell", "n"])
 
@@ -222,58 +257,51 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[int, dict[bytes, int]]
     return cut, dict(zip(found["token"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
+def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of values as bytes; bounds: where each begins, and the end of the last."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(((bounds - bounds[0]) * values.itemsize).astype(np.int32)), pa.py_buffer(values[bounds[0] : bounds[-1]].copy())])
+
+
 def contexts(docs: DataFrame, lookup: Lookup, classes: int) -> DataFrame:
-    """(place, token, cell, n): how often each word but the seed words has a neighbour of a seed class (cells as in best_classes), summed
-    within each task.  A frequent word is named by its place, any other by its token.
+    """(place, token, cells, n): how often each word but the seed words has a neighbour of a seed class (cells as in best_classes), summed
+    within each task for a frequent word, which is named by its place, and within runs of texts for any other.  The cells and counts of a
+    word are the bytes of 16 and 32 bit numbers, so that rows are words, not cells.
     """
     shared, width = docs.sparkSession.sparkContext.broadcast(lookup), 2 * classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = shared.value
         seeds = 2 + len(look.units.words)
-        keys: list[np.ndarray] = []
-        times: list[np.ndarray] = []
-        names = ["place", "token", "cell", "n"]
-
-        def sums() -> tuple[np.ndarray, np.ndarray]:
-            found, at = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
-            return found, np.bincount(at, np.concatenate([*times, np.zeros(0, np.int64)]), len(found)).astype(np.int64)
+        held = np.zeros(len(look.frequent) * width, np.int32)
 
-        def flush() -> pa.RecordBatch:
-            found, n = sums()
-            keys.clear()
-            times.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found // width), pa.nulls(len(found), pa.binary()), pa.array(found % width), pa.array(n)], names)
+        def rows(pairs: np.ndarray, n: np.ndarray, tokens: pa.Array | None) -> pa.RecordBatch:
+            """pairs: word * width + cell, in order; without tokens, words are places."""
+            word = pairs // width
+            bounds = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word))
+            word = word[bounds[:-1]]
+            names = [pa.array(word), pa.nulls(len(word), pa.binary())] if tokens is None else [pa.nulls(len(word), pa.int64()), tokens.take(pa.array(word))]
+            return pa.RecordBatch.from_arrays([*names, _blobs((pairs % width).astype(np.int16), bounds), _blobs(n.astype(np.int32), bounds)], ["place", "token", "cells", "n"])
 
-        size = 0
         for _, codes, _, found in _batches(batches, 0):
-            unit = look.units.of_all(found)
-            place = np.fromiter((look.frequent.get(t, -1) for t in found), np.int64, len(found))
+            unit, place = look.units.of_all(found), look.place(found)
             seed = look.unit_class[unit]
             moves = (unit >= seeds) | (unit == 1)
-            a, b = np.concatenate([np.flatnonzero(unit == 0)[:1], codes[:-1]]), codes
+            a, b = np.concatenate([[len(found) - 1], codes[:-1]]), codes
             alone = a == b
             first, second, beside = moves[a] & ~alone, moves[b] & ~alone, moves[a] & alone
             word = np.concatenate([a[first], b[second], a[beside]])
             cell = np.concatenate([seed[b[first]], classes + seed[a[second]], np.full(beside.sum(), 2 * classes)])
             at = place[word]
-            pairs, n = np.unique(at[at >= 0] * width + cell[at >= 0], return_counts=True)
-            keys.append(pairs)
-            times.append(n)
-            size += len(pairs)
+            np.add.at(held, at[at >= 0] * width + cell[at >= 0], 1)
             pairs, n = np.unique(word[at < 0] * width + cell[at < 0], return_counts=True)
             if len(pairs):
-                tokens = pa.array([*found], pa.binary()).take(pa.array(pairs // width))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), tokens, pa.array(pairs % width), pa.array(n)], names)
-            if size > HELD_CELLS:
-                merged, n = sums()
-                keys[:], times[:], size = [merged], [n], len(merged)
-            if size > HELD_CELLS // 2 and len(keys) == 1:
-                yield flush()
-                size = 0
-        yield flush()
+                yield rows(pairs, n, found)
+        for at in range(0, len(held), 20_000 * width):
+            pairs = np.flatnonzero(held[at : at + 20_000 * width]) + at
+            if len(pairs):
+                yield rows(pairs, held[pairs], None)
 
-    return docs.select("text").mapInArrow(run, "place long, token binary, cell long, n long")
+    return docs.select("text").mapInArrow(run, "place long, token binary, cells binary, n binary")
 
 
 def moved(cells: DataFrame, lookup: Lookup, table: np.ndarray) -> DataFrame:
@@ -281,23 +309,23 @@ def moved(cells: DataFrame, lookup: Lookup, table: np.ndarray) -> DataFrame:
 
     A word's counts meet by one sorted shuffle and are summed as they stream by; the last word of a batch waits for the next one.
     """
-    k, width = len(table), 2 * len(table) + 1
-    names = pa.array(list(lookup.frequent), pa.binary())
-    shared = cells.sparkSession.sparkContext.broadcast((names, lookup.units, lookup.unit_class, table))
+    width = 2 * len(table) + 1
+    shared = cells.sparkSession.sparkContext.broadcast((lookup, table))
     schema = pa.schema([("place", pa.int64()), ("token", pa.binary()), ("cls", pa.int64())])
 
     def settled(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
         """rows: whole words, in order; first: where each begins."""
-        names, units, unit_class, table = shared.value
-        word = np.repeat(np.arange(len(first)), np.diff(np.append(first, rows.num_rows)))
-        pairs, at = np.unique(word * width + rows["cell"].to_numpy(), return_inverse=True)
-        n = np.bincount(at, rows["n"].to_numpy(), len(pairs))
-        word, cell = pairs // width, pairs % width
-        heads = rows.select(["place", "token"]).take(pa.array(first))
-        tokens = [names[p].as_py() if t is None else t for p, t in zip(heads["place"].to_pylist(), heads["token"].to_pylist(), strict=True)]
-        own = unit_class[units.of_all(np.array([*tokens, None], dtype=object)[:-1])]
-        best = best_classes(table, own, word, cell, n)
-        return pa.RecordBatch.from_arrays([heads["place"].combine_chunks(), heads["token"].combine_chunks(), pa.array(best.astype(np.int64))], schema=schema)
+        look, table = shared.value
+        cell, ends = utf8(rows["cells"].combine_chunks())
+        n, _ = utf8(rows["n"].combine_chunks())
+        word = np.repeat(np.arange(len(first)), np.diff(ends[np.append(first[1:], rows.num_rows) - 1], prepend=0) // 2)
+        counts = np.bincount(word * width + cell.view(np.int16), n.view(np.int32), len(first) * width)
+        at = np.flatnonzero(counts)
+        heads = rows.select(["place", "token"]).take(pa.array(first)).combine_chunks()
+        place, token = (heads[c].combine_chunks() for c in ("place", "token"))
+        own = look.unit_class[look.units.of_all(pc.coalesce(token, look.names.take(place)))]
+        best = best_classes(table, own, at // width, at % width, counts[at])
+        return pa.RecordBatch.from_arrays([place, token, pa.array(best.astype(np.int64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []
@@ -324,11 +352,11 @@ def train(docs: DataFrame, words: int = WORDS, endings: int = ENDINGS, classes:
     units = Units({w: i + 2 for i, w in enumerate(top)}, {bytes(r.e): i + 2 + len(top) for i, r in enumerate(ends)})
     size = len(units)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for _, codes, _, found in _batches(batches, 0):
             seen = units.of_all(found)[codes]
             before = np.concatenate([[0], seen[:-1]])
-            yield before * size + seen, np.ones(len(seen))
+            yield before * size + seen
 
     bigrams = _summed(docs.select("text"), size * size, pairs).reshape(size, size).astype(float)
     unit_class = exchange(bigrams, classes)
@@ -336,7 +364,7 @@ def train(docs: DataFrame, words: int = WORDS, endings: int = ENDINGS, classes:
     table = np.zeros((k, k))
     np.add.at(table, (unit_class[:, None], unit_class[None, :]), bigrams)
     seen = np.fromiter(frequent.values(), np.int64, len(frequent))
-    seed = unit_class[units.of_all(np.array([*frequent, None], dtype=object)[:-1])]
+    seed = unit_class[units.of_all(pa.array(list(frequent), pa.binary()))]
     lookup = Lookup({w: i for i, w in enumerate(frequent)}, seen, seed, units, unit_class)
     best = stored(moved(contexts(docs, lookup, k), lookup, table), "classes")
     found = best.filter("place IS NOT NULL").select("place", "cls").toArrow()
@@ -346,7 +374,7 @@ def train(docs: DataFrame, words: int = WORDS, endings: int = ENDINGS, classes:
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = shared.value.unit_class[shared.value.units.of_all(np.array(b.column(0).to_pylist() + [None], dtype=object)[:-1])]
+            own = shared.value.unit_class[shared.value.units.of_all(b.column(0))]
             cls = b.column(2).to_numpy(zero_copy_only=False).astype(float)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(np.isnan(cls), own, cls).astype(np.int64))], ["token", "n", "cls"])
 
@@ -369,20 +397,20 @@ def encoded(docs: DataFrame, model: Model) -> DataFrame:
             place, cls = look.of_all(found)
             count = np.where(place >= 0, look.seen[place], 0) if len(look.seen) else np.zeros(len(found), np.int64)
             seen = count[codes]
-            word = np.bincount(row, np.where(seen > 0, np.log10(seen + ADD), 0.0), rows)
+            word = np.bincount(row, np.where(count > 0, np.log10(count + ADD), 0.0)[codes], rows)
             bounds = np.searchsorted(row, np.arange(rows + 1))
             rare = np.flatnonzero(seen == 0)
             pairs, which = np.unique(row[rare] * len(found) + codes[rare], return_inverse=True)
-            firsts = np.searchsorted(pairs, np.arange(rows + 1) * max(1, len(found)))
-            names = found[pairs % max(1, len(found))] if len(pairs) else []
+            firsts = np.searchsorted(pairs, np.arange(rows + 1) * len(found))
+            names = found.take(pa.array(pairs % len(found)))
             slots = np.full(len(codes), -1, np.int64)
             slots[rare] = which - firsts[row[rare]]
             at = np.flatnonzero(slots >= 0)
             starts = np.searchsorted(row[at], np.arange(rows + 1))
-            here, flat = cls[codes].astype(np.uint8).tobytes(), slots[at].astype(np.int32)
+            here, flat = cls.astype(np.uint8)[codes].tobytes(), slots[at].astype(np.int32)
             lists = lambda values, kind, b: pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(values, kind))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.bincount(row, minlength=rows), pa.int64()), pa.array(np.bincount(row, seen > 0, rows).astype(np.int64)), pa.array(word), pa.array([here[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), lists(list(names), pa.binary(), firsts), lists(flat, pa.int32(), starts), lists((at - bounds[row[at]]).astype(np.int32), pa.int32(), starts)],
+                [part.column(0), part.column(1), pa.array(np.bincount(row, minlength=rows), pa.int64()), pa.array(np.bincount(row, seen > 0, rows).astype(np.int64)), pa.array(word), pa.array([here[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), lists(names, pa.binary(), firsts), lists(flat, pa.int32(), starts), lists((at - bounds[row[at]]).astype(np.int32), pa.int32(), starts)],
                 ["uid", "doc_id", "n_tokens", "n_known", "word", "classes", "rare", "slots", "places"],
             )
 
@@ -422,10 +450,10 @@ def score(docs: DataFrame, learnt: DataFrame, model: Model) -> DataFrame:
         here = np.frombuffer(b"".join(classes.to_pylist()), np.uint8).astype(np.int64)
         return np.concatenate([[end], here[:-1]])[: len(here)], here  # each row ends with the end, where the next one starts
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             before, here = steps(b.column(0))
-            yield before * k + here, np.ones(len(here))
+            yield before * k + here
 
     table = _summed(learnt.select("classes"), k * k, pairs).reshape(k, k).astype(float)
     tokens_in = table.sum(0)

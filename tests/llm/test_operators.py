@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -398,6 +399,46 @@ def test_words_beyond_the_seed_get_the_class_of_their_neighbours(spark, monkeypa
     assert all(w in cls for x in kinds for w in x) and not {cls[w] for w in kinds[0]} & {cls[w] for w in kinds[1]}
 
 
+def test_texts_are_taken_apart_by_arrow_as_by_hand(monkeypatch):
+    """Tokens come as one Arrow array of different ones and codes, whatever white space, letters, empty texts and sizes of runs there are."""
+    texts = [None, "", " ", "\x0b\x0c", " a  B\ta\r\n", "É é A\x1fb\x85c\xa0d\u2028e", "".join(map(chr, range(1, 0x300))), "x" * 50, "one two one", "\n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(11)), pa.array(["left out", *texts])], ["i", "text"]).slice(1)
+    for size in (1, 20, 1 << 20):
+        monkeypatch.setattr(brown, "PART", size)
+        got = [[] for _ in texts]
+        for part, codes, row, found in brown._batches(iter([batch]), 1):
+            assert isinstance(found, pa.BinaryArray) and len(set(found.to_pylist())) == len(found) and found[-1].as_py() == brown.END
+            for r, c in zip(row, codes, strict=True):
+                got[part.column(0)[r].as_py() - 1].append(found[int(c)].as_py())
+        assert got == [brown.tokens(t) for t in texts]
+    units = brown.Units({b"one": 2, b"two": 3}, {b"ne": 4, b"x": 5, b"\xa9": 6, b"xx": 7})
+    words = [brown.END, b"one", b"two", b"none", b"x", b"yx", b"xxx", "é".encode(), b"\xa9", b"ne", b"z"]
+    assert units.of_all(pa.array(words, pa.binary())).tolist() == [units.of(w) for w in words]
+    assert not len(units.of_all(pa.array([], pa.binary()))) and units.of_all(pa.array([brown.END], pa.binary())).tolist() == [0]
+
+
+@pytest.mark.parametrize("frequent", [200_000, 40])
+def test_contexts_send_a_row_a_word_not_a_cell(spark, monkeypatch, frequent):
+    """What a task sends on grows with its different words, not with their neighbours; the counts are those of all neighbours."""
+    monkeypatch.setattr(brown, "FREQUENT", frequent)
+    sent = []
+    monkeypatch.setattr(brown, "moved", lambda cells, lookup, table, f=brown.moved: sent.append((cells, lookup, len(table))) or f(cells, lookup, table))
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}{'xyz'[i % 3]}" for i in rng.integers(0, 80, 50)) for _ in range(60)]
+    brown.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), words=8, endings=5, classes=4)
+    (cells, look, k), want, got = sent[0], Counter(), Counter()
+    seed = lambda w: int(look.unit_class[look.units.of(w)])
+    flat = [brown.END, *(w for t in texts for w in brown.tokens(t))]
+    for a, b in zip(flat[:-1], flat[1:], strict=True):
+        moves = [x != brown.END and x not in look.units.words for x in (a, b)]
+        want.update([(a, 2 * k)] if a == b and moves[0] else [x for x, m in zip(((a, seed(b)), (b, k + seed(a))), moves, strict=True) if m and a != b])
+    rows, names = cells.collect(), list(look.frequent)
+    for r in rows:
+        for c, n in zip(np.frombuffer(r.cells, np.int16), np.frombuffer(r.n, np.int32), strict=True):
+            got[names[r.place] if r.token is None else bytes(r.token), int(c)] += int(n)
+    assert got == want and len(rows) == len({w for w, _ in want})
+
+
 #: The contract's patterns, leftmost and without retries.
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
