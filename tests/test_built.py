@@ -1,7 +1,9 @@
 """Hand-made rows for reforms, lookups, records of several sources, streams with state, rates, sitemaps, names, the search box and the classifier."""
 
 import datetime as dt
+import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from quipu.operators import consolidate, lookup, rates, rules, searchbox, sitema
 from quipu.operators.reforms import reformed
 from quipu.operators.vat import Catalogue, classified
 from quipu.plans import catalogue, paths, vat
+from quipu.sources import introspect
 from quipu.sources.shared import shared_folder
 from quipu.streaming import cached, dimension, mailbox, streams
 
@@ -165,6 +168,28 @@ def test_counts_and_digests_come_from_files(spark):
     assert plan.count("ReadSchema: struct<>") == len(paths.TABLES) and "ReadSchema: struct<l" not in plan
 
 
+def test_a_file_that_no_task_may_read_whole_has_its_digest(spark, tmp_path, monkeypatch):
+    """Files beyond what one value may hold (2 GB; here 20,000 bytes): the digest goes on from piece to piece."""
+    noise = random.Random(5).randbytes(100_000)
+    files = {
+        "noise": noise, "ends": noise + b"\n", "returns": noise.replace(b"\n", b"\r\n") + b"\r", "feeds": b"\n" * 50_000, "marked": b"\xef\xbb\xbf" + noise, "marked and ended": b"\xef\xbb\xbf" + noise + b"\n", "starts": b"\n\n" + noise,
+        "one line": bytes(70_000), "sparse": b"\n".join([bytes(30_000)] * 4), "x[1]{a}*": noise[::-1], "small": b"abc", "packed.gz": gzip.compress(noise[:15_000]),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "20000", "spark.sql.files.maxPartitionBytes": "8192", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    monkeypatch.setattr(introspect, "WHOLE", 10_000, raising=False)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.file: (r.bytes, r.sha256) for r in introspect.file_digests(spark, [str(tmp_path)]).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items()}
+
+
 def test_each_query_of_the_box_has_its_paths(spark):
     ways = searchbox.routed(spark.createDataFrame([(1, " v-12345678-9 "), (2, "01.02"), (3, "rgl_ABCD12"), (4, "1234"), (5, "!!"), (6, None), (7, "Ring gear")], "query_id long, q string"))
     assert {(r.query_id, r.path, r.term) for r in ways.collect()} == {(1, "tax_id", "V123456789"), (1, "rule", "v 12345678 9"), (2, "code", "0102"), (2, "rule", "01 02"), (3, "key", "abcd12"), (3, "rule", "rgl abcd12"), (4, "code", "1234"), (4, "key", "1234"), (4, "rule", "1234"), (7, "rule", "ring gear")}
